@@ -64,13 +64,13 @@ def dealt(keys: np.ndarray, ids: np.ndarray, n: int) -> pa.RecordBatch:
     )
 
 
-def send(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], n: int) -> DataFrame:
-    """Rows (bucket, keys, ids) of all fingerprints of ``df``, each bucket in one partition of n.
+def packed(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], n: int) -> DataFrame:
+    """Rows (bucket, keys, ids) of all fingerprints of ``df``, not yet moved.
 
     ``fingerprints(batch)`` yields pairs of arrays: 64-bit hashes and, for each, the id it belongs to.
     """
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for keys, ids in fingerprints(batch):
@@ -82,7 +82,12 @@ def send(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], Iterator[tuple[
         if size:
             yield dealt(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]), n)
 
-    return df.mapInArrow(packed, SCHEMA).repartitionById(n, "bucket")
+    return df.mapInArrow(pack, SCHEMA)
+
+
+def send(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], n: int) -> DataFrame:
+    """``packed`` rows, each bucket in one partition of n."""
+    return packed(df, fingerprints, n).repartitionById(n, "bucket")
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import ngram_join, substring_dedup
 from .tables import table
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -23,10 +24,10 @@ sets AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM tokens),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
-overlaps AS (
+common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT o.a, o.b FROM overlaps o JOIN sizes x ON x.doc_id = o.a JOIN sizes y ON y.doc_id = o.b
+  SELECT o.a, o.b FROM common o JOIN sizes x ON x.doc_id = o.a JOIN sizes y ON y.doc_id = o.b
   WHERE 100 * o.n >= 75 * (x.n + y.n - o.n)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (
@@ -39,13 +40,39 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN parts p USING (doc_i
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM tokens WHERE len(w) >= 13),
+spans AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) < doc_id AS later FROM places),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM spans WHERE later),
+cut AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT t.doc_id, len(t.w) AS n, CASE WHEN c.ps IS NULL THEN t.w ELSE list_filter(t.w, lambda x, i: NOT list_contains(c.ps, i)) END AS k
+  FROM tokens t LEFT JOIN cut c USING (doc_id))
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, (coalesce(n, 0) - coalesce(len(k), 0))::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM kept
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op8_substring_dedup": op8_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_ngram_jaccard_join": OP7_SQL,
+        "op8_substring_dedup": OP8_SQL,
     }
