@@ -7,12 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram_join, substring_dedup, suffix_dedup
+from . import bpe, decontaminate, ngram_join, substring_dedup, suffix_dedup, topk, warc
 from .tables import table
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -102,19 +118,44 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica in which every page with a length divisible by 97 has another first character."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    bad = (F.length("html") % 97 == 0) & F.col("html").startswith("<")
+    return warc.audit(pages, pages.withColumn("html", F.when(bad, F.expr("concat('#', substring(html, 2))")).otherwise(F.col("html"))))
+
+
+OP10_SQL = r"""
+WITH r AS (
+  SELECT page_id, html, 'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' AS a, '>\r\nWARC-Target-URI: ' || coalesce(url, '') || '\r\nContent-Type: text/html\r\nContent-Length: ' AS b FROM pages),
+t AS (
+  SELECT page_id, html, floor(coalesce(page_id, -1) / 4096)::BIGINT AS archive,
+    replace(replace(a || coalesce(page_id::VARCHAR, 'none') || b || strlen(coalesce(html, '')) || '\r\n\r\n', '\r', chr(13)), '\n', chr(10)) || coalesce(html, '') AS text
+  FROM r)
+SELECT page_id, archive, (sum(strlen(text) + 4) OVER w - strlen(text) - 4)::BIGINT AS record_offset, (strlen(text) + 4)::BIGINT AS record_length,
+  sha256(text) AS record_sha256,
+  coalesce(length(html) % 97 = 0 AND html LIKE '<%', false) AS damaged
+FROM t WINDOW w AS (PARTITION BY archive ORDER BY page_id, sha256(text) ROWS UNBOUNDED PRECEDING)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_topk": op1_exact_topk,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_warc_fixity": op10_warc_fixity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_exact_topk": OP1_SQL,
         "op2_benchmark_decontamination": OP2_SQL,
         "op7_ngram_jaccard_join": OP7_SQL,
+        "op10_warc_fixity": OP10_SQL,
         "op8_substring_dedup": OP8_SQL,
     }
