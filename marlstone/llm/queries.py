@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram_join, substring_dedup, suffix_dedup, topk, warc
+from . import bpe, decontaminate, ngram_join, quality, substring_dedup, suffix_dedup, topk, toxicity, warc
 from .tables import table
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,6 +57,18 @@ FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN items x USING (doc_id)
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents"), quality.crc_mod("doc_id", 5)
+    voter = quality.train(docs, table(spark, sf_dir, "labels"), part != 0)
+    return quality.score(docs, voter).select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents"), quality.crc_mod("doc_id", 3)
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"), part != 1)
+    return toxicity.score(docs, net).select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -143,6 +155,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": op1_exact_topk,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op5_toxicity": op5_toxicity,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_substring_dedup": op8_substring_dedup,
