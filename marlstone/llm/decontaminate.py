@@ -102,3 +102,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 10) -> DataFrame:
+    """(doc_id) of the documents in which a window of ``benchmark`` (item_id, text) occurs."""
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    met = occurrences(docs, saved(windows(benchmark, "item_id", "text", k), "windows"))
+    return met.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")).distinct()

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .features import SHAPES, TERMS, quality_features
 
@@ -105,3 +106,15 @@ def score(docs: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(s) if s else np.zeros(0))], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scored, "doc_id long, score double")
+
+
+def with_score(docs: DataFrame, voter: Voter, name: str) -> DataFrame:
+    """``docs`` with all its columns and the score of its ``text`` as one more; nothing is moved."""
+    held = docs.sparkSession.sparkContext.broadcast(voter)
+    at = docs.columns.index("text")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, BLOCK) for b in batches for lo in range(0, b.num_rows, BLOCK)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(quality_features(batch.column(at))))], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram_join, quality, substring_dedup, suffix_dedup, topk, toxicity, warc
+from . import bpe, decontaminate, ngram_join, pii, quality, substring_dedup, suffix_dedup, topk, toxicity, warc
 from .tables import table
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -63,6 +63,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, voter).select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents"), quality.crc_mod("doc_id", 3)
     net = toxicity.train(docs, table(spark, sf_dir, "labels"), part != 1)
@@ -156,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_topk": op1_exact_topk,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_pii": op4_pii,
         "op5_toxicity": op5_toxicity,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
