@@ -14,7 +14,10 @@ import pyarrow as pa
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 #: Bytes of text hashed at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+
+# Workers give freed batches back to the system; Arrow's own pool would keep them.
+pa.set_memory_pool(pa.system_memory_pool())
 
 _tables: dict[str, np.ndarray] = {}
 

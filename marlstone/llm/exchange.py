@@ -14,6 +14,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from .bytehash import mix
+
 KEY_BYTES = 7
 MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
 #: Fingerprints that a task packs at once.
@@ -103,11 +105,46 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
         yield b, np.concatenate(keys), np.concatenate(ids)
 
 
-def by_id(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """For each id once: its keys as one blob, and how many they are."""
-    order = np.argsort(ids, kind="stable")
-    keys, ids = keys[order], ids[order]
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-    ends = np.r_[first[1:], len(ids)]
-    blob = np.ascontiguousarray(keys.astype("<u8")).tobytes()
-    return ids[first], [blob[8 * s : 8 * e] for s, e in zip(first, ends)], ends - first
+def replies(ids: np.ndarray, columns: list[np.ndarray], n: int) -> list[tuple[int, bytes, list[bytes]]]:
+    """(place, ids, columns) of answers packed by the place where an id's answers meet."""
+    b = bucket_of(mix(ids.astype(np.uint64)), n)
+    order = np.lexsort((ids, b))
+    ids, b, columns = ids[order], b[order], [c[order] for c in columns]
+    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    return [(int(b[s]), pack_ids(ids[s:e]), [c[s:e].tobytes() for c in columns]) for s, e in zip(first, np.r_[first[1:], len(b)])]
+
+
+def reply_batch(rows: list[tuple[int, bytes, list[bytes]]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([r[2][i] for r in rows], pa.binary()) for i in range(len(names)))],
+        names=["place", "ids", *names],
+    )
+
+
+def reply_schema(names: list[str]) -> str:
+    return ", ".join(["place int", "ids binary", *(f"{c} binary" for c in names)])
+
+
+def per_id(answers: DataFrame, names: list[str], sizes: list[int], n: int) -> DataFrame:
+    """(id, columns ...): of each id one row, its answers one after the other; ``sizes`` are bytes a value."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, columns = [], [[] for _ in names]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids.append(unpack_ids(batch.column(1)[i].as_buffer()))
+                for c, size, held in zip(batch.columns[2:], sizes, columns):
+                    held.append(np.frombuffer(c[i].as_buffer(), np.uint8).reshape(-1, size))
+        if not ids:
+            return
+        ids = np.concatenate(ids)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        ends = np.r_[first[1:], len(ids)]
+        blobs = [np.concatenate(c)[order].tobytes() for c in columns]
+        for lo in range(0, len(first), 5000):
+            part = list(zip(first[lo : lo + 5000].tolist(), ends[lo : lo + 5000].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first[lo : lo + 5000]]), *(pa.array([b[s * z : e * z] for s, e in part], pa.binary()) for b, z in zip(blobs, sizes))], names=["id", *names])
+
+    return answers.select("place", "ids", *names).repartitionById(n, "place").mapInArrow(meet, ", ".join(["id long", *(f"{c} binary" for c in names)]))

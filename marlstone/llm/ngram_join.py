@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from . import exchange
 from .bytehash import chunks, lower_ascii, mix, prefix, range_hash, windows, words
 from .components import components
-from .scratch import saved
+from .scratch import drop, saved
 
 #: Stands for a null doc_id inside the operator.
 NO_ID = -(1 << 63)
+#: Logarithm of the ratio of sizes within which documents have a leader in common.
+LIKE = 0.1
 
 
 def shingle_sets(column, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -63,15 +65,11 @@ def set_sizes(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(sizes, "id long, n long")
 
 
-def shared_columns(docs: DataFrame, k: int) -> DataFrame:
-    """(id, columns binary, frequency binary, shared long): a document's columns that others have too, by bucket."""
-    spark = docs.sparkSession
-    n = exchange.buckets(spark)
+def _able(sent: DataFrame, sizes: DataFrame, percent: int, n: int) -> DataFrame:
+    """(id, n, columns, shared) of the rows whose shared columns could reach the overlap that ``sizes`` demand.
 
-    def fingerprints(batch):
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for _, _, h, rows in shingle_sets(batch.column(1), k):
-            yield h, ids[rows]
+    ``columns`` are those that others have too, in rising order of (frequency, column).
+    """
 
     def shared(batches):
         for bucket, keys, ids in exchange.gathered(batches):
@@ -80,30 +78,21 @@ def shared_columns(docs: DataFrame, k: int) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             often = np.repeat(c := np.diff(np.r_[starts, len(keys)]), c)
             keep = often > 1
-            keys, ids, often = keys[keep] | np.uint64((bucket & 255) << 56), ids[keep], often[keep]
-            order = np.argsort(ids, kind="stable")
-            keys, ids, often = keys[order], ids[order], often[order].astype("<i4")
-            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-            ends = np.r_[first[1:], len(ids)]
-            a, b = keys.astype("<u8").tobytes(), often.tobytes()
-            for lo in range(0, len(first), 20_000):
-                f, e = first[lo : lo + 20_000], ends[lo : lo + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[f]), pa.array([a[8 * s : 8 * t] for s, t in zip(f, e)], pa.binary()), pa.array([b[4 * s : 4 * t] for s, t in zip(f, e)], pa.binary()), pa.array(e - f)],
-                    names=["id", "columns", "frequency", "shared"],
-                )
-
-    return exchange.send(docs, fingerprints, n).mapInArrow(shared, "id long, columns binary, frequency binary, shared long")
-
-
-def _ordered(batches):
-    """Joins the blobs of a document and sorts its columns by (frequency, column)."""
-    for batch in batches:
-        out = []
-        for cs, fs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            c, f = np.frombuffer(b"".join(cs), "<u8"), np.frombuffer(b"".join(fs), "<i4")
-            out.append(c[np.lexsort((c, f))].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), batch.column(4)], names=["id", "n", "columns", "shared"])
+            packed = exchange.replies(ids[keep], [keys[keep] | np.uint64((bucket & 255) << 56), often[keep].astype("<i4")], n)
+            yield exchange.reply_batch(packed, ["columns", "frequency"])
+
+    def ordered(batches):
+        for batch in batches:
+            out = []
+            for cs, fs in zip(batch.column(2), batch.column(3)):
+                c, f = np.frombuffer(cs.as_buffer(), "<u8"), np.frombuffer(fs.as_buffer(), "<i4")
+                out.append(c[np.lexsort((c, f))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), batch.column(4)], names=["id", "n", "columns", "shared"])
+
+    names = ["columns", "frequency"]
+    rows = exchange.per_id(sent.mapInArrow(shared, exchange.reply_schema(names)), names, [8, 4], n)
+    rows = rows.withColumn("shared", (F.octet_length("frequency") / 4).cast("long")).join(sizes, "id").where(100 * F.col("shared") >= percent * F.col("n"))
+    return rows.select("id", "n", "columns", "frequency", "shared").mapInArrow(ordered, "id long, n long, columns binary, shared long")
 
 
 def links(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -143,50 +132,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` are ignored. An empty table gives an empty table.
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    buckets = exchange.buckets(docs.sparkSession)
     sizes = saved(set_sizes(docs, k), "sizes")
-    # Rows that repeat an id with other texts would need a union of their sets; the largest is its size then.
-    size = sizes.groupBy("id").agg(F.max("n").alias("n"))
-    need = lambda n: F.ceil(n * percent / F.lit(100))
-    shared = shared_columns(docs, k).groupBy("id").agg(F.collect_list("columns").alias("columns"), F.collect_list("frequency").alias("frequency"), F.sum("shared").alias("shared"))
-    rows = shared.join(size, "id").where(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", "columns", "frequency", "shared").mapInArrow(_ordered, "id long, n long, columns binary, shared long")
-    rows = saved(rows, "candidates")
+
+    def of_texts(batch):
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for _, _, h, rows in shingle_sets(batch.column(1), k):
+            yield h, ids[rows]
+
+    def of_classes(batch):
+        for i, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            c = mix(np.frombuffer(blob.as_buffer(), "<u8"))
+            yield c, np.full(len(c), i)
+
+    # Rows that repeat an id with other texts count with the largest of them.
+    rows = saved(_able(exchange.send(docs, of_texts, buckets), sizes.groupBy("id").agg(F.max("n").alias("n")), percent, buckets), "candidates")
     # Documents with the same size and the same shared columns overlap alike with all others: one row of each class goes on.
     mark = rows.select("id", "n", "shared", F.sha2("columns", 256).alias("mark"))
     member = saved(mark.join(mark.groupBy("mark", "n", "shared").agg(F.min("id").alias("rep")), ["mark", "n", "shared"]).select("id", "rep", "n", "shared"), "members")
     classes = rows.join(member.where("id = rep").select("id"), "id", "left_semi")
+    # Once more among the classes alone: columns that only copies or lost candidates shared go.
+    classes = saved(_able(exchange.send(classes.select("id", "columns"), of_classes, buckets), classes.select("id", "n"), percent, buckets), "classes")
+    drop(rows)
 
     def opening(batches):
         for batch in batches:
-            keys, ids, sizes = [], [], []
-            for i in range(batch.num_rows):
-                n, s = batch.column(1)[i].as_py(), batch.column(3)[i].as_py()
-                c = np.frombuffer(batch.column(2)[i].as_py(), "<i8")[: s - -(-percent * n // 100) + 1]
-                keys.append(c)
-                ids.append(np.full(len(c), batch.column(0)[i].as_py()))
-                sizes.append(np.full(len(c), n))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, ids, sizes)], names=["column", "id", "n"])
-
-    classes = saved(classes, "classes")
-    postings = classes.mapInArrow(opening, "column long, id long, n long")
-    first = postings.groupBy("column").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("column", "a")
-    postings = saved(postings.join(first, "column"), "postings")
-    # One member of each column against the others: enough for a group whose members all link with it.
-    stars = postings.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    edges = saved(links(classes, stars, percent), "links")
-    parts = components(edges)
-    part = lambda df: df.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # What is left: pairs of different components that share an opening column, sizes allowing.
-    placed = part(postings.drop("a"))
-    mixed = placed.groupBy("column").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("column")
-    placed = saved(placed.join(mixed, "column", "left_semi"), "placed")
-    x, y = placed.select("column", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("pa")), placed.select("column", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("pb"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = x.join(y, "column").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & fits).select("a", "b").distinct()
-    more = links(classes, pairs, percent)
+            out = []
+            for i, n, blob, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                c = np.frombuffer(blob.as_buffer(), "<i8")[: s + percent * n // -100 + 1]
+                out.append((c, np.full(len(c), i), np.full(len(c), n), n - s + np.arange(len(c))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["column", "id", "n", "pos"])
+
+    # Two rows whose first common column is at pos can't have more in common than what follows it in either.
+    fits = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent))
+    side = lambda df, x: df.select("column", *(F.col(c).alias(c + x) for c in df.columns if c != "column"))
+    postings = classes.mapInArrow(opening, "column long, id long, n long, pos long").withColumn("size", F.floor(F.log("n") / LIKE))
+    lead = postings.groupBy("column", "size").agg(F.min(F.struct("id", "n", "pos")).alias("lead"))
+    often = saved(postings.groupBy("column").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("column"), "columns")
+    lead = lead.join(often, "column", "left_semi").select("column", "size", F.col("lead.id").alias("ida"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("posa"))
+    postings = saved(postings.join(often, "column", "left_semi"), "postings")
+    stars = side(postings, "b").withColumnRenamed("sizeb", "size").join(lead, ["column", "size"]).where((F.col("ida") != F.col("idb")) & fits)
+    stars = saved(stars.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "stars")
+    placed = lambda df, parts, node, name: df.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    # First each row with one leader, then with the leaders of other components, at last all that is still apart.
+    linked = saved(links(classes, stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), percent), "links")
+    parts = components(linked)
+    apart = placed(placed(stars, parts, "a", "pa"), parts, "b", "pb").where("pa <> pb").select("a", "b")
+    linked = saved(linked.unionByName(links(classes, apart, percent)), "links")
+    parts = components(linked)
+    apart = placed(postings, parts, "id", "part")
+    mixed = apart.groupBy("column").agg(F.min("part").alias("c1"), F.max("part").alias("c2")).where("c1 <> c2").select("column")
+    apart = saved(apart.join(mixed, "column", "left_semi"), "apart")
+    pairs = side(apart, "a").join(side(apart, "b"), "column").where((F.col("ida") < F.col("idb")) & (F.col("parta") != F.col("partb")) & fits)
+    linked = saved(linked.unionByName(links(classes, pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), percent)), "links")
+    # Members of a class link with each other if their size allows; if not, they still share every link of the class.
     within = member.where((F.col("id") != F.col("rep")) & (100 * F.col("shared") >= percent * (2 * F.col("n") - F.col("shared")))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    # Members of a class that don't link with each other still share every link of the class.
-    linked = saved(edges.unionByName(more), "links")
     touched = linked.select(F.col("a").alias("rep")).unionByName(linked.select(F.col("b").alias("rep"))).distinct()
     loose = member.where("id <> rep").join(touched, "rep", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     final = components(linked.unionByName(within).unionByName(loose))

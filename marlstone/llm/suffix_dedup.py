@@ -24,7 +24,8 @@ from .scratch import saved
 
 NO_ID = -(1 << 63)
 GRAM = 32
-BATCH = 20_000
+#: Rows whose texts a task holds at once.
+ROWS = 1000
 PLACES = "bucket int, gram long, id long, place long, left binary, right binary"
 
 
@@ -113,12 +114,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             keys, ids = keys[order], ids[order]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             more = np.repeat(c := np.diff(np.r_[starts, len(keys)]), c) > 1
-            hit, blobs, _ = exchange.by_id(keys[more], ids[more])
-            for lo in range(0, len(hit), BATCH):
-                yield pa.RecordBatch.from_arrays([pa.array(hit[lo : lo + BATCH]), pa.array(blobs[lo : lo + BATCH], pa.binary())], names=["id", "grams"])
+            yield exchange.reply_batch(exchange.replies(ids[more], [keys[more]], n), ["grams"])
 
-    answers = exchange.send(rows, grams, n).mapInArrow(often, "id long, grams binary")
-    answers = answers.groupBy("id").agg(F.collect_list("grams").alias("grams"))
+    answers = exchange.send(rows, grams, n).mapInArrow(often, exchange.reply_schema(["grams"]))
+    answers = exchange.per_id(answers, ["grams"], [8], n)
     answers = saved(answers.join(whole.where("not stands").select("id"), "id", "left_anti"), "grams")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +129,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 data = np.frombuffer(text, np.uint8)
                 row, place, s0, s1, h, context = named_places(data, np.array([0, len(data)]), length, gram)
                 stays, _ = local_repeats(data, row, s0, s1, context, length)
-                stays &= np.isin(h & exchange.MASK, np.frombuffer(b"".join(answer), "<u8"))
+                stays &= np.isin(h & exchange.MASK, np.frombuffer(answer, "<u8"))
                 b = exchange.bucket_of(h, n)
                 for k in np.flatnonzero(stays).tolist():
                     out.append((int(b[k]), int(h[k].astype(np.int64)), i, int(place[k]), text[s0[k] : place[k]], text[place[k] : s1[k] + length]))
-                if len(out) > 8_000:
+                if len(out) > 2_000:
                     yield _places(out)
                     out = []
             if out:
@@ -153,35 +152,33 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         ids, places = table.column("id").to_numpy(), table.column("place").to_numpy()
         left, right = table.column("left").combine_chunks(), table.column("right").combine_chunks()
         edges = np.r_[np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]), len(order)]
-        got: list[tuple[int, int, int]] = []
+        got: list[np.ndarray] = []
         for a, b in zip(edges[:-1], edges[1:]):
             if b - a < 2:
                 continue
             group = order[a:b]
             spans = shared_spans([left[int(i)].as_py() for i in group], [right[int(i)].as_py() for i in group], length)
-            got.extend((int(ids[group[i]]), int(places[group[i]]) - x, int(places[group[i]]) + y) for i, x, y in set(spans))
+            if spans:
+                x = np.array(list(set(spans)), np.int64)
+                at = group[x[:, 0]]
+                got.append(np.stack([ids[at], places[at] - x[:, 1], places[at] + x[:, 2]], 1))
         if not got:
             return
-        found = np.array(got, np.int64)
-        found = found[np.argsort(found[:, 0], kind="stable")]
-        first = np.flatnonzero(np.r_[True, found[1:, 0] != found[:-1, 0]])
-        ends = np.r_[first[1:], len(found)]
-        for lo in range(0, len(first), BATCH):
-            part = list(zip(first[lo : lo + BATCH], ends[lo : lo + BATCH]))
-            yield pa.RecordBatch.from_arrays([pa.array(found[[s for s, _ in part], 0]), pa.array([found[s:e, 1:].astype("<i8").tobytes() for s, e in part], pa.binary())], names=["id", "spans"])
+        found = np.concatenate(got)
+        yield exchange.reply_batch(exchange.replies(found[:, 0], [found[:, 1].astype("<i8"), found[:, 2].astype("<i8")], n), ["starts", "ends"])
 
     squeezed = _marked(rows, "z")
     places = squeezed.join(answers.hint("shuffle_hash"), "id").select("id", "z", "grams").mapInArrow(contexts, PLACES)
-    spans = places.repartitionById(n, "bucket").mapInArrow(compare, "id long, spans binary")
-    spans = saved(spans.groupBy("id").agg(F.collect_list("spans").alias("spans")), "spans")
+    spans = places.repartitionById(n, "bucket").mapInArrow(compare, exchange.reply_schema(["starts", "ends"]))
+    spans = saved(exchange.per_id(spans, ["starts", "ends"], [8, 8], n), "spans")
     copied = whole.groupBy("id").agg(F.lit(True).alias("copied"))
-    judged = spans.join(copied, "id", "full").select("id", "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
+    judged = spans.join(copied, "id", "full").select("id", "starts", "ends", F.coalesce("copied", F.lit(False)).alias("copied"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             total, removed, runs, kept = [], [], [], []
-            for z, spans, copied in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for z, starts, ends, copied in zip(batch.column(1), *(batch.column(c).to_pylist() for c in (2, 3, 4))):
                 data = np.frombuffer(wide.decompress(z.as_buffer()), np.uint8)
                 cover = np.zeros(len(data) + 1, np.int64)
                 if copied and len(data) >= length:
@@ -189,11 +186,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 elif len(data) >= length:
                     row, _, s0, s1, _, context = named_places(data, np.array([0, len(data)]), length, gram)
                     _, twice = local_repeats(data, row, s0, s1, context, length)
-                    at = [np.stack([s0[twice], s1[twice] + length], 1)]
-                    at += [np.frombuffer(x, "<i8").reshape(-1, 2) for x in spans or []]
-                    at = np.concatenate(at)
-                    np.add.at(cover, at[:, 0], 1)
-                    np.add.at(cover, at[:, 1], -1)
+                    np.add.at(cover, np.r_[s0[twice], np.frombuffer(starts or b"", "<i8")], 1)
+                    np.add.at(cover, np.r_[s1[twice] + length, np.frombuffer(ends or b"", "<i8")], -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 total.append(len(data))
                 removed.append(int(gone.sum()))
@@ -201,6 +195,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 kept.append(data[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (total, removed, runs)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = squeezed.join(judged.hint("shuffle_hash"), "id", "left").select("id", "z", "spans", "copied")
+    out = squeezed.join(judged.hint("shuffle_hash"), "id", "left").select("id", "z", "starts", "ends", "copied")
     out = out.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
