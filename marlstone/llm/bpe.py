@@ -43,15 +43,21 @@ class Prefixes:
 
     def append(self, more: bytes) -> None:
         self.data += more
-        ranks, data, last, fits, longest = self.model.ranks, self.data, self.last, self.model.fits, self.model.longest
+        data, last, ranks, known, fits, longest = self.data, self.last, self.model.ranks, self.model.known_fits, self.model.fits, self.model.longest
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(end - 1, max(-1, end - longest - 1), -1):
                 token = ranks.get(data[start:end])
-                if token is not None and (start == 0 or fits(last[start - 1], token)):
-                    last.append(token)
+                if token is None:
+                    continue
+                if start == 0:
+                    break
+                pair = last[start - 1] << 32 | token
+                fit = known.get(pair)
+                if fits(pair) if fit is None else fit:
                     break
             else:
                 raise ValueError("a byte has no token of its own")
+            last.append(token)
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Puts ``new`` in place of [start, end); entries before ``start`` are kept."""
@@ -76,7 +82,8 @@ class Bpe:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.known_fits: dict[int, bool] = {}
+        self._spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self._known: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -89,15 +96,56 @@ class Bpe:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return parts
 
-    def fits(self, a: int, b: int) -> bool:
-        """Whether BPE of the two tokens' bytes gives the two tokens."""
-        key = (a, b)
-        if key not in self._fits:
-            if len(self._fits) > 1_000_000:
-                self._fits.clear()
-            x, y = self.tokens[a], self.tokens[b]
-            self._fits[key] = self.merged(x + y) == [x, y]
-        return self._fits[key]
+    def _split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge made a token; none for a byte."""
+        data = self.tokens[token]
+        if len(data) == 1:
+            return None
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while len(parts) > 2:
+            best = min((self.ranks.get(x + y, 1 << 40), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        return self.ranks[parts[0]], self.ranks[parts[1]]
+
+    def _spine(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """From byte to token, what stands at one end while BPE builds it, and the rank that ends its turn."""
+        held = self._spines[side]
+        if token not in held:
+            out, t, until = [], token, 1 << 40
+            while True:
+                out.append((self.tokens[t], until))
+                parts = self._split(t)
+                if parts is None:
+                    break
+                t, until = parts[side], t
+            held[token] = out[::-1]
+        return held[token]
+
+    def fits(self, pair: int) -> bool:
+        """Whether BPE of two tokens' bytes (first << 32 | second) gives the two tokens.
+
+        Merges run by rising rank, so both ends at the seam grow along their spines; the two stay apart unless at
+        some time the merge across the seam ranks below what comes next on the left, and not above on the right.
+        """
+        if len(self.known_fits) > 1_000_000:
+            self.known_fits.clear()
+        left, right, ranks = self._spine(pair >> 32, 1), self._spine(pair & 0xFFFFFFFF, 0), self.ranks
+        i = j = 0
+        fit = True
+        while True:
+            (x, until_x), (y, until_y) = left[i], right[j]
+            rank = ranks.get(x + y)
+            if rank is not None and rank < until_x and rank <= until_y:
+                fit = False
+                break
+            if until_x == until_y == 1 << 40:
+                break
+            if until_x <= until_y:
+                i += 1
+            else:
+                j += 1
+        self.known_fits[pair] = fit
+        return fit
 
     def piece(self, text: str) -> bytes:
         """Ids of one match of the pattern, as little-endian 32-bit numbers."""
