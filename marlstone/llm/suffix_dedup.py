@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .bytehash import chunks, prefix, range_hash
+from .bytehash import chunks, mix, prefix, range_hash
 from .deepshallow import shared_spans
 from .scratch import saved
 
@@ -30,7 +30,10 @@ PLACES = "bucket int, gram long, id long, place long, left binary, right binary"
 
 
 def named_places(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, place, first window start, last window start, gram hash, context hash) of each run of windows."""
+    """(row, place, first window start, last window start, gram hash, context hash) of each run of windows.
+
+    Grams are named for their small hashes, so those are mixed again before they deal rows out.
+    """
     n, wide = len(data), length - gram + 1
     none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
     if n < length:
@@ -57,7 +60,7 @@ def named_places(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tu
     place = (low[s] & mask).astype(np.int64)
     fresh = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     s0, s1, place = s[fresh], s[np.r_[fresh[1:], len(s)] - 1], place[fresh]
-    return np.searchsorted(at, place, "right") - 1, place, s0, s1, h[place], range_hash(p, s0, s1 + length) ^ (place - s0).astype(np.uint64)
+    return np.searchsorted(at, place, "right") - 1, place, s0, s1, mix(h[place]), range_hash(p, s0, s1 + length) ^ (place - s0).astype(np.uint64)
 
 
 def local_repeats(data: np.ndarray, row: np.ndarray, s0: np.ndarray, s1: np.ndarray, context: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
