@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .recognizers import detect, resolved
+from .recognizers import applied, resolved, steps
 
 PASSES = 3
 #: Key of the pseudonyms where the caller gives none; a deployment sets its own.
@@ -56,12 +56,13 @@ def scan(df: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, passes:
     Entities are those of the original text. Each further pass reads only rows in which the one before found
     something; what the last pass still finds is redacted once more and counts as a leak. A null text is safe.
     """
-    df = detect(df, text_col, "__found").withColumn("entities", resolved(F.col("__found"))).drop("__found")
-    df = df.withColumn("redacted", redacted(F.col(text_col), F.col("entities"), key)).withColumn("__left", F.col("entities"))
+    stages = [*steps("__again", "__found"), {"__left": resolved(F.col("__found"))}]
+    df = applied(df.withColumn("__again", F.col(text_col)), stages)
+    df = df.withColumns({"entities": F.col("__left"), "redacted": redacted(F.col(text_col), F.col("__left"), key)})
+    once_more = redacted(F.col("redacted"), F.col("__left"), key)
     for _ in range(passes):
-        df = df.withColumn("__again", F.when(F.size("__left") > 0, F.col("redacted")))
-        df = detect(df, "__again", "__found").withColumn("__left", resolved(F.col("__found"))).drop("__found", "__again")
-        df = df.withColumn("redacted", redacted(F.col("redacted"), F.col("__left"), key))
+        df = applied(df.withColumn("__again", F.when(F.size("__left") > 0, F.col("redacted"))), stages).withColumn("redacted", once_more)
+    df = df.drop("__again", "__found")
     leaks = F.size(F.filter("__left", lambda x: x["type"] != "PERSON")) > 0
     types = F.array_distinct(F.transform(F.filter("entities", lambda x: x["type"] != "PERSON"), lambda x: x["type"]))
     return df.withColumn("residual_leakage", leaks.cast("int")).withColumn("verdict", verdict(types, leaks)).drop("__left")

@@ -87,32 +87,30 @@ def mask_tokens(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.concat_ws("", parts)).otherwise(text)
 
 
-def detect(df: DataFrame, text_col: str = "text", out: str = "entities") -> DataFrame:
-    """``df`` with the entities of a text column, before spans that meet are resolved.
-
-    Exact formats claim their spans first; social security, tax and card numbers look only at what is unclaimed;
-    labelled formats neither ask nor claim. A null text has no entities.
-    """
+def steps(text_col: str, out: str) -> list[dict[str, Column]]:
+    """The columns that recognition adds, in stages that build on each other; names with a leading __r_ are interim."""
     p = "__r_"
-    h = F.col(f"{p}h")
+    h, hd = F.col(f"{p}h"), F.col(f"{p}d")
     near = lambda x, pattern, pad=NEAR: around(h, x, pad).rlike(pattern)
-    df = df.withColumn(f"{p}h", F.coalesce(mask_tokens(F.col(text_col)), F.lit("")))
-    df = df.withColumn(f"{p}d", F.when(h.rlike("[0-9]"), h).otherwise(F.lit("")))  # most patterns need a digit
-    hd = F.col(f"{p}d")
-    df = df.withColumn(f"{p}email", finditer(F.when(h.contains("@"), h).otherwise(F.lit("")), EMAIL))
-    for name, pattern in (("iban", IBAN), ("mobile", MOBILE), ("sss", SSS), ("tin", TIN), ("pan", PAN), ("cvv", CVV)):
-        df = df.withColumn(p + name, finditer(hd, pattern))
-    df = df.withColumn(f"{p}claimed", F.concat(*(F.col(p + c) for c in ("email", "iban", "mobile"))))
-
-    def claiming(df: DataFrame, name: str, keep) -> DataFrame:
-        df = df.withColumn(p + name, F.filter(unclaimed(F.col(p + name), F.col(f"{p}claimed")), keep))
-        return df.withColumn(f"{p}claimed", F.concat(f"{p}claimed", p + name))
-
-    df = claiming(df, "sss", lambda x: F.length(digits(x["text"])).isin(9, 10) & (x["text"].contains("-") | near(x, SSS_NEAR)))
-    df = claiming(df, "tin", lambda x: F.length(digits(x["text"])).between(9, 13) & (x["text"].contains("-") | near(x, TIN_NEAR)))
-    df = claiming(df, "pan", lambda x: luhn_ok(x["text"]) | (~near(x, ORDER_NEAR) & near(x, CARD_NEAR)))
-    df = df.withColumn(f"{p}cvv", F.transform(f"{p}cvv", lambda x: tail_group(x, CVV)))
-    df = claiming(df, "cvv", lambda x: F.lit(True))
+    stages = [{f"{p}h": F.coalesce(mask_tokens(F.col(text_col)), F.lit(""))}, {f"{p}d": F.when(h.rlike("[0-9]"), h).otherwise(F.lit(""))}]  # most patterns need a digit
+    found = {f"{p}email": finditer(F.when(h.contains("@"), h).otherwise(F.lit("")), EMAIL)}
+    found |= {p + name: finditer(hd, pattern) for name, pattern in (("iban", IBAN), ("mobile", MOBILE), ("sss", SSS), ("tin", TIN), ("pan", PAN), ("cvv", CVV))}
+    found |= {f"{p}account": finditer(hd, ACCOUNT), f"{p}remit": finditer(h, REMITTANCE), f"{p}philsys": finditer(hd, PHILSYS), f"{p}passport": finditer(hd, PASSPORT), f"{p}birth": finditer(hd, BIRTH), f"{p}salary": finditer(h, SALARY)}
+    stages.append(found)
+    stages.append({f"{p}claimed": F.concat(*(F.col(p + c) for c in ("email", "iban", "mobile"))), f"{p}cvv": F.transform(f"{p}cvv", lambda x: tail_group(x, CVV))})
+    claims = (
+        ("sss", lambda x: F.length(digits(x["text"])).isin(9, 10) & (x["text"].contains("-") | near(x, SSS_NEAR))),
+        ("tin", lambda x: F.length(digits(x["text"])).between(9, 13) & (x["text"].contains("-") | near(x, TIN_NEAR))),
+        ("pan", lambda x: luhn_ok(x["text"]) | (~near(x, ORDER_NEAR) & near(x, CARD_NEAR))),
+        ("cvv", lambda x: F.lit(True)),
+    )
+    before = [F.col(f"{p}claimed")]
+    for name, keep in claims:
+        spans = F.col(p + name)
+        for claimed in before:
+            spans = unclaimed(spans, claimed)
+        stages.append({p + name: F.filter(spans, keep)})
+        before.append(F.col(p + name))
 
     def mobile(x: Column) -> Found:
         wallet = near(x, WALLET_NEAR)
@@ -124,7 +122,7 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "entities") -> Data
 
     lead = lambda x: F.length(F.regexp_extract(x["text"], SALARY_LEAD, 1))
     amount = lambda x, g: F.regexp_extract(x["text"], SALARY, g)
-    salary = F.filter(finditer(h, SALARY), lambda x: near(x, SALARY_NEAR, SALARY_PAD))
+    salary = F.filter(f"{p}salary", lambda x: near(x, SALARY_NEAR, SALARY_PAD))
     first = lambda x: F.struct((x["start"] + lead(x)).alias("start"), (x["start"] + lead(x) + F.length(amount(x, 1))).alias("end"), amount(x, 1).alias("text"))
     second = lambda x: F.struct((x["end"] - F.length(amount(x, 2))).alias("start"), x["end"].alias("end"), amount(x, 2).alias("text"))
     salaries = F.transform(salary, lambda x: F.when(amount(x, 1) != "", first(x)).otherwise(second(x)))
@@ -136,15 +134,29 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "entities") -> Data
         _entities(F.col(f"{p}tin"), lambda x: Found(F.lit("PH_TIN"), F.when(near(x, TIN_NEAR), 0.96).otherwise(0.92), F.lit(True), F.when(near(x, TIN_NEAR), 0.05).otherwise(0.0))),
         _entities(F.col(f"{p}pan"), pan),
         _entities(F.col(f"{p}cvv"), _plain("CARD_CVV", 0.95, 0.05)),
-        _entities(F.transform(finditer(hd, ACCOUNT), lambda x: tail_group(x, ACCOUNT)), _plain("BANK_ACCOUNT", 0.85, 0.05)),
-        _entities(F.transform(finditer(h, REMITTANCE), lambda x: tail_group(x, REMITTANCE)), _plain("REMITTANCE_REF", 0.85, 0.05)),
-        _entities(finditer(hd, PHILSYS), _plain("PHILSYS_ID", 0.94)),
-        _entities(F.filter(finditer(hd, PASSPORT), lambda x: F.lower(around(h, x, NEAR)).contains("passport")), _plain("PASSPORT", 0.85, 0.05)),
-        _entities(F.transform(F.filter(finditer(hd, BIRTH), lambda x: x["text"].rlike(BIRTH_WORD)), lambda x: tail_group(x, BIRTH)), _plain("DATE_OF_BIRTH", 0.90, 0.05)),
+        _entities(F.transform(f"{p}account", lambda x: tail_group(x, ACCOUNT)), _plain("BANK_ACCOUNT", 0.85, 0.05)),
+        _entities(F.transform(f"{p}remit", lambda x: tail_group(x, REMITTANCE)), _plain("REMITTANCE_REF", 0.85, 0.05)),
+        _entities(F.col(f"{p}philsys"), _plain("PHILSYS_ID", 0.94)),
+        _entities(F.filter(f"{p}passport", lambda x: F.lower(around(h, x, NEAR)).contains("passport")), _plain("PASSPORT", 0.85, 0.05)),
+        _entities(F.transform(F.filter(f"{p}birth", lambda x: x["text"].rlike(BIRTH_WORD)), lambda x: tail_group(x, BIRTH)), _plain("DATE_OF_BIRTH", 0.90, 0.05)),
         _entities(salaries, _plain("SALARY", 0.85, 0.05)),
     ]
-    df = df.withColumn(out, F.concat(*(x.cast(ENTITY) for x in parts)))
-    return df.drop(*(c for c in df.columns if c.startswith(p)))
+    return [*stages, {out: F.concat(*(x.cast(ENTITY) for x in parts))}]
+
+
+def applied(df: DataFrame, stages: list[dict[str, Column]]) -> DataFrame:
+    for stage in stages:
+        df = df.withColumns(stage)
+    return df.drop(*{name for stage in stages for name in stage if name.startswith("__r_")})
+
+
+def detect(df: DataFrame, text_col: str = "text", out: str = "entities") -> DataFrame:
+    """``df`` with the entities of a text column, before spans that meet are resolved.
+
+    Exact formats claim their spans first; social security, tax and card numbers look only at what is unclaimed;
+    labelled formats neither ask nor claim. A null text has no entities.
+    """
+    return applied(df, steps(text_col, out))
 
 
 def resolved(entities: Column) -> Column:
