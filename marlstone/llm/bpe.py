@@ -17,8 +17,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded
+
 #: Pieces of text whose ids a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -127,7 +129,7 @@ class Bpe:
         Merges run by rising rank, so both ends at the seam grow along their spines; the two stay apart unless at
         some time the merge across the seam ranks below what comes next on the left, and not above on the right.
         """
-        if len(self.known_fits) > 1_000_000:
+        if len(self.known_fits) > 3 * REMEMBERED:
             self.known_fits.clear()
         left, right, ranks = self._spine(pair >> 32, 1), self._spine(pair & 0xFFFFFFFF, 0), self.ranks
         i = j = 0
@@ -242,6 +244,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     cols.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"][: len(cols)])
 
+    bounded(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(coded, schema)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .features import SHAPES, TERMS, quality_features
+from .scratch import bounded
 
 #: Labelled rows that are learned from at most; also bounds what is broadcast.
 SAMPLE = 6000
@@ -98,6 +99,7 @@ def score(docs: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str =
     A null text counts as empty and gets a score as any other; nulls elsewhere and repeated rows change
     nothing; without labelled rows every score is 0.5. An empty table gives an empty table.
     """
+    bounded(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(voter)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +112,7 @@ def score(docs: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str =
 
 def with_score(docs: DataFrame, voter: Voter, name: str) -> DataFrame:
     """``docs`` with all its columns and the score of its ``text`` as one more; nothing is moved."""
+    bounded(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(voter)
     at = docs.columns.index("text")
 

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of one Arrow batch at most, but for a single longer row.
+BATCH_BYTES = 8 << 20
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder; a folder of this machine only where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -17,8 +21,16 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Limits the bytes of the batches that Python workers get, where the session sets no limit: texts may be very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read again: a lost executor costs no more than a read."""
+    bounded(df.sparkSession)
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
