@@ -6,6 +6,7 @@ range from two lookups, so tokens and windows of a batch are hashed by a few num
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,11 @@ INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 #: Bytes of text hashed at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 19
 
-# Workers give freed batches back to the system; Arrow's own pool would keep them.
+# Workers give freed batches and arrays back to the system; Arrow's own pool would keep them, and so would malloc,
+# which raises the size from which it maps arrays of their own (M_MMAP_THRESHOLD, -3) with what was freed before.
 pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(ctypes.CDLL(None), "mallopt"):
+    ctypes.CDLL(None).mallopt(-3, 1 << 18)
 
 _tables: dict[str, np.ndarray] = {}
 

@@ -19,7 +19,9 @@ from .bytehash import mix
 KEY_BYTES = 7
 MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
 #: Fingerprints that a task packs at once.
-PACK = 1_500_000
+PACK = 500_000
+#: Bytes of answers in one Arrow batch, but for a single larger row.
+ANSWER_BYTES = 4 << 20
 SCHEMA = "bucket int, keys binary, ids binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
 
@@ -53,6 +55,15 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.uint16 if n <= 1 << 16 else np.int64)
 
 
+def joined(parts: tuple[list, ...]) -> list[np.ndarray]:
+    """Each list of arrays as one array; the lists are emptied, so that no array is held twice for long."""
+    out = []
+    for part in parts:
+        out.append(np.concatenate(part))
+        part.clear()
+    return out
+
+
 def dealt(keys: np.ndarray, ids: np.ndarray, n: int) -> pa.RecordBatch:
     """A row for each bucket that any of the keys falls into."""
     b = bucket_of(keys, n)
@@ -73,16 +84,18 @@ def packed(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], Iterator[tupl
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: tuple[list, list] = ([], [])
+        size = 0
         for batch in batches:
             for keys, ids in fingerprints(batch):
-                held.append((keys, ids))
+                held[0].append(keys)
+                held[1].append(ids)
                 size += len(keys)
                 if size >= PACK:
-                    yield dealt(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]), n)
-                    held, size = [], 0
+                    yield dealt(*joined(held), n)
+                    size = 0
         if size:
-            yield dealt(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]), n)
+            yield dealt(*joined(held), n)
 
     return df.mapInArrow(pack, SCHEMA)
 
@@ -100,9 +113,8 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
             keys, ids = held.setdefault(b, ([], []))
             keys.append(unpack_keys(k.as_buffer()))
             ids.append(unpack_ids(i.as_buffer()))
-    while held:
-        b, (keys, ids) = held.popitem()
-        yield b, np.concatenate(keys), np.concatenate(ids)
+    for b in list(held):
+        yield b, *joined(held.pop(b))
 
 
 def replies(ids: np.ndarray, columns: list[np.ndarray], n: int) -> list[tuple[int, bytes, list[bytes]]]:
@@ -129,22 +141,26 @@ def per_id(answers: DataFrame, names: list[str], sizes: list[int], n: int) -> Da
     """(id, columns ...): of each id one row, its answers one after the other; ``sizes`` are bytes a value."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, columns = [], [[] for _ in names]
+        held: tuple[list, ...] = ([], *([] for _ in names))
         for batch in batches:
             for i in range(batch.num_rows):
-                ids.append(unpack_ids(batch.column(1)[i].as_buffer()))
-                for c, size, held in zip(batch.columns[2:], sizes, columns):
-                    held.append(np.frombuffer(c[i].as_buffer(), np.uint8).reshape(-1, size))
-        if not ids:
+                held[0].append(unpack_ids(batch.column(1)[i].as_buffer()))
+                for c, size, part in zip(batch.columns[2:], sizes, held[1:]):
+                    part.append(np.frombuffer(c[i].as_buffer(), np.uint8).reshape(-1, size))
+        if not held[0]:
             return
-        ids = np.concatenate(ids)
+        (ids,) = joined(held[:1])
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         ends = np.r_[first[1:], len(ids)]
-        blobs = [np.concatenate(c)[order].tobytes() for c in columns]
-        for lo in range(0, len(first), 5000):
-            part = list(zip(first[lo : lo + 5000].tolist(), ends[lo : lo + 5000].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first[lo : lo + 5000]]), *(pa.array([b[s * z : e * z] for s, e in part], pa.binary()) for b, z in zip(blobs, sizes))], names=["id", *names])
+        columns = [joined((part,))[0][order] for part in held[1:]]
+        del order
+        lo, most = 0, ANSWER_BYTES // sum(sizes)
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + most, "right")))
+            part = list(zip(first[lo:hi].tolist(), ends[lo:hi].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first[lo:hi]]), *(pa.array([c[s:e].tobytes() for s, e in part], pa.binary()) for c in columns)], names=["id", *names])
+            lo = hi
 
     return answers.select("place", "ids", *names).repartitionById(n, "place").mapInArrow(meet, ", ".join(["id long", *(f"{c} binary" for c in names)]))
