@@ -2,8 +2,9 @@
 
 Identifiers are found by fixed patterns. For each identifier the corpus tells which terms keep its company:
 PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e))) compared with the information of the identifier itself,
-IC(e) = log2(N / n(e)). A term whose share PMI / IC reaches a threshold discloses the identifier; where both
-stand in one document the term is generalised to its shape, or removed if the share reaches a second one.
+IC(e) = log2(N / n(e)), with all counts in different texts. The same is asked of the group that an identifier is
+of, such as its domain. A term whose share PMI / IC reaches a threshold discloses the identifier or group; where
+both stand in one document the term is generalised to its shape, or removed if the share reaches a second one.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ NO_ID = -(1 << 63)
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an identifier that count as its company.
 COMPANY = 6
-#: Places with different company that a term and an identifier must share before they count.
-SUPPORT = 3
+#: The weight of a document; n copies of a text have an n-th of it each.
+ONE = 1 << 32
 GENERALISE, REMOVE = 0.6, 0.9
 #: A table of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 100_000
@@ -95,13 +96,28 @@ def _term_keys(terms: list[str]) -> np.ndarray:
     return out
 
 
+def groups(name: str) -> tuple[str, str]:
+    """An identifier and the group it is of: an e-mail's domain, an address's first two parts, the issuer of a card, a phone's digits but the last seven."""
+    kind, value = name.split(":", 1)
+    if kind == "email":
+        return name, "email@" + value.rsplit("@", 1)[1]
+    if kind == "ip":
+        return name, "ip/" + ".".join(value.split(".")[:2])
+    return name, f"{kind}/" + (value[:6] if kind == "card" else value[:-7])
+
+
+def pair_keys(names: list[str], terms: np.ndarray) -> np.ndarray:
+    """A key for each identifier (or group) and hash of a term."""
+    return mix(_term_keys(names) * np.uint64(31) + terms)
+
+
 def company(docs: DataFrame) -> DataFrame:
-    """(id, entity, place, term, key): the terms around each identifier; ``place`` tells different company apart."""
+    """(mark, entity, term, key, pair) of the terms around each identifier, for it and its group; term and keys are null in one row of each, which counts the identifier."""
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows: set[tuple] = set()
+            for mark, text in zip(batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 if not spans:
@@ -111,30 +127,37 @@ def company(docs: DataFrame) -> DataFrame:
                     s, _, e = span
                     left = TERM.findall(low, max(0, s - 40 * COMPANY), s)[-COMPANY:]
                     right = TERM.findall(low, e, e + 40 * COMPANY)[:COMPANY]
-                    name, place = identity(text, span), " ".join(left) + "|" + " ".join(right)
-                    rows.extend((i, name, place, t) for t in {*left, *right} if len(t) > 2)
+                    near = [t for t in {*left, *right} if len(t) > 2]
+                    for name in groups(identity(text, span)):
+                        rows.add((mark, name, None))
+                        rows.update((mark, name, t) for t in near)
             if rows:
-                ids, names, places, terms = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names), pa.array(places), pa.array(terms), pa.array(_term_keys(list(terms)).astype(np.int64))], names=["id", "entity", "place", "term", "key"])
+                marks, names, terms = (list(x) for x in zip(*rows))
+                none = np.array([t is None for t in terms])
+                keys = _term_keys([t or "" for t in terms])
+                pairs = pair_keys(names, keys)
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(names), pa.array(terms, pa.string()), pa.array(keys.astype(np.int64), mask=none), pa.array(pairs.astype(np.int64), mask=none)], names=["mark", "entity", "term", "key", "pair"])
 
-    return docs.mapInArrow(around, "id long, entity string, place string, term string, key long")
+    return docs.mapInArrow(around, "mark long, entity string, term string, key long, pair long")
 
 
 def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, documents) for the terms of ``wanted`` (key): how many rows of ``docs`` (id, text) each is in."""
+    """(key, documents) for the terms of ``wanted`` (key): the weights of the rows of ``docs`` (weight, text) each is in, in documents."""
     n = exchange.buckets(docs.sparkSession)
 
     def counted(batch):
         held = []
-        for _, _, data, at in chunks(batch.column(1)):
+        weights = batch.column(0).to_numpy()
+        for lo, _, data, at in chunks(batch.column(1)):
             data = lower_ascii(data)
             start, end, row = words(data, at, TERM_SEPARATORS)
             h = range_hash(prefix(data), start, end)
             _, first = np.unique(h ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)  # once a document
-            held.append(np.unique(h[first], return_counts=True))
+            keys, back = np.unique(h[first], return_inverse=True)
+            held.append((keys, np.bincount(back, weights[row[first] + lo], len(keys))))
         if held:
             keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            yield keys, np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
+            yield keys, np.bincount(back, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
 
     def asked(batch):
         keys = batch.column(0).to_numpy().astype(np.uint64)
@@ -145,28 +168,36 @@ def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             want = np.unique(keys[counts == 0])
             at = np.searchsorted(want, keys)
             hit = (at < len(want)) & (want[np.minimum(at, max(0, len(want) - 1))] == keys) if len(want) else np.zeros(len(keys), bool)
-            total = np.bincount(at[hit], counts[hit], minlength=len(want)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(want), bucket, np.int32)), pa.array(want.astype(np.int64)), pa.array(total)], names=["bucket", "low", "documents"])
+            total = np.zeros(len(want), np.int64)
+            np.add.at(total, at[hit], counts[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(want), bucket, np.int32)), pa.array(want.astype(np.int64)), pa.array(total / ONE)], names=["bucket", "low", "documents"])
 
     rows = exchange.packed(docs, counted, n).unionByName(exchange.packed(wanted.select("key"), asked, n))
     low = (F.col("key").bitwiseAND(int(exchange.MASK))).alias("low")
-    found = rows.repartitionById(n, "bucket").mapInArrow(answer, "bucket int, low long, documents long")
+    found = rows.repartitionById(n, "bucket").mapInArrow(answer, "bucket int, low long, documents double")
     # A key and its low bits agree one to one within a bucket; terms of two buckets with equal low bits are one in 2**56.
     return wanted.select("key", low).join(found.select("low", "documents"), "low").select("key", "documents")
 
 
-def disclosures(docs: DataFrame, near: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(entity, term, share): terms that give an identifier away, over the whole corpus."""
-    total = docs.count()
-    places = near.select("entity", "place").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = near.select("entity", "place", "term", "key").distinct().groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = saved(pairs.where(F.col("n_et") >= support), "pairs")
-    frequency = document_frequency(docs, pairs.select("key").distinct())
-    rows = pairs.join(places, "entity").join(frequency, "key")
-    both = F.least("n_et", "documents", "n_e")
-    pmi, information = F.log2(total * both / (F.col("documents") * F.col("n_e"))), F.log2(total / F.col("n_e"))
-    rows = rows.where((F.col("documents") > 0) & (information > 0)).select("entity", "term", (pmi / information).alias("share"))
-    return rows.where(F.col("share") >= threshold)
+def disclosures(docs: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """(pair, term, share): terms that give an identifier or its group away, over the whole corpus.
+
+    All counts are of different texts: copies of a text weigh as one.
+    """
+    copies = saved(docs.groupBy("mark").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    total = docs.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    counts = near.distinct().groupBy("entity", "term", "key", "pair").agg(F.count(F.lit(1)).alias("n"))
+    counts = saved(counts, "pairs")
+    single = counts.where("pair is null").select("entity", F.col("n").alias("n_e"))
+    pairs = counts.where("pair is not null").withColumnRenamed("n", "n_et")
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    weighed = docs.join(F.broadcast(copies) if few else copies, "mark", "left")
+    weighed = weighed.select(F.coalesce(F.round(F.lit(float(ONE)) / F.col("copies")).cast("long"), F.lit(ONE)).alias("weight"), "text")
+    frequency = document_frequency(weighed, pairs.select("key").distinct())
+    rows = pairs.join(single, "entity").join(frequency, "key")
+    n_t = F.greatest("documents", "n_et")
+    pmi, information = F.log2(F.lit(float(total)) * F.col("n_et") / (n_t * F.col("n_e"))), F.log2(F.lit(float(total)) / F.col("n_e"))
+    return rows.where(information > 0).select("pair", "term", (pmi / information).alias("share")).where(F.col("share") >= threshold)
 
 
 def shape(term: str) -> str:
@@ -194,27 +225,56 @@ def rewrite(text: str, base: list[tuple[int, int, int]], extra: list[tuple[int,
     return "".join(parts) + text[at:]
 
 
-def _terms(docs: DataFrame, generalise: float, support: int) -> tuple[DataFrame, bool]:
+def asked_pairs(docs: DataFrame) -> DataFrame:
+    """(id, pair) of each document (id, mark, text) with identifiers: every term that it has, with every identifier and group."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids: list[np.ndarray] = []
+            pairs: list[np.ndarray] = []
+            size = 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(2)):
+                text = text.as_py() or ""
+                names = sorted({g for span in base_spans(text) for g in groups(identity(text, span))})
+                if not names:
+                    continue
+                terms = _term_keys(list(set(TERM.findall(text.translate(UPPER)))))
+                for name in names:
+                    pairs.append(pair_keys([name], terms))
+                    ids.append(np.full(len(terms), i, np.int64))
+                    size += len(terms)
+                    if size > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(pairs).astype(np.int64))], names=["id", "pair"])
+                        ids, pairs, size = [], [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(pairs).astype(np.int64))], names=["id", "pair"])
+
+    return docs.mapInArrow(every, "id long, pair long")
+
+
+def _terms(docs: DataFrame, generalise: float) -> tuple[DataFrame, bool]:
     """(id, terms, shares) of the documents (id, text) with disclosing words, and whether they are few enough to broadcast."""
+    docs = docs.select("id", F.xxhash64("text").alias("mark"), "text")
     near = saved(company(docs), "company")
-    given = saved(disclosures(docs, near, generalise, support), "disclosures")
-    terms = near.select("id", "entity").distinct().join(given, "entity").groupBy("id", "term").agg(F.max("share").alias("share"))
+    given = saved(disclosures(docs, near, generalise), "disclosures")
+    few = given.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    terms = asked_pairs(docs).join(F.broadcast(given) if few else given, "pair").groupBy("id", "term").agg(F.max("share").alias("share"))
     terms = saved(terms.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("x")).select("id", F.col("x.term").alias("terms"), F.col("x.share").alias("shares")), "terms")
     return terms, terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans[, text]) of every row.
 
     ``base`` lists the identifiers as kind:start:end by start, then kind; ``spans`` those and, as kind term, the
     words that disclose an identifier of the same document. In ``text`` identifiers become [KIND], disclosing
     words their shape, or nothing if their share reaches ``remove``. A null text is empty; a null id is a
     document like others; rows that repeat an id are each judged by their own text, and share the terms that
-    their identifiers call for; identical places count once, so copies give no evidence. Other columns are
+    their identifiers call for; copies of a text count once, so they give no evidence. Other columns are
     ignored. An empty table gives an empty table.
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    terms, few = _terms(docs, generalise, support)
+    terms, few = _terms(docs, generalise)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"] + ["text"] * with_text
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +297,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
-def rewritten(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def rewritten(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` (doc_id, text, n_chars and any others) with sanitised texts and their lengths; a null text stays null."""
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    terms, few = _terms(docs.select(key.alias("id"), "text"), generalise, support)
+    terms, few = _terms(docs.select(key.alias("id"), "text"), generalise)
     terms = terms.select(F.col("id").alias("__id"), F.col("terms").alias("__terms"), F.col("shares").alias("__shares"))
     rows = docs.join(F.broadcast(terms) if few else terms, key == F.col("__id"), "left").drop("__id")
     at = docs.columns.index("text")
