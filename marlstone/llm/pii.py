@@ -10,6 +10,7 @@ both stand in one document the term is generalised to its shape, or removed if t
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,12 +123,11 @@ def company(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 if not spans:
                     continue
-                low = text.translate(UPPER)
+                found = [(m.start(), m.end(), m.group()) for m in TERM.finditer(text.translate(UPPER))]
                 for span in spans:
                     s, _, e = span
-                    left = TERM.findall(low, max(0, s - 40 * COMPANY), s)[-COMPANY:]
-                    right = TERM.findall(low, e, e + 40 * COMPANY)[:COMPANY]
-                    near = [t for t in {*left, *right} if len(t) > 2]
+                    before, after = bisect_right(found, s, key=lambda x: x[1]), bisect_left(found, e, key=lambda x: x[0])
+                    near = [t for t in {x[2] for x in found[max(0, before - COMPANY) : before] + found[after : after + COMPANY]} if len(t) > 2]
                     for name in groups(identity(text, span)):
                         rows.add((mark, name, None))
                         rows.update((mark, name, t) for t in near)

@@ -32,3 +32,10 @@ def test_frequency_of_copies(spark):
     keys = {t: int(pii._term_keys([t]).astype("int64")[0]) for t in "abc"}
     got = {r.key: r.documents for r in pii.document_frequency(docs, spark.createDataFrame([(k,) for k in keys.values()], "key long")).collect()}
     assert got == {keys["a"]: 1, keys["b"]: 2, keys["c"]: 0}
+
+
+def test_company_is_read_past_long_words(spark):
+    long = "y" * 300
+    text = f"one two six ten {long} {'-' * 300} red ann@one.example - {'=' * 300} {long}z tea"
+    got = {r.term for r in pii.company(spark.createDataFrame([(1, 1, text)], "id long, mark long, text string")).collect()}
+    assert got == {None, "one", "two", "six", "ten", long, "red", f"{long}z", "tea"}
