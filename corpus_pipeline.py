@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, decontaminate, ngram_join, pii, quality
+from marlstone.llm.keys import keyed
 from marlstone.llm.scratch import saved
 from marlstone.llm.tables import table
 
@@ -16,10 +17,10 @@ QUALITY = 0.3
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``gone`` (doc_id); a null id stays unless it is listed."""
-    gone = saved(gone.select(F.coalesce(F.col("doc_id"), F.lit(ngram_join.NO_ID)).alias("__gone")).distinct(), "gone")
+    """``docs`` (__key, ...) without the rows whose key is in ``gone`` (id), and without the key."""
+    gone = saved(gone.select(F.col("id").alias("__gone")).distinct(), "gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.coalesce(F.col("doc_id"), F.lit(ngram_join.NO_ID)) == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +30,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; of rows that repeat an id one."""
-    groups = saved(ngram_join.near_duplicates(docs), "groups")
-    kept = without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Of each group of near copies the document with the smallest id (a null one first); rows are told apart whatever their ids."""
+    docs, plain = keyed(docs, "doc_id", "__key")
+    groups = saved(ngram_join.near_duplicates(docs, "__key").select(F.col("doc_id").alias("id"), F.col("component_id").alias("part")), "groups")
+    if plain:
+        return without(docs, groups.where("id <> part"))
+    ids = docs.select(F.col("__key").alias("id"), F.struct(F.col("doc_id"), F.col("__key")).alias("rank"))
+    best = groups.join(ids, "id").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank")).where("n > 1")
+    return without(docs, groups.join(best, "part").where(F.col("id") != F.col("rank.__key")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    docs, _ = keyed(docs, "doc_id", "__key")
+    return without(docs, decontaminate.contaminated(docs.select(F.col("__key").alias("id"), "text"), table(spark, sf_dir, "benchmark")))
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

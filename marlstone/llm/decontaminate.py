@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .keys import keyed
 from .scratch import saved
 
-NO_ID = -(1 << 63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A table of at most so many rows is broadcast; a larger one is shuffled.
@@ -86,26 +86,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A window is k consecutive words of an item (an item of fewer words is one window); a word that lies in
     any occurrence of a window is hit; ``items`` are the ids, as strings in order, of items with a window that
     occurs. A null or wordless text has no words and no hits, as has an item without words; a null item id is
-    left out of ``items`` but its windows count; rows of one doc_id are judged together and each is returned;
-    a null doc_id is a document like others. Other columns are ignored. An empty table on either side gives
+    left out of ``items`` but its windows count; every row is judged by its own text, whatever its id. Other columns are ignored. An empty table on either side gives
     no hits.
     """
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    docs, _ = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "id")
     tests = saved(windows(benchmark, item_col, item_text_col, k), "windows")
     met = saved(occurrences(docs, tests), "occurrences")
     hit = met.select("id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_hit"))
     items = met.select("id", "window").distinct().join(small(tests.select("window", "items")), "window")
     items = items.select("id", F.explode("items").alias("item")).distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
     found = saved(hit.join(items, "id", "left"), "found")
-    out = docs.select("id", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(small(found), "id", "left")
+    out = docs.select("id", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(small(found), "id", "left")
     return out.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 10) -> DataFrame:
-    """(doc_id) of the documents in which a window of ``benchmark`` (item_id, text) occurs."""
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    """(id) of the documents (id, text), with a key for each row, in which a window of ``benchmark`` (item_id, text) occurs."""
     met = occurrences(docs, saved(windows(benchmark, "item_id", "text", k), "windows"))
-    return met.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")).distinct()
+    return met.select("id").distinct()

@@ -253,8 +253,8 @@ def asked_pairs(docs: DataFrame) -> DataFrame:
 
 
 def _terms(docs: DataFrame, generalise: float) -> tuple[DataFrame, bool]:
-    """(id, terms, shares) of the documents (id, text) with disclosing words, and whether they are few enough to broadcast."""
-    docs = docs.select("id", F.xxhash64("text").alias("mark"), "text")
+    """(id, terms, shares) of the texts (mark, text) with disclosing words, by mark, and whether they are few enough to broadcast."""
+    docs = docs.select(F.col("mark").alias("id"), "mark", "text")
     near = saved(company(docs), "company")
     given = saved(disclosures(docs, near, generalise), "disclosures")
     few = given.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -269,11 +269,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     ``base`` lists the identifiers as kind:start:end by start, then kind; ``spans`` those and, as kind term, the
     words that disclose an identifier of the same document. In ``text`` identifiers become [KIND], disclosing
     words their shape, or nothing if their share reaches ``remove``. A null text is empty; a null id is a
-    document like others; rows that repeat an id are each judged by their own text, and share the terms that
-    their identifiers call for; copies of a text count once, so they give no evidence. Other columns are
+    document like others; rows that repeat an id are each judged by their own text; copies of a text count once, so they give no evidence. Other columns are
     ignored. An empty table gives an empty table.
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("mark", F.xxhash64("text"))
     terms, few = _terms(docs, generalise)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"] + ["text"] * with_text
 
@@ -292,15 +292,16 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             cols = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.string()) for c in cols[5:])], names=names)
 
-    rows = docs.join(F.broadcast(terms) if few else terms, "id", "left").select("id", "text", "terms", "shares")
+    terms = terms.withColumnRenamed("id", "mark")
+    rows = docs.join(F.broadcast(terms) if few else terms, "mark", "left").select("id", "text", "terms", "shares")
     out = rows.mapInArrow(judged, ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base string", "spans string"] + ["text string"] * with_text))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def rewritten(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` (doc_id, text, n_chars and any others) with sanitised texts and their lengths; a null text stays null."""
-    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    terms, few = _terms(docs.select(key.alias("id"), "text"), generalise)
+    key = F.xxhash64("text")
+    terms, few = _terms(docs.select(key.alias("mark"), "text"), generalise)
     terms = terms.select(F.col("id").alias("__id"), F.col("terms").alias("__terms"), F.col("shares").alias("__shares"))
     rows = docs.join(F.broadcast(terms) if few else terms, key == F.col("__id"), "left").drop("__id")
     at = docs.columns.index("text")

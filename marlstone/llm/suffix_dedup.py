@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from . import exchange
 from .bytehash import chunks, mix, prefix, range_hash
 from .deepshallow import shared_spans
+from .keys import keyed
 from .scratch import saved
 
-NO_ID = -(1 << 63)
 GRAM = 32
 #: Rows whose texts a task holds at once.
 ROWS = 1000
@@ -76,15 +76,15 @@ def local_repeats(data: np.ndarray, row: np.ndarray, s0: np.ndarray, s1: np.ndar
     return stays, repeated
 
 
-def _marked(docs: DataFrame, column: str) -> DataFrame:
-    """(id, z, column): texts squeezed for the shuffle."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """(id, z, doc_id): texts squeezed for the shuffle."""
 
     def small(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(x.as_buffer() if x.is_valid else b"") for x in batch.column(1)], pa.binary())], names=["id", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(x.as_buffer() if x.is_valid else b"") for x in batch.column(1)], pa.binary()), batch.column(2)], names=["id", "z", "doc_id"])
 
-    return docs.mapInArrow(small, "id long, z binary")
+    return docs.mapInArrow(small, "id long, z binary, doc_id long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = GRAM) -> DataFrame:
@@ -92,11 +92,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or
     another. Texts are judged as UTF-8 bytes and as they come in. A null text is empty; shorter texts stay
-    whole; a null id is a document of its own kind; rows that repeat an id count as one more place for each
-    text. Removal may cut a code point, so ``kept`` is binary. Other columns are ignored. An empty table gives
+    whole; every row is a document of its own, whatever its id. Removal may cut a code point, so ``kept`` is binary. Other columns are ignored. An empty table gives
     an empty table.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    rows, _ = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "id")
+    rows = rows.select("id", "text", "doc_id")
     spark = rows.sparkSession
     n = exchange.buckets(spark)
     # Whole copies: all of their bytes go, and one of them stands for the rest in what follows.
@@ -170,7 +170,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         found = np.concatenate(got)
         yield exchange.reply_batch(exchange.replies(found[:, 0], [found[:, 1].astype("<i8"), found[:, 2].astype("<i8")], n), ["starts", "ends"])
 
-    squeezed = _marked(rows, "z")
+    squeezed = _marked(rows)
     places = squeezed.join(answers.hint("shuffle_hash"), "id").select("id", "z", "grams").mapInArrow(contexts, PLACES)
     spans = places.repartitionById(n, "bucket").mapInArrow(compare, exchange.reply_schema(["starts", "ends"]))
     spans = saved(exchange.per_id(spans, ["starts", "ends"], [8, 8], n), "spans")
@@ -196,8 +196,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 removed.append(int(gone.sum()))
                 runs.append(int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0)
                 kept.append(data[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (total, removed, runs)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(5), *(pa.array(x, pa.int64()) for x in (total, removed, runs)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = squeezed.join(judged.hint("shuffle_hash"), "id", "left").select("id", "z", "starts", "ends", "copied")
-    out = out.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    out = squeezed.join(judged.hint("shuffle_hash"), "id", "left").select("id", "z", "starts", "ends", "copied", "doc_id")
+    return out.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
