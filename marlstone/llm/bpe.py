@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,12 @@ from pyspark.sql import functions as F
 
 from .scratch import bounded
 
-#: Pieces of text whose ids a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 100_000
+#: Bytes of ids of pieces that a worker remembers; beyond that it forgets all before the next rows.
+REMEMBERED_BYTES = 16 << 20
+#: Pairs of tokens of which a worker remembers whether they fit.
+REMEMBERED_PAIRS = 1_000_000
+#: Rows whose pieces are looked up together, and bytes of new pieces whose tables grow together.
+ROWS, TABLE_BYTES = 250, 1 << 19
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -87,6 +92,29 @@ class Bpe:
         self.known_fits: dict[int, bool] = {}
         self._spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self._known: dict[str, bytes] = {}
+        self._held = 0
+        self._trie()
+        order = sorted(self.tokens)
+        self._size = np.zeros(order[-1] + 1, np.int64)
+        self._size[order] = [len(self.tokens[i]) for i in order]
+        self._place = np.cumsum(self._size) - self._size
+        self._bytes = np.frombuffer(b"".join(self.tokens[i] for i in order), np.uint8)
+
+    def _trie(self) -> None:
+        """All prefixes of tokens: the next node for a row and a byte, a node's row (-1: no token goes on) and its token (or -1)."""
+        nodes: dict[bytes, int] = {b"": 0}
+        for t in self.ranks:
+            for end in range(1, len(t) + 1):
+                nodes.setdefault(t[:end], len(nodes))
+        inner = {x[:-1] for x in nodes if x}
+        self._row, self._token = np.full(len(nodes), -1, np.int32), np.full(len(nodes), -1, np.int64)
+        for r, x in enumerate(inner):
+            self._row[nodes[x]] = r
+        self._next = np.full((len(inner), 256), -1, np.int32)
+        for x, node in nodes.items():
+            if x:
+                self._next[self._row[nodes[x[:-1]]], x[-1]] = node
+            self._token[node] = self.ranks.get(x, -1)
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain BPE of a short byte string: the adjacent pair of lowest rank joins first."""
@@ -129,8 +157,6 @@ class Bpe:
         Merges run by rising rank, so both ends at the seam grow along their spines; the two stay apart unless at
         some time the merge across the seam ranks below what comes next on the left, and not above on the right.
         """
-        if len(self.known_fits) > 3 * REMEMBERED:
-            self.known_fits.clear()
         left, right, ranks = self._spine(pair >> 32, 1), self._spine(pair & 0xFFFFFFFF, 0), self.ranks
         i = j = 0
         fit = True
@@ -156,24 +182,125 @@ class Bpe:
         ids = [whole] if whole is not None else Prefixes(self, data).ids()
         return np.array(ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text, as little-endian 32-bit numbers."""
+    def _endings(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, starts, tokens): of each byte the tokens that end there within its piece, shortest first."""
+        n = len(data)
+        live, node = np.arange(n), np.zeros(n, np.int32)
+        stop = np.repeat(at[1:], np.diff(at))
+        ends, starts, tokens = [], [], []
+        for length in range(1, self.longest + 1):
+            row = self._row[node]
+            go = (row >= 0) & (live + length <= stop[live])
+            live, row = live[go], row[go]
+            node = self._next[row, data[live + length - 1]]
+            go = node >= 0
+            live, node = live[go], node[go]
+            if not len(live):
+                break
+            token = self._token[node]
+            hit = token >= 0
+            ends.append(live[hit] + length - 1)
+            starts.append(live[hit])
+            tokens.append(token[hit])
+        end = np.concatenate(ends)
+        order = np.argsort(end, kind="stable")
+        return np.searchsorted(end[order], np.arange(n + 1)), np.concatenate(starts)[order], np.concatenate(tokens)[order]
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs."""
+        known, pairs = self.known_fits, (left << 32 | right).tolist()
+        for p in {*pairs}.difference(known):
+            self.fits(p)
+        return np.array(list(map(known.__getitem__, pairs)), bool)
+
+    def last_tokens(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The tables of ``Prefixes`` of many pieces at once, one after the other: all grow by a byte in each round."""
+        first, starts, tokens = self._endings(data, at)
+        last = np.full(len(data), -1, np.int64)
+        size = np.diff(at)
+        by = np.argsort(-size, kind="stable")
+        base = at[:-1][by]
+        many = np.searchsorted(-size[by], -np.arange(size.max()), "left")
+        for e, m in enumerate(many.tolist()):
+            pos, begin = base[:m] + e, base[:m]
+            at_, open_ = first[pos], np.arange(m)
+            while len(open_):
+                c = at_[open_]
+                if (c >= first[pos[open_] + 1]).any():
+                    raise ValueError("a byte has no token of its own")
+                s, t = starts[c], tokens[c]
+                ok = s == begin[open_]
+                inner = np.flatnonzero(~ok)
+                if len(inner):
+                    ok[inner] = self._fit(last[s[inner] - 1], t[inner])
+                last[pos[open_[ok]]] = t[ok]
+                open_ = open_[~ok]
+                at_[open_] += 1
+        return last
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts the ids of new pieces into the memory."""
+        raw = [p.encode() for p in pieces]
+        long = [i for i, x in enumerate(raw) if len(x) > 64]  # a round for each byte pays for many pieces only
+        for i in long:
+            self._known[pieces[i]] = self.piece(pieces[i])
+            self._held += len(raw[i]) + len(self._known[pieces[i]])
+        short = [i for i, x in enumerate(raw) if len(x) <= 64] if long else range(len(raw))
+        size = np.array([len(raw[i]) for i in short], np.int64)
+        step = np.cumsum(size) // TABLE_BYTES
+        cuts = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(size)] if len(size) else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            at = np.r_[0, np.cumsum(size[lo:hi])]
+            part = short[lo:hi]
+            last = self.last_tokens(np.frombuffer(b"".join(raw[i] for i in part), np.uint8), at)
+            # From each piece's end back over its last tokens.
+            ids, owner, end, open_ = [], [], at[1:].copy(), np.arange(hi - lo)
+            while len(open_):
+                t = last[end[open_] - 1]
+                ids.append(t)
+                owner.append(open_)
+                end[open_] -= self._size[t]
+                open_ = open_[end[open_] > at[:-1][open_]]
+            owner = np.concatenate(owner)
+            order = np.argsort(owner, kind="stable")
+            flat, count = np.concatenate(ids)[order].astype("<u4"), np.bincount(owner, minlength=hi - lo)
+            blob, stops = flat[::-1].tobytes(), 4 * (len(flat) - np.cumsum(count))
+            sizes = (4 * count).tolist()
+            for i, s, n in zip(part, stops.tolist(), sizes):
+                self._known[pieces[i]] = blob[s : s + n]
+            self._held += len(blob) + at[-1]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian 32-bit numbers."""
         known = self._known
-        if len(known) > REMEMBERED:
+        if self._held > REMEMBERED_BYTES:
             known.clear()
-        pieces = self.pattern.findall(text)
-        out = list(map(known.get, pieces))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    p = pieces[i]
-                    out[i] = known.get(p) or self.piece(p)
-                    if len(p) <= 64:
-                        known[p] = out[i]
-        return b"".join(out)
+            self._held = 0
+        if len(self.known_fits) > REMEMBERED_PAIRS:
+            self.known_fits.clear()
+        pieces = list(map(self.pattern.findall, texts))
+        fresh = set(chain.from_iterable(pieces)).difference(known)
+        if fresh:
+            self._learn(list(fresh))
+        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def decode_all(self, ids: list[bytes]) -> pa.Array:
+        """The bytes that each row of ids stands for."""
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        size = self._size[flat]
+        end = np.cumsum(size)
+        at = np.repeat(self._place[flat] - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+        ends = np.r_[0, end][np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int64)]
+        if ends[-1] < 1 << 31:
+            return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(self._bytes[at])])
+        raw = self._bytes[at].tobytes()
+        return pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_all([ids])[0].as_py()
 
 
 class Editable:
@@ -236,12 +363,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = [bpe.encode(x) if x else b"" for x in part.column(1).to_pylist()]
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                ids = bpe.encode_all([x or "" for x in part.column(1).to_pylist()])
                 cols = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if decoded:
-                    cols.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
+                    cols.append(bpe.decode_all(ids))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"][: len(cols)])
 
     bounded(docs.sparkSession)
@@ -255,6 +382,6 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pa
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), bpe.decode_all([x or b"" for x in batch.column(1).to_pylist()])], names=["doc_id", "decoded"])
 
     return encoded.select("doc_id", F.col(ids_col).alias("ids")).mapInArrow(plain, "doc_id long, decoded binary")
