@@ -12,12 +12,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from .bytehash import mix
 
 KEY_BYTES = 7
 MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
+#: Bytes of input for each bucket at most, as files have them, and the number of buckets beyond which they grow instead.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 100_000
+#: What the planner says of rows that no file holds.
+UNKNOWN = 1 << 60
 #: Fingerprints that a task packs at once.
 PACK = 500_000
 #: Bytes of answers in one Arrow batch, but for a single larger row.
@@ -26,9 +30,14 @@ SCHEMA = "bucket int, keys binary, ids binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
 
 
-def buckets(spark: SparkSession) -> int:
-    """As many as the session's shuffle partitions: a partition for each."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(df: DataFrame) -> int:
+    """A partition for each bucket: as many as the session's shuffle partitions, and more where these would hold too much of ``df``.
+
+    Sizes are those that the planner knows before anything runs, such as the bytes of the files that are read.
+    """
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = 0 if known >= UNKNOWN else known
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(known // BUCKET_BYTES, MOST_BUCKETS))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:

@@ -13,9 +13,11 @@ BATCH_BYTES = 8 << 20
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a folder of this machine only where the session names none (tests)."""
+    """The shared folder; a folder of this machine only where the session names none and runs on this machine alone, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -38,10 +40,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    at, fs = _file_system(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def drop(df: DataFrame) -> None:
     """Deletes what ``saved`` wrote for ``df``; call it once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        remove(df.sparkSession, path)
