@@ -63,6 +63,15 @@ def range_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def gram_hash(p: np.ndarray, k: int) -> np.ndarray:
+    """``range_hash`` of each k consecutive bytes."""
+    n = len(p) - k
+    h = p[k:] - p[:n]
+    h *= _powers("down", INVERSE, len(p) + 1)[:n]
+    h += np.uint64(k)
+    return mix(h)
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,8 +7,11 @@ from bisect import bisect_left, insort
 
 import numpy as np
 
-SHALLOW = 32
+#: Bytes to which multikey quicksort goes; longer than the gram that names a place, so that it also parts places of one gram.
+SHALLOW = 64
 WORD = 8
+#: Parts of so few strings are put in order by comparing what is left of the shallow bytes.
+FEW = 12
 
 
 def lce(x: bytes, y: bytes, known: int = 0) -> int:
@@ -36,7 +39,7 @@ def _words(strings: list[bytes]) -> np.ndarray:
     return np.frombuffer(raw, ">u8").reshape(-1, SHALLOW // WORD).astype(np.uint64)
 
 
-def shallow(strings: list[bytes]) -> list[np.ndarray]:
+def shallow(strings: list[bytes]) -> list[list[int]]:
     """Groups of indexes in rising order of the first SHALLOW bytes; members of a group agree on them."""
     if not strings:
         return []
@@ -45,13 +48,20 @@ def shallow(strings: list[bytes]) -> list[np.ndarray]:
     while todo:
         at, depth = todo.pop()
         if depth == table.shape[1] or len(at) == 1:
-            out.append(at)
+            out.append(at.tolist())
+            continue
+        if len(at) <= FEW:
+            keys = sorted((strings[i][depth * WORD : SHALLOW], i) for i in at.tolist())
+            last = None
+            for key, i in keys:
+                if key == last:
+                    out[-1].append(i)
+                else:
+                    out.append([i])
+                last = key
             continue
         column = table[at, depth]
         pivot = column[len(at) // 2]
-        if (column == pivot).all():
-            todo.append((at, depth + 1))
-            continue
         less, more = column < pivot, column > pivot
         for part, deeper in ((more, depth), (~(less | more), depth + 1), (less, depth)):
             if part.any():
@@ -121,43 +131,44 @@ def suffix_order(strings: list[bytes]) -> list[int]:
     out: list[int] = []
     for group in shallow(strings):
         if len(group) == 1:
-            out.append(int(group[0]))
+            out.append(group[0])
             continue
         trie = BlindTrie(strings)
-        for i in group.tolist():
+        for i in group:
             trie.insert(i)
         for leaf in ordered(trie):
             out.extend(leaf)
     return out
 
 
-def shared_spans(left: list[bytes], right: list[bytes], least: int) -> list[tuple[int, int, int]]:
+def shared_spans(left: list[bytes], right: list[bytes], least: int, key: list[int] | None = None) -> list[tuple[int, int, int]]:
     """(i, l, r): the last l bytes of left[i] and the first r of right[i] also meet in another place, l + r >= least.
 
-    ``left`` holds the bytes before a place, ``right`` those from it on. Of each i come all spans that no
-    other span of i contains. Right parts are put in suffix order; a blind trie over the reversed left parts
-    is then closed from its deepest nodes up, the smaller side joining the larger: when the places of a node
-    at depth l meet, the neighbour in suffix order has the longest right part in common with each newcomer.
+    ``left`` holds the bytes before a place, ``right`` those from it on; only places of one ``key`` are compared.
+    Of each i come all spans that no other span of i contains. All right parts are put in suffix order at once;
+    for each key a blind trie over the reversed left parts is then closed from its deepest nodes up.
     """
-    m = len(left)
     spans: list[tuple[int, int, int]] = []
-    if m < 2:
-        return spans
-    back = [x[::-1] for x in left]
-    if m <= 3:
-        for i in range(m):
-            for j in range(i + 1, m):
-                a, b = lce(back[i], back[j]), lce(right[i], right[j])
-                if a + b >= least:
-                    spans += [(i, a, b), (j, a, b)]
-        return spans
-    order = suffix_order(right)
-    rank = [0] * m
-    for r, i in enumerate(order):
-        rank[i] = r
+    key = key or [0] * len(left)
+    groups: dict[int, list[int]] = {}
+    for i in suffix_order(right):
+        groups.setdefault(key[i], []).append(i)
+    for order in groups.values():
+        if len(order) > 1:
+            _close(order, left, right, least, spans)
+    return spans
+
+
+def _close(order: list[int], left: list[bytes], right: list[bytes], least: int, spans: list[tuple[int, int, int]]) -> None:
+    """Adds the spans of places in suffix order.
+
+    Where the places of a trie's node at depth l meet, the smaller side joins the larger one: the neighbour in
+    suffix order has the longest right part in common with each newcomer.
+    """
+    back = [left[i][::-1] for i in order]
     trie = BlindTrie(back)
-    for i in range(m):
-        trie.insert(i)
+    for r in range(len(order)):
+        trie.insert(r)
 
     def join(depth: int, large: list[int], small: list[int]) -> None:
         for r in small:
@@ -181,8 +192,8 @@ def shared_spans(left: list[bytes], right: list[bytes], least: int) -> list[tupl
         if not _is_node(x):
             ranks: list[int] = []
             depth = len(back[x[0]])
-            for i in x:
-                join(depth, ranks, [rank[i]])
+            for r in x:
+                join(depth, ranks, [r])
             done[id(x)] = ranks
         elif not open_:
             todo.append((x, True))
@@ -193,7 +204,6 @@ def shared_spans(left: list[bytes], right: list[bytes], least: int) -> list[tupl
             while sets:
                 join(x[0], large, sets.pop())
             done[id(x)] = large
-    return spans
 
 
 assert sys.byteorder == "little"
