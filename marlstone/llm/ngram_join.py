@@ -3,8 +3,9 @@
 Columns of the matrix (n-grams) are dealt out by hash; a column that one document alone has can't add to
 any overlap and goes at once. A document whose shared columns are fewer than the overlap that its size
 demands goes next. Of the rest, only the first few columns in rising frequency can open a pair (a pair that
-misses all of them can't reach the overlap that the sizes demand); the products of the pairs that are left
-are accumulated over all their columns, and a pair below the bound of its sizes is discarded.
+misses all of them can't reach the overlap that the sizes demand). For the pairs that are left the product is
+computed block by block of columns; overlaps accumulate, and a pair that can't reach the bound of its sizes any
+more is discarded.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 from . import exchange
 from .bytehash import chunks, lower_ascii, mix, prefix, range_hash, windows, words
 from .components import components
+from .keys import keyed
 from .scratch import drop, saved
 
-#: Stands for a null doc_id inside the operator.
+#: Stands for a null doc_id where ids are compared.
 NO_ID = -(1 << 63)
+#: Columns of a block of the product.
+COLUMNS = 8192
 #: Logarithm of the ratio of sizes within which documents have a leader in common.
 LIKE = 0.1
 
@@ -95,25 +99,51 @@ def _able(sent: DataFrame, sizes: DataFrame, percent: int, n: int) -> DataFrame:
     return rows.select("id", "n", "columns", "frequency", "shared").mapInArrow(ordered, "id long, n long, columns binary, shared long")
 
 
+def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, need: np.ndarray, width: int = COLUMNS) -> np.ndarray:
+    """Overlap of sets[a] and sets[b] for each pair: the sparse product of rows of the incidence matrix, column block by column block.
+
+    Overlaps add up over the blocks; a pair goes (-1) as soon as its overlap and what either row has left can't
+    reach ``need``. A row may name a column once only.
+    """
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    names, column = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True)
+    wide = max(1, len(names))
+    cells = np.sort(rows * wide + column)  # the matrix by rows, columns rising
+    end = np.searchsorted(cells, (np.arange(len(sets)) + 1) * wide)
+    at = np.searchsorted(cells, np.arange(len(sets)) * wide)
+    found, alive = np.zeros(len(a), np.int64), np.arange(len(a))
+    for lo in range(0, wide, width):
+        stop = np.searchsorted(cells, np.arange(len(sets)) * wide + min(lo + width, wide))
+        i, j = a[alive], b[alive]
+        size = stop[j] - at[j]
+        owner = np.repeat(np.arange(len(alive)), size)
+        entry = cells[np.repeat(at[j] - (np.cumsum(size) - size), size) + np.arange(len(owner))]
+        wanted = entry + (i - j)[owner] * wide  # the same columns in the other row
+        place = np.minimum(np.searchsorted(cells, wanted), max(0, len(cells) - 1))
+        found[alive] += np.bincount(owner[cells[place] == wanted] if len(cells) else owner, minlength=len(alive))
+        at = stop
+        left = np.minimum(end[i] - stop[i], end[j] - stop[j])
+        can = found[alive] + left >= need[alive]
+        found[alive[~can]] = -1
+        alive = alive[can]
+        if not len(alive):
+            break
+    return found
+
+
 def links(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b), those whose overlap over all columns reaches the bound of their sizes."""
 
     def product(batches):
         for batch in batches:
-            sets: dict[bytes, np.ndarray] = {}
-            a, b, na, nb, ca, cb = (batch.column(i) for i in range(6))
-            keep = []
-            for i in range(batch.num_rows):
-                x = ca[i].as_py()
-                if x not in sets:
-                    if len(sets) > 64:
-                        sets.clear()
-                    sets[x] = np.sort(np.frombuffer(x, "<u8"))
-                left, right = sets[x], np.frombuffer(cb[i].as_py(), "<u8")
-                at = np.searchsorted(left, right)
-                both = int((left[np.minimum(at, len(left) - 1)] == right).sum()) if len(left) else 0
-                keep.append(100 * both >= percent * (na[i].as_py() + nb[i].as_py() - both))
-            mask = pa.array(keep, pa.bool_())
+            a, b, na, nb = (batch.column(i) for i in range(4))
+            both = np.r_[a.to_numpy(), b.to_numpy()]
+            _, first, at = np.unique(both, return_index=True, return_inverse=True)
+            m = batch.num_rows
+            sets = [np.frombuffer((batch.column(4)[int(f)] if f < m else batch.column(5)[int(f) - m]).as_buffer(), "<i8") for f in first]
+            total = na.to_numpy() + nb.to_numpy()
+            need = -(-percent * total // (100 + percent))
+            mask = pa.array(overlaps(sets, at[:m], at[m:], need) >= need)
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("columns").alias("ca"))
@@ -127,12 +157,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of fewer than k words has
     its whole sequence as its one shingle. Documents link when 100 * overlap >= percent * union of their
     shingle sets. A text that is null or has no words has an empty set, links with nothing and is its own
-    component; rows of one id count as one document that has the shingles of all of them, and each of the
-    rows is returned; a null id counts as an id below all others and is returned as null. Other columns of
-    ``docs`` are ignored. An empty table gives an empty table.
+    component; every row is a document of its own, whatever its id; a null id counts as an id below all others
+    and is returned as null. Shingles count as equal if their hashes are: 56 bits and those of their bucket.
+    Other columns of ``docs`` are ignored. An empty table gives an empty table.
     """
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    buckets = exchange.buckets(docs.sparkSession)
+    docs, plain = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "id")
+    names, docs = docs.select("id", "doc_id"), docs.select("id", "text")
+    buckets = exchange.buckets(docs)
     sizes = saved(set_sizes(docs, k), "sizes")
 
     def of_texts(batch):
@@ -145,11 +176,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             c = mix(np.frombuffer(blob.as_buffer(), "<u8"))
             yield c, np.full(len(c), i)
 
-    # Rows that repeat an id with other texts count with the largest of them.
-    rows = saved(_able(exchange.send(docs, of_texts, buckets), sizes.groupBy("id").agg(F.max("n").alias("n")), percent, buckets), "candidates")
+    rows = saved(_able(exchange.send(docs, of_texts, buckets), sizes, percent, buckets), "candidates")
     # Documents with the same size and the same shared columns overlap alike with all others: one row of each class goes on.
-    mark = rows.select("id", "n", "shared", F.sha2("columns", 256).alias("mark"))
-    member = saved(mark.join(mark.groupBy("mark", "n", "shared").agg(F.min("id").alias("rep")), ["mark", "n", "shared"]).select("id", "rep", "n", "shared"), "members")
+    # The classes are written before they are joined: then both sides of the join are dealt anew, and a class of very many rows is split.
+    mark = saved(rows.select("id", "n", "shared", F.sha2("columns", 256).alias("mark")), "marks")
+    reps = saved(mark.groupBy("mark", "n", "shared").agg(F.min("id").alias("rep")), "reps")
+    member = saved(mark.join(reps, ["mark", "n", "shared"]).select("id", "rep", "n", "shared"), "members")
+    drop(mark)
+    drop(reps)
     classes = rows.join(member.where("id = rep").select("id"), "id", "left_semi")
     # Once more among the classes alone: columns that only copies or lost candidates shared go.
     classes = saved(_able(exchange.send(classes.select("id", "columns"), of_classes, buckets), classes.select("id", "n"), percent, buckets), "classes")
@@ -191,6 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     touched = linked.select(F.col("a").alias("rep")).unionByName(linked.select(F.col("b").alias("rep"))).distinct()
     loose = member.where("id <> rep").join(touched, "rep", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     final = components(linked.unionByName(within).unionByName(loose))
-    out = sizes.join(final.withColumnRenamed("node", "id"), "id", "left")
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("c")).select("doc_id", "n_shingles", real("c").alias("component_id"))
+    out = sizes.join(final.withColumnRenamed("node", "id"), "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("part"))
+    if plain:
+        return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("part").alias("component_id"))
+    out = saved(out.join(names, "id").select("doc_id", "n_shingles", "part"), "parts")
+    least = saved(out.groupBy("part").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least")), "least")
+    return out.join(least, "part").select("doc_id", "n_shingles", F.when(F.col("least") != NO_ID, F.col("least")).alias("component_id"))
