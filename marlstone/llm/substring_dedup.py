@@ -3,12 +3,14 @@
 The index is a list of immutable runs. A run holds, for each bucket, the sorted fingerprints of the windows
 of past documents with the smallest id that each occurred in. A new batch of documents is dealt out by
 bucket, merge-joined with every run, and leaves a run of its own; when runs of like size gather they are
-compacted into one. A fingerprint has two parts from independent hashes: the first places and orders it,
-the second verifies a match.
+compacted into one. The index lives in a folder: the runs, and a manifest of them for each state, so that another
+session goes on where one ended. A fingerprint has two parts from independent hashes: the first places and orders
+it, the second verifies a match.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .bytehash import chunks, prefix, range_hash, windows, words
-from .scratch import saved
+from .scratch import bounded, folder, listed, remove
 
 NO_ID = -(1 << 63)
 CHECK = np.uint64((1 << 24) - 1)
@@ -54,17 +56,52 @@ def _rows(kind: int, buckets: list[int], keys: list[bytes], ids: list[bytes]) ->
 
 
 class FingerprintIndex:
-    """The runs of all batches so far; ``add`` answers for a batch and takes it in."""
+    """The runs of all batches so far; ``add`` answers for a batch and takes it in.
 
-    def __init__(self, spark: SparkSession, k: int = 13, fan_in: int = 2, n: int | None = None):
-        self.spark, self.k, self.fan_in, self.n = spark, k, fan_in, n or exchange.buckets(spark)
-        self.runs: list[tuple[int, DataFrame, DataFrame]] = []  # (level, rows of the run, table they lie in)
+    With a ``path`` that holds an index, that index is opened, with its own k and number of buckets. Each state
+    is a manifest of its own, written after its runs, so a broken ``add`` leaves the state before it.
+    """
+
+    def __init__(self, spark: SparkSession, k: int = 13, fan_in: int = 2, n: int | None = None, path: str | None = None):
+        self.spark, self.fan_in, self.k = spark, fan_in, k
+        self.n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = path or f"{folder(spark)}/index-{uuid.uuid4().hex}"
+        self.state, self.runs = 0, []  # (level, name of a run)
+        states = [int(x.rsplit("-", 1)[1]) for x in listed(spark, self.path) if x.startswith("manifest-") and "_SUCCESS" in listed(spark, f"{self.path}/{x}")]
+        if states:
+            self.state = max(states)
+            rows = spark.read.parquet(f"{self.path}/manifest-{self.state}").orderBy("at").collect()  # a row for each run
+            self.k, self.n = rows[0]["k"], rows[0]["n"]
+            self.runs = [(r["level"], r["run"]) for r in rows if r["run"]]
+
+    def run(self, name: str) -> DataFrame:
+        return self.spark.read.schema("bucket int, keys binary, ids binary").parquet(f"{self.path}/{name}/kind=1").select(F.lit(1).alias("kind"), "bucket", "keys", "ids")
+
+    def _write(self, rows: DataFrame) -> str:
+        """Rows of both kinds, in a folder for each."""
+        bounded(self.spark)
+        name = f"run-{uuid.uuid4().hex}"
+        rows.write.partitionBy("kind").parquet(f"{self.path}/{name}")
+        return name
+
+    def _manifest(self) -> None:
+        """Writes the state, and forgets the one before and the runs that only it named."""
+        rows = [(i, level, name, self.k, self.n) for i, (level, name) in enumerate(self.runs)] or [(0, 0, None, self.k, self.n)]
+        self.spark.createDataFrame(rows, "at int, level int, run string, k int, n int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest-{self.state + 1}")
+        self.state += 1
+        if f"manifest-{self.state - 1}" in listed(self.spark, self.path):
+            remove(self.spark, f"{self.path}/manifest-{self.state - 1}")
+
+    def drop(self) -> None:
+        """Deletes the index; answers that were given stay."""
+        for _, name in self.runs:
+            remove(self.spark, f"{self.path}/{name}/kind=1")
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """(place, keys, ids): of the documents of ``docs`` (id, text) the windows that a smaller id has too, packed.
 
-        A batch may hold any ids: those of the index and of the batch both count. After the last batch
-        no run is written.
+        A batch may hold any ids: those of the index and of the batch both count, but answers for earlier
+        batches aren't taken back. With ``last`` no run is written and the index stays as it was.
         """
         k, n = self.k, self.n
 
@@ -101,16 +138,24 @@ class FingerprintIndex:
                     yield _rows(1, [b], [exchange.pack_keys(distinct)], [_plain(least)])
 
         rows = exchange.packed(docs, fingerprints, n).select(F.lit(0).alias("kind"), "bucket", "keys", "ids")
-        for _, run, _ in self.runs:
-            rows = rows.unionByName(run)
-        out = saved(rows.repartitionById(n, "bucket").mapInArrow(answer, ROWS), "run")
+        for _, name in self.runs:
+            rows = rows.unionByName(self.run(name))
+        name = self._write(rows.repartitionById(n, "bucket").mapInArrow(answer, ROWS))
         if not last:
-            self.runs.append((0, out.where("kind = 1"), out))
-            self._compact()
-        return out.where("kind = 0").select(F.col("bucket").alias("place"), "keys", "ids")
-
-    def _compact(self) -> None:
-        """Merges runs of one level, once ``fan_in`` of them are there, into one of the next."""
+            self.runs.append((0, name))
+            fresh = self._compact()
+            self._manifest()
+            for old in fresh:
+                remove(self.spark, f"{self.path}/{old}/kind=1")
+        if "kind=0" not in listed(self.spark, f"{self.path}/{name}"):
+            return self.spark.createDataFrame([], "place int, keys binary, ids binary")
+        answers = self.spark.read.schema("bucket int, keys binary, ids binary").parquet(f"{self.path}/{name}/kind=0")
+        return answers.select(F.col("bucket").alias("place"), "keys", "ids")
+
+    def _compact(self) -> list[str]:
+        """Merges runs of one level, once ``fan_in`` of them are there, into one of the next; names those that are merged."""
+        merged_away: list[str] = []
+        self.runs = [r for r in self.runs if "kind=1" in listed(self.spark, f"{self.path}/{r[1]}")]  # a batch without windows leaves none
         while self.runs and len(same := [r for r in self.runs if r[0] == self.runs[-1][0]]) >= self.fan_in:
             level, n = same[0][0], self.n
 
@@ -126,11 +171,13 @@ class FingerprintIndex:
                     _, _, distinct, least = _least(np.concatenate(keys), np.concatenate(ids))
                     yield _rows(1, [b], [exchange.pack_keys(distinct)], [_plain(least)])
 
-            both = same[0][1]
-            for _, run, _ in same[1:]:
-                both = both.unionByName(run)
-            merged = saved(both.repartitionById(n, "bucket").mapInArrow(merge, ROWS), "run")
-            self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, merged, merged)]
+            both = self.run(same[0][1])
+            for _, name in same[1:]:
+                both = both.unionByName(self.run(name))
+            merged = self._write(both.repartitionById(n, "bucket").mapInArrow(merge, ROWS))
+            merged_away += [name for _, name in same]
+            self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, merged)]
+        return merged_away
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, history: tuple[float, ...] = (0.0625, 0.125)) -> DataFrame:
@@ -147,7 +194,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     spark = docs.sparkSession
     ends = docs.select(F.percentile_approx("id", list(history), 1000).alias("q")).first()["q"] or []
     ends = sorted({*ends})
-    index = FingerprintIndex(spark, k)
+    index = FingerprintIndex(spark, k, n=exchange.buckets(docs))
     found = None
     for i in range(len(ends) + 1):
         part = docs
@@ -157,6 +204,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
             part = part.where(F.col("id") <= ends[i])
         hits = index.add(part, last=i == len(ends))
         found = hits if found is None else found.unionByName(hits)
+    index.drop()
     found = exchange.per_id(found, ["keys"], [8], index.n)
 
     def small(batches):
