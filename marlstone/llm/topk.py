@@ -1,9 +1,11 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are dealt into cells around a few pivots (large cells are split), so that each block is compact. A task
-gets a block of queries and some blocks of vectors, builds a cover tree over each, and walks pairs of nodes: by
-the covering radii no product below a pair of nodes exceeds q.p + |q|Rp + |p|Rq + RqRp, and a pair whose bound is
-below the worst kth score of its queries is pruned. All arithmetic is on integers.
+Vectors and queries are dealt into cells around a few pivots, each with its covering radius. A cell of vectors
+goes to a cell of queries only if the bound of the two balls reaches the worst kth score that a sample already
+warrants; what can't reach it is never moved. In a task cover trees are built over the queries and over each cell
+of vectors and walked together: by the covering radii no product below a pair of nodes exceeds
+q.p + |q|Rp + |p|Rq + RqRp, and a pair whose bound is below the worst kth score of its queries is pruned; in a
+pair of leaves each query has a bound of its own. All arithmetic is on integers.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ from pyspark.sql.window import Window
 
 from .scratch import saved
 
-PIVOTS = 32
+#: Cells of a dimension at most; pivots are taken from a sample of so many rows.
+PIVOTS = 64
 SAMPLE = 512
+#: Rows of a task's vectors and of its queries, about.
 BLOCK = 4096
 QUERY_BLOCK = 8192
-LEAF = 128
+LEAF = 16
+#: Vectors of leaves that a leaf of queries meets at once.
+TOGETHER = 512
 
 
 @dataclass
@@ -35,66 +41,135 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
+@dataclass
+class Count:
+    """Products of a query and a vector: those that a bound spared, for whole nodes and in leaves, and those computed."""
+
+    by_nodes: int = 0
+    in_leaves: int = 0
+    computed: int = 0
+
+    @property
+    def share(self) -> float:
+        return (self.by_nodes + self.in_leaves) / max(1, self.by_nodes + self.in_leaves + self.computed)
+
+
+def farthest_first(x: np.ndarray, most: int, enough: float) -> tuple[list[int], np.ndarray, float]:
+    """(centres, nearest centre of each row, covering radius): each new centre is the row farthest from those before.
+
+    Ends once the radius is ``enough`` or there are ``most`` centres. Centres lie at least the covering radius apart.
+    """
+    square = (x**2).sum(1)
+    from_ = lambda i: np.sqrt(np.maximum(square + square[i] - 2 * (x @ x[i]), 0))
+    centres, nearest = [0], np.zeros(len(x), np.int64)
+    near = from_(0)
+    while len(centres) < most and near.max() > enough:
+        far = int(near.argmax())
+        d = from_(far)
+        closer = d < near
+        near[closer], nearest[closer] = d[closer], len(centres)
+        centres.append(far)
+    return centres, nearest, float(near.max())
+
+
 def cover_tree(x: np.ndarray, rows: np.ndarray | None = None) -> Node:
-    """Children's centres lie more than half their parent's radius apart and cover its rows within that."""
+    """A node's rows lie within its radius of its centre, and its children's centres at least their covering radius apart.
+
+    Children cover their rows within half their parent's radius, unless that takes more than a child for each LEAF
+    rows, as it does where vectors have no structure; then within what so many children give. A node of at most
+    LEAF rows, or of equal ones, is a leaf.
+    """
     rows = np.arange(len(x)) if rows is None else rows
     centre = x[rows[0]]
-    away = np.sqrt(((x[rows] - centre) ** 2).sum(1))
-    node = Node(centre, float(away.max()), float(np.sqrt((centre**2).sum())), rows)
-    if len(rows) <= LEAF or node.radius == 0:
-        return node
-    near, nearest, k = away.copy(), np.zeros(len(rows), np.int64), 0
-    while near.max() > node.radius / 2 and k * LEAF < len(rows):  # farthest first
-        k += 1
-        far = int(near.argmax())
-        d = np.sqrt(((x[rows] - x[rows[far]]) ** 2).sum(1))
-        closer = d < near
-        near[closer], nearest[closer] = d[closer], k
-    parts = [rows[nearest == i] for i in range(k + 1)]
-    parts = [p for p in parts if len(p)]
-    if len(parts) > 1:
-        node.children = [cover_tree(x, p) for p in parts]
+    radius = float(np.sqrt(((x[rows] - centre) ** 2).sum(1)).max())
+    node = Node(centre, radius, float(np.sqrt((centre**2).sum())), rows)
+    if len(rows) > LEAF and radius:
+        centres, nearest, _ = farthest_first(x[rows], max(2, math.ceil(len(rows) / LEAF)), radius / 2)
+        for i, c in enumerate(centres):
+            nearest[c] = -1  # a child's centre comes first among its rows
+            node.children.append(cover_tree(x, np.r_[rows[c], rows[nearest == i]]))
     return node
 
 
 class Best:
-    """The k best (score, smaller id first) of each query so far."""
+    """The k best (score, smaller id first) of each query so far; an empty place has score -inf."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor
-        self.scores: list[np.ndarray] = [np.zeros(0)] * n
-        self.ids: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-        self.worst = floor.copy()
+        self.k, self.worst = k, floor.copy()
+        self.scores, self.ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` (queries x ids); -inf is no candidate."""
+        s = np.concatenate([self.scores[queries], scores], 1)
+        i = np.concatenate([self.ids[queries], np.broadcast_to(ids, scores.shape)], 1)
+        order = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.scores[queries], self.ids[queries] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        self.worst[queries] = np.maximum(self.worst[queries], self.scores[queries, -1])
+
 
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, i = np.r_[self.scores[q], scores], np.r_[self.ids[q], ids]
-        order = np.lexsort((i, -s))[: self.k]
-        self.scores[q], self.ids[q] = s[order], i[order]
-        if len(order) == self.k:
-            self.worst[q] = max(self.floor[q], self.scores[q][-1])
+def _slack(bound):
+    """A bound with room for the rounding of what it is made of."""
+    return bound + np.abs(bound) * 1e-9 + 1e-6
 
 
-def dual_search(qx: np.ndarray, q_ids: np.ndarray, q_tree: Node, rx: np.ndarray, r_ids: np.ndarray, r_tree: Node, best: Best) -> None:
+def dual_search(qx: np.ndarray, q_ids: np.ndarray, q_tree: Node, rx: np.ndarray, r_ids: np.ndarray, r_tree: Node, best: Best, count: Count | None = None) -> None:
     """Adds to ``best`` every vector of ``r_tree`` that could be among the k best of a query of ``q_tree``."""
+    count = count or Count()
+    norms = np.sqrt((qx**2).sum(1))
 
-    def bound(a: Node, b: Node) -> float:
-        return float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
+    def stacked(nodes: list[Node]) -> tuple[np.ndarray, ...]:
+        return np.array(nodes, object), np.stack([n.centre for n in nodes]), np.array([n.radius for n in nodes]), np.array([n.norm for n in nodes])
 
-    todo = [(bound(q_tree, r_tree), q_tree, r_tree)]
+    def pruned(a: Node, nodes: np.ndarray, can: np.ndarray) -> None:
+        count.by_nodes += len(a.rows) * sum(len(n.rows) for n in nodes[~can])
+
+    def leaves(a: Node, nodes: list[Node], bounds: np.ndarray) -> None:
+        """A leaf of queries against leaves of vectors; ``bounds`` (queries x leaves)."""
+        rows, owner = np.concatenate([n.rows for n in nodes]), np.repeat(np.arange(len(nodes)), [len(n.rows) for n in nodes])
+        can = (_slack(bounds) >= best.worst[a.rows][:, None]).any(1)
+        q, ids = a.rows[can], r_ids[rows]
+        count.in_leaves += (len(a.rows) - len(q)) * len(rows)
+        count.computed += len(q) * len(rows)
+        if not len(q):
+            return
+        scores = qx[q] @ rx[rows].T
+        take = (scores >= best.worst[q][:, None]) & (ids != q_ids[q][:, None])
+        some, few = take.any(1), take.any(0)
+        if some.any():
+            scores[~take] = -np.inf
+            best.add(q[some], scores[some][:, few], ids[few])
+
+    # A node of queries goes with all nodes of vectors that its parent could not prune.
+    todo = [(q_tree, stacked([r_tree]))]
     while todo:
-        most, a, b = todo.pop()
-        if most * (1 + 1e-9) + 1e-6 < best.worst[a.rows].min():
+        a, (nodes, centres, radii, sizes) = todo.pop()
+        can = _slack(centres @ a.centre + a.norm * radii + sizes * a.radius + a.radius * radii) >= best.worst[a.rows].min()
+        pruned(a, nodes, can)
+        if not can.any():
             continue
-        if not a.children and not b.children:
-            scores = qx[a.rows] @ rx[b.rows].T
-            for i, q in enumerate(a.rows.tolist()):
-                take = np.flatnonzero((scores[i] >= best.worst[q]) & (r_ids[b.rows] != q_ids[q]))
-                if len(take):
-                    best.add(q, scores[i][take], r_ids[b.rows[take]])
-        else:
-            split_a = a.children and (not b.children or a.radius > b.radius)
-            pairs = [(c, b) for c in a.children] if split_a else [(a, c) for c in b.children]
-            todo += sorted(((bound(*p), *p) for p in pairs), key=lambda t: t[0])  # the most promising pair comes next
+        nodes, centres, radii, sizes = (x[can] for x in (nodes, centres, radii, sizes))
+        if a.children:
+            wide = np.array([bool(n.children) and n.radius >= a.radius for n in nodes])
+            if wide.any():
+                nodes, centres, radii, sizes = stacked([*nodes[~wide], *(c for n in nodes[wide] for c in n.children)])
+            todo += [(c, (nodes, centres, radii, sizes)) for c in a.children]
+            continue
+        ready, columns = [], []
+        while len(nodes):  # each query of a leaf has its own bound for each node, level by level
+            bounds = qx[a.rows] @ centres.T + norms[a.rows][:, None] * radii
+            can = (_slack(bounds) >= best.worst[a.rows][:, None]).any(0)
+            pruned(a, nodes, can)
+            inner = np.array([bool(n.children) for n in nodes])
+            ready += [*nodes[can & ~inner]]
+            columns.append(bounds[:, can & ~inner])
+            below = [c for n in nodes[can & inner] for c in n.children]
+            nodes, centres, radii, _ = stacked(below) if below else (below, None, None, None)
+        if ready:
+            bounds = np.concatenate(columns, 1)
+            order = np.argsort(-bounds.max(0), kind="stable")
+            step = np.cumsum([len(ready[i].rows) for i in order]) // TOGETHER
+            for part in np.split(order, np.flatnonzero(np.diff(step)) + 1):
+                leaves(a, [ready[i] for i in part], bounds[:, part])
 
 
 def _matrix(column) -> np.ndarray:
@@ -118,49 +193,105 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.size(v).alias("dim"))
 
 
+def _ranges(numbers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges (first, last) joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(numbers):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _tasks(counts: list[int], most: int) -> list[tuple[int, int]]:
+    """(first task, number of tasks) of each cell in order: small cells share a task, a large one has several."""
+    out, task, held = [], 0, 0
+    for n in counts:
+        parts = math.ceil(n / most)
+        if parts > 1:
+            task += held > 0
+            out.append((task, parts))
+            task, held = task + parts, 0
+            continue
+        if held and held + n > most:
+            task, held = task + 1, 0
+        out.append((task, 1))
+        held += n
+    return out
+
+
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` marks its k largest inner products.
 
     Components count as floor(scale * x). Candidates are all rows with another id and as many components; ties
     go to the smaller id; a query with fewer than k candidates gets all of them. Rows whose id or vector is
     null, or whose vector holds a null, NaN or infinite component, take no part; rows that repeat an id with
-    the same vector count once. Other columns are ignored. An empty table gives an empty table.
+    the same vector count once, those with other vectors are candidates of their own, and such an id asks with
+    the least of its vectors (fewest components, then in order). Other columns are ignored. An empty table gives
+    an empty table.
     """
-    marked = quantised(vectors.withColumn("__query", F.coalesce(is_query, F.lit(False))), id_col, vector_col, scale)
-    rows = saved(marked.distinct(), "vectors")
-    # The mark depends on the id alone once the rows are distinct; it is taken from a semi join to keep ``quantised`` plain.
-    queries = saved(rows.join(vectors.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi"), "queries")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # bounded: SAMPLE rows
-    n, nq = rows.count(), queries.count()
-    ids = np.array([r["id"] for r in sample], np.int64)
-    by_dim = {d: [i for i, r in enumerate(sample) if r["dim"] == d] for d in {r["dim"] for r in sample}}
-    vectors_of = {d: np.array([sample[i]["v"] for i in at], np.int64).reshape(len(at), d) for d, at in by_dim.items()}
-    ids_of = {d: ids[at] for d, at in by_dim.items()}
-    pivots = {d: x[np.unique(np.linspace(0, len(x) - 1, min(PIVOTS, len(x))).astype(int))].astype(np.float64) for d, x in vectors_of.items()}
-
-    def cells(batches):
-        for batch in batches:
-            dims = batch.column(2).to_numpy()
-            cell = np.zeros(len(dims), np.int64)
-            for d in np.unique(dims):
-                if d in pivots:
+    spark = vectors.sparkSession
+    rows = saved(quantised(vectors, id_col, vector_col, scale).distinct(), "vectors")
+    asked = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct()
+    queries = rows.join(asked, "id", "left_semi").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x")).select("id", "x.v", "x.dim")
+    sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect()  # bounded: SAMPLE rows
+    known = {d: ([r["id"] for r in sample if r["dim"] == d], np.array([r["v"] for r in sample if r["dim"] == d], np.float64)) for d in {r["dim"] for r in sample}}
+    pivots = {d: x[farthest_first(x, PIVOTS, 0.0)[0]] for d, (_, x) in known.items()}
+
+    def celled(with_floor: bool):
+        def cells(batches):
+            for batch in batches:
+                dims = batch.column(2).to_numpy()
+                cell, away, floor = np.zeros(len(dims), np.int64), np.zeros(len(dims)), np.full(len(dims), -np.inf)
+                for d in np.unique(dims):
                     at = np.flatnonzero(dims == d)
                     x = _matrix(batch.column(1).take(pa.array(at))).astype(np.float64)
-                    p = pivots[d]
-                    cell[at] = ((p**2).sum(1) - 2 * x @ p.T).argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["id", "v", "dim", "cell"])
-
-    placed = rows.mapInArrow(cells, "id long, v array<bigint>, dim int, cell long")
-    sizes = {(r["dim"], r["cell"]): r["count"] for r in placed.groupBy("dim", "cell").count().collect()} if len(pivots) <= SAMPLE else {}  # at most PIVOTS a dimension
-    spread = F.lit(1)
-    for (d, c), count in sorted(sizes.items()):
-        if count > BLOCK:
-            spread = F.when((F.col("dim") == d) & (F.col("cell") == c), math.ceil(count / BLOCK)).otherwise(spread)
-    groups, query_blocks = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(nq / QUERY_BLOCK))
-    block = F.struct("dim", "cell", F.pmod(F.xxhash64("id"), spread).alias("part"))
-    right = placed.withColumn("block", F.xxhash64(block)).withColumn("g", F.pmod("block", F.lit(groups)).cast("int"))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+                    p = pivots.get(d, np.zeros((1, d)))
+                    far = np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1) - 2 * x @ p.T, 0)
+                    cell[at] = far.argmin(1)
+                    away[at] = np.sqrt(((x - p[cell[at]]) ** 2).sum(1))
+                    if with_floor and d in known:  # k candidates of the sample bound the kth score from below, whatever cell they lie in
+                        ids = np.array(known[d][0])
+                        own = batch.column(0).to_numpy()[at][:, None] == ids
+                        s = np.where(own, -np.inf, x @ known[d][1].T)
+                        if s.shape[1] >= k:
+                            floor[at] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                cols = [*batch.columns, pa.array(cell), pa.array(away), pa.array(floor)]
+                yield pa.RecordBatch.from_arrays(cols[: 5 + with_floor], names=["id", "v", "dim", "cell", "away", "floor"][: 5 + with_floor])
+
+        return cells
+
+    placed = saved(rows.mapInArrow(celled(False), "id long, v array<bigint>, dim int, cell long, away double"), "placed")
+    queries = saved(queries.mapInArrow(celled(True), "id long, v array<bigint>, dim int, cell long, away double, floor double"), "queries")
+    # A few figures for each cell: at most PIVOTS in a dimension.
+    v_cells = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).orderBy("dim", "cell").collect()
+    q_cells = queries.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r"), F.min("floor").alias("floor")).orderBy("dim", "cell").collect()
+    v_tasks, q_tasks = _tasks([c["n"] for c in v_cells], BLOCK), _tasks([c["n"] for c in q_cells], QUERY_BLOCK)
+
+    def reaches(q, v) -> bool:
+        d = q["dim"]
+        if d != v["dim"]:
+            return False
+        a, b = (pivots.get(d, np.zeros((1, d)))[c["cell"]] for c in (q, v))
+        most = a @ b + math.sqrt(a @ a) * v["r"] + math.sqrt(b @ b) * q["r"] + q["r"] * v["r"]
+        return most + abs(most) * 1e-9 + 1e-6 >= q["floor"]
+
+    def sent(cells, tasks, others, other_tasks, meets) -> DataFrame:
+        """Where the rows of each cell go: its own tasks, and ranges of the other side's."""
+        out = []
+        for c, (first, parts) in zip(cells, tasks):
+            for lo, hi in _ranges([(t, t + m - 1) for o, (t, m) in zip(others, other_tasks) if meets(c, o)]):
+                out.append((c["dim"], c["cell"], first, parts, lo, hi))
+        return spark.createDataFrame(out, "dim int, cell long, first int, parts int, lo int, hi int")
+
+    def dealt(df: DataFrame, table: DataFrame, own: str, other: str) -> DataFrame:
+        held = df.join(F.broadcast(table), ["dim", "cell"])  # at most PIVOTS ranges for each of PIVOTS cells
+        own_task = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
+        return held.select("id", "v", "dim", "cell", *(c for c in ("floor",) if c in df.columns), own_task.alias(own), F.explode(F.sequence("lo", "hi")).alias(other))
+
+    left = dealt(queries, sent(q_cells, q_tasks, v_cells, v_tasks, reaches), "qb", "g")
+    right = dealt(placed, sent(v_cells, v_tasks, q_cells, q_tasks, lambda v, q: reaches(q, v)), "g", "qb")
 
     def search(q: pa.Table, r: pa.Table) -> pa.Table:
         got: list[tuple[np.ndarray, ...]] = []
@@ -169,13 +300,6 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
             qs, rs = q.filter(pa.array(q_dims == d)), r.filter(pa.array(r_dims == d))
             q_ids, r_ids = qs.column("id").to_numpy(), rs.column("id").to_numpy()
             qx, rx = _exact(_matrix(qs.column("v").combine_chunks()), _matrix(rs.column("v").combine_chunks()))
-            # k candidates of the sample bound the kth score from below, whatever block they lie in.
-            floor = np.full(len(q_ids), -np.inf)
-            if d in vectors_of and len(vectors_of[d]) > k and qx.dtype == np.float64:
-                s = qx @ vectors_of[d].astype(np.float64).T
-                s[q_ids[:, None] == ids_of[d][None, :]] = -np.inf
-                floor = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-            best = Best(len(q_ids), k, floor)
             if qx.dtype == object:  # numbers too large for doubles: every product, no bounds
                 for i in range(len(q_ids)):
                     keep = r_ids != q_ids[i]
@@ -183,11 +307,12 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                     order = sorted(range(len(scores)), key=lambda j: (-scores[j], r_ids[keep][j]))[:k]
                     got.append((np.full(len(order), q_ids[i]), r_ids[keep][order], np.array([int(scores[j]) for j in order], np.int64)))
                 continue
-            q_tree = cover_tree(qx)
-            blocks = rs.column("block").to_numpy()
-            for b in np.unique(blocks):
-                dual_search(qx, q_ids, q_tree, rx, r_ids, cover_tree(rx, np.flatnonzero(blocks == b)), best)
-            got += [(np.full(len(best.ids[i]), q_ids[i]), best.ids[i], best.scores[i].astype(np.int64)) for i in range(len(q_ids))]
+            best = Best(len(q_ids), k, qs.column("floor").to_numpy())
+            q_tree, cells = cover_tree(qx), rs.column("cell").to_numpy()
+            for c in np.unique(cells):
+                dual_search(qx, q_ids, q_tree, rx, r_ids, cover_tree(rx, np.flatnonzero(cells == c)), best)
+            i, j = np.nonzero(np.isfinite(best.scores))
+            got.append((q_ids[i], best.ids[i, j], best.scores[i, j].astype(np.int64)))
         cols = [np.concatenate(x).astype(np.int64) for x in zip(*got)] if got else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), cols)))
 
