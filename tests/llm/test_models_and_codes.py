@@ -40,10 +40,35 @@ def test_cover_tree_bounds():
         n = todo.pop()
         assert np.sqrt(((x[n.rows] - n.centre) ** 2).sum(1)).max() <= n.radius + 1e-9
         if n.children:
+            centres, worst = np.array([c.centre for c in n.children]), max(np.sqrt(((x[c.rows] - c.centre) ** 2).sum(1)).max() for c in n.children)
+            apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))[~np.eye(len(centres), dtype=bool)]
+            assert apart.min() >= worst - 1e-9 and (worst <= n.radius / 2 + 1e-9 or len(centres) == max(2, -(-len(n.rows) // topk.LEAF)))
             assert sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
         todo += n.children
 
 
+def test_bounds_spare_products_where_vectors_have_structure():
+    """On clusters most products are never computed; on noise few are spared, and the result is the same either way."""
+    g = np.random.default_rng(2)
+    centres = g.normal(size=(40, 16)) * 300
+    for spread, least in ((10, 0.8), (400, 0.0)):
+        x = np.floor(centres[g.integers(0, 40, 6000)] + g.normal(size=(6000, 16)) * spread)
+        q, ids = np.arange(0, 6000, 20), np.arange(6000)
+        best, count = topk.Best(len(q), 20, np.full(len(q), -np.inf)), topk.Count()
+        topk.dual_search(x[q], ids[q], topk.cover_tree(x[q]), x, ids, topk.cover_tree(x), best, count)
+        assert count.by_nodes + count.in_leaves + count.computed == len(q) * 6000 and count.share >= least, count
+        for i, j in enumerate(q):
+            s = x @ x[j]
+            want = [k for k in np.lexsort((ids, -s)) if k != j][:20]
+            assert best.ids[i].tolist() == want and (best.scores[i] == s[want]).all()
+
+
+def test_ids_with_several_vectors(spark):
+    df = spark.createDataFrame([(20, [2.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 5.0]), (4, [9.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(20, 1, 4, 64 * 64 * 9), (20, 2, 3, 64 * 64)]
+
+
 @pytest.mark.parametrize("module, label, mod, held, threshold, least", [(quality, "quality", 5, 0, 0.3, 0.95), (toxicity, "toxic", 3, 1, 0.7, 0.8)])
 def test_classifier_on_held_out_rows(spark, module, label, mod, held, threshold, least):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")

@@ -7,9 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, ngram_join, substring_dedup, suffix_dedup
-from marlstone.llm.deepshallow import lce, shared_spans, suffix_order
+from marlstone.llm.deepshallow import lce, shallow, shared_spans, suffix_order
 
 SCHEMA = "doc_id long, text string, lang string, id long, keys string, z binary"  # names that operators use inside
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,7 +67,8 @@ def test_ngram_join_group_larger_than_a_leaders_reach(spark):
 
 def test_suffix_dedup(spark):
     rows = texts()
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(frame(spark, rows), length=60, gram=16).collect()}
+    out = suffix_dedup.dedup(frame(spark, rows), length=60, gram=16, reported=40).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out}
     data = {i: (t or "").encode() for i, t in rows}
     seen = Counter(b[k : k + 60] for b in data.values() for k in range(len(b) - 59))
     for i, b in data.items():
@@ -76,6 +78,28 @@ def test_suffix_dedup(spark):
                 gone[k : k + 60] = True
         runs = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0
         assert got[i] == (len(b), int(gone.sum()), runs, bytes(np.frombuffer(b, np.uint8)[~gone])), i
+    seen = Counter(b[k : k + 40] for b in data.values() for k in range(len(b) - 39))
+    shared = {r.doc_id: r.n_shared for r in out}
+    for i, b in data.items():
+        covered = {p for k in range(len(b) - 39) if seen[b[k : k + 40]] > 1 for p in range(k, k + 40)}
+        assert shared[i] == len(covered), i
+
+
+def test_quicksort_parts_and_tries_order(spark):
+    """With the parameters in use, on the places of real texts: quicksort parts places of one gram, tries order what it leaves."""
+    texts = [(r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    grams: dict[int, list[bytes]] = {}
+    for t in texts:
+        data = np.frombuffer(t, np.uint8)
+        _, place, _, end, h, _ = suffix_dedup.named_places(data, np.array([0, len(data)]), (suffix_dedup.REPORTED, 400), suffix_dedup.GRAM)
+        for p, e, g in zip(place.tolist(), end.tolist(), h.tolist()):
+            grams.setdefault(g, []).append(t[p:e])
+    groups = [x for x in grams.values() if len(x) > 1]
+    parts = [shallow(x) for x in groups]
+    parted, ordered = sum(len(p) > 1 for p in parts), sum(len(q) > 1 for p in parts for q in p)
+    assert len(groups) > 100 and parted > 0.05 * len(groups) and ordered > 100
+    every = [x for g in groups for x in g]
+    assert [every[i] for i in suffix_order(every)] == sorted(every)
 
 
 def test_suffix_order_and_spans():
@@ -111,6 +135,53 @@ def test_substring_dedup(spark, history):
         assert got[i] == (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)), i
 
 
+def test_substring_index_is_opened_again(spark, tmp_path):
+    """A new session goes on from the folder: same answers as one index that sees all batches, whatever breaks in between."""
+    rows = sorted((r for r in texts() if r[0] is not None), key=lambda r: r[0])
+    path = f"file://{tmp_path}/index"
+    parts = [rows[i::5] for i in range(5)]
+
+    def answered(hits):
+        out = set()
+        for r in hits.collect():
+            out |= set(zip(substring_dedup.exchange.unpack_ids(bytes(r["ids"])).tolist(), np.frombuffer(bytes(r["keys"]), "<u8").tolist()))
+        return out
+
+    whole = substring_dedup.FingerprintIndex(spark, n=3)
+    levels = set()
+    for i, part in enumerate(parts):
+        docs = spark.createDataFrame(part, "id long, text string")
+        want = answered(whole.add(docs))
+        if i == 3:  # a run that no manifest names is no part of the index
+            spark.range(3).withColumn("kind", F.lit(1)).write.partitionBy("kind").parquet(f"{path}/run-broken")
+        again = substring_dedup.FingerprintIndex(spark.newSession(), k=99, n=7, path=path) if i else substring_dedup.FingerprintIndex(spark, n=3, path=path)
+        assert (again.k, again.n) == (13, 3) and answered(again.add(docs)) == want and again.state == i + 1
+        levels |= {level for level, _ in again.runs}
+    assert max(levels) >= 2 and any(answered(whole.add(spark.createDataFrame([(10**6 + i, t) for i, t in rows], "id long, text string"))))
+
+
+@pytest.mark.parametrize("width", [1, 7, 64, 8192])
+def test_blocked_product(width):
+    g = np.random.default_rng(width)
+    sets = [g.choice(500, g.integers(1, 200), replace=False).astype(np.int64) - 250 for _ in range(40)]
+    sets += [np.sort(sets[0])[:-1], sets[1][::-1], np.zeros(0, np.int64)]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    for need in (np.zeros(len(a), np.int64), both, both + 1, np.full(len(a), 60)):
+        got = ngram_join.overlaps(sets, a, b, need, width)
+        assert (got[both >= need] == both[both >= need]).all() and (got[both < need] < need[both < need]).all()
+
+
+def test_ngram_join_of_shared_ids(spark):
+    """Rows of one id are documents of their own; a null id is the smallest."""
+    t = " ".join(f"w{i}" for i in range(50))
+    u = " ".join(f"v{i}" for i in range(50))
+    rows = [(5, t), (5, u), (7, t), (None, u), (None, "z " + t), (9, "alone at last")]
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted([(5, 46, None), (5, 46, None), (7, 46, None), (None, 46, None), (None, 47, None), (9, 1, 9)], key=repr)
+    assert ngram_join.near_duplicates(frame(spark, [(5, t), (5, u), (7, t)])).where("doc_id = 7").first().component_id == 5
+
+
 def test_decontamination(spark):
     rows = texts()
     source = dict(rows)[9].split()
