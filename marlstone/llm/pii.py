@@ -141,9 +141,9 @@ def company(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(around, "mark long, entity string, term string, key long, pair long")
 
 
-def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def document_frequency(docs: DataFrame, wanted: DataFrame, n: int | None = None) -> DataFrame:
     """(key, documents) for the terms of ``wanted`` (key): the weights of the rows of ``docs`` (weight, text) each is in, in documents."""
-    n = exchange.buckets(docs.sparkSession)
+    n = n or exchange.buckets(docs)
 
     def counted(batch):
         held = []
@@ -193,7 +193,7 @@ def disclosures(docs: DataFrame, near: DataFrame, threshold: float) -> DataFrame
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     weighed = docs.join(F.broadcast(copies) if few else copies, "mark", "left")
     weighed = weighed.select(F.coalesce(F.round(F.lit(float(ONE)) / F.col("copies")).cast("long"), F.lit(ONE)).alias("weight"), "text")
-    frequency = document_frequency(weighed, pairs.select("key").distinct())
+    frequency = document_frequency(weighed, pairs.select("key").distinct(), exchange.buckets(docs))  # the planner takes a join for far larger
     rows = pairs.join(single, "entity").join(frequency, "key")
     n_t = F.greatest("documents", "n_et")
     pmi, information = F.log2(F.lit(float(total)) * F.col("n_et") / (n_t * F.col("n_e"))), F.log2(F.lit(float(total)) / F.col("n_e"))
