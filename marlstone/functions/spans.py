@@ -18,7 +18,7 @@ def finditer(text: Column, pattern: str) -> Column:
     )
     first = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
     walked = F.aggregate(F.arrays_zip(between.alias("b"), found.alias("m")), first, step, lambda acc: acc["out"])
-    return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, walked).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPAN))  # one look for the many texts without a match
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -46,14 +46,14 @@ def merged(spans: Column) -> Column:
     """Sorted by (start, longest, best score); of spans that meet the last one kept, the longer stays.
 
     A longer span that starts later takes the place of the shorter one, whose left part is then free again;
-    the better score stays.
+    the better score and the reasons of both stay.
     """
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(F.signum(b["score"] - a["score"])).cast("int")
 
     def put(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
-        best = F.greatest(last["score"], x["score"])
-        kept = F.when(x["end"] - x["start"] > last["end"] - last["start"], x.withField("score", best)).otherwise(last.withField("score", best))
+        both = lambda y: y.withField("score", F.greatest(last["score"], x["score"])).withField("reasons", F.array_sort(F.array_union(last["reasons"], x["reasons"])))
+        kept = F.when(x["end"] - x["start"] > last["end"] - last["start"], both(x)).otherwise(both(last))
         meets = (F.size(acc) > 0) & (x["start"] < F.try_element_at(acc, F.lit(-1))["end"])
         return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(kept))).otherwise(F.concat(acc, F.array(x)))
 

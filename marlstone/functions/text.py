@@ -28,16 +28,26 @@ def html_text(c: Column) -> Column:
     return collapsed(F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"(?s)<[^>]+>", " "))
 
 
-def clean_lines(c: Column) -> Column:
-    """One kind of line end and space, no spaces at line ends, at most one blank line in a row."""
-    c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), " ", " ")
-    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+# Lines that hold a page number, a copyright sign or a table row alone.
+NOISE_LINE = r"(?is)\s*(?:page\s+\d+|-\s*\d+\s*-|©|\|.*\|)\s*"
 
 
 def repaired(c: Column) -> Column:
     """Replacement characters as an apostrophe between letters, else a dash; the length stays."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?<=[A-Za-z])�(?=[A-Za-z])", "’"), "�", "—")
+    return F.regexp_replace(F.regexp_replace(c, r"(?<=[A-Za-z])\uFFFD(?=[A-Za-z])", "’"), r"\uFFFD", "—")
+
+
+def clean_lines(c: Column) -> Column:
+    """Lines with one kind of end and space, glyphs repaired, no spaces at their ends, noise lines left out, at most one blank line in a row."""
+    c = repaired(F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "\u00a0", " "))
+    c = F.regexp_replace(c, r"[ \t\r\f\x0B]+(?=\n|\z)", "")
+    kept = F.filter(F.split(c, "\n"), lambda line: ~line.rlike(rf"\A(?:{NOISE_LINE})\z"))
+    return stripped(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+
+
+def stripped(c: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 
 
 def stem(c: Column) -> Column:
@@ -76,7 +86,27 @@ def section_tokens(c: Column) -> Column:
 
 
 def slug(c: Column, most: int = 40) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
+    """Letters and digits as they are, all else as single dashes between them."""
+    return F.substring(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
+
+
+def citation_label(doc: Column, section: Column) -> Column:
+    return F.concat(F.lit("["), doc, F.lit(" "), F.substring(section, 1, 60), F.lit("]"))
+
+
+def number_or_zero(c: Column) -> Column:
+    """A text as a double, 0 where it is none."""
+    return F.coalesce(c.try_cast("double"), F.lit(0.0))
+
+
+def utc_seconds(c: Column) -> Column:
+    """A timestamp as ISO text of its UTC second; the session's time zone must be UTC."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def percent(c: Column) -> Column:
+    """A share as text with two decimals."""
+    return F.format_string("%.2f%%", F.round(c * 100, 2))
 
 
 def short_hash(c: Column) -> Column:
@@ -85,11 +115,22 @@ def short_hash(c: Column) -> Column:
 
 
 def excerpt(text: Column, anchor: Column, pad: int = 260) -> Column:
-    """The text around the first place of an anchor; the beginning if it doesn't occur."""
-    at = F.instr(F.lower(text), F.lower(anchor))
-    start = F.greatest(at - 1 - pad, F.lit(0))
-    part = F.substring(text, start + 1, pad + F.length(anchor) + (at - 1 - start))
-    return F.when(at == 0, F.substring(text, 1, 2 * pad)).otherwise(F.concat(F.when(start > 0, "…").otherwise(""), part, F.when(start + F.length(part) < F.length(text), "…").otherwise("")))
+    """The text around the first place of an anchor, cut at spaces, with dots where it goes on; its beginning if the anchor doesn't occur.
+
+    Case and white space of the anchor don't count.
+    """
+    needle = collapsed(F.lower(anchor))
+    at = F.instr(F.lower(text), needle) - 1
+    start = F.greatest(at - pad, F.lit(0))
+    end = F.least(F.length(text), at + F.length(needle) + pad)
+    space = F.call_function("locate", F.lit(" "), text, start + 1)
+    start = F.when((start > 0) & (space > 0) & (space <= end), space).otherwise(start)
+    body = F.substring(text, start + 1, end - start)
+    last = F.length(body) - F.instr(F.reverse(body), " ")
+    end = F.when((end < F.length(text)) & (F.instr(body, " ") > 0) & (last > 0), start + last).otherwise(end)
+    dots = lambda when: F.when(when, "...").otherwise("")
+    cut = F.concat(dots(start > 0), stripped(F.substring(text, start + 1, end - start)), dots(end < F.length(text)))
+    return F.when(at < 0, F.substring(text, 1, 2 * pad)).otherwise(cut)
 
 
 def sentences(c: Column) -> Column:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clean_lines
+from ..functions.text import clean_lines, collapsed, sentences, slug, stripped
 
 TARGET, OVERLAP, LEAST, SHORTEST_BODY, LABEL = 2200, 260, 350, 40, 120
 # Forms of headers, most specific first; clauses that head nothing; verbs that make a line a sentence.
@@ -60,44 +57,56 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines = lines.withColumn("above", F.last("label", ignorenulls=True).over(so_far)).withColumn("section_no", F.count("label").over(so_far)).withColumn("headers", F.count("label").over(Window.partitionBy("id")))
     body = lines.where(F.col("label").isNull()).groupBy("id", "section_no").agg(F.first("above").alias("above"), F.first("headers").alias("headers"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
     label = F.coalesce("above", F.when(F.col("headers") == 0, "Full text").otherwise("Preamble"))
-    return body.select("id", "section_no", label.alias("label"), F.regexp_replace("body", r"^\s+|\s+$", "").alias("body")).where(F.col("body") != "")
+    return body.select("id", "section_no", label.alias("label"), stripped(F.col("body")).alias("body")).where(F.col("body") != "")
 
 
-def _pieces(body: str) -> Iterator[str]:
-    """Overlapping windows of TARGET characters that end after a full stop where one lies in the second half."""
-    start = 0
-    while start < len(body):
-        end = min(start + TARGET, len(body))
-        stop = body.rfind(". ", start, end) - start if end < len(body) else -1
-        end = start + stop + 1 if stop > TARGET // 2 else end
-        yield body[start:end].strip()
-        if end == len(body):
-            return
-        start = max(end - OVERLAP, start + 1)
+def pieces(body: Column) -> Column:
+    """Overlapping windows of TARGET characters that end after a full stop where one lies in the second half; a shorter body whole."""
+    n = F.length(body)
+    most = F.ceil(n / (TARGET // 2 - OVERLAP)) + 1  # every window but the last goes on by more than that
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("out"))
 
+    def step(acc: Column, _: Column) -> Column:
+        window = F.substring(body, acc["at"] + 1, F.lit(TARGET))
+        end = F.least(acc["at"] + TARGET, n)
+        back = F.instr(F.reverse(window), " .")
+        stop = F.length(window) - back - 1
+        cut = (end < n) & (back > 0) & (stop > TARGET // 2)
+        end = F.when(cut, acc["at"] + stop + 1).otherwise(end)
+        piece = stripped(F.substring(body, acc["at"] + 1, end - acc["at"]))
+        more = F.struct(F.greatest(end - OVERLAP, acc["at"] + 1).alias("at"), (end >= n).alias("over"), F.concat(acc["out"], F.array(piece)).alias("out"))
+        return F.when(acc["over"], acc).otherwise(more)
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ordinal, section, text, char_len, chunk_id): sections split, parts under LEAST joined to the chunk before.
+    return F.when(n <= TARGET, F.array(body)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), most.cast("long")), start, step, lambda acc: acc["out"]))
 
-    The fold is sequential within a document, so the sections of a document meet in one group.
-    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for label, body in zip(pdf.sort_values("section_no")["label"], pdf.sort_values("section_no")["body"]):
-            if len(body) < SHORTEST_BODY:
-                continue
-            for i, piece in enumerate(_pieces(body)):
-                if len(piece) < LEAST and out:
-                    out[-1][1] += "\n" + piece
-                else:
-                    out.append([label if i == 0 else f"{label} (cont.)", piece])
-        return pd.DataFrame({"id": pdf["id"].iloc[0], "ordinal": range(len(out)), "section": pd.Series([s for s, _ in out], dtype=object), "text": pd.Series([t for _, t in out], dtype=object)})
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ordinal, section, text, char_len, chunk_id, tags): sections split, parts under LEAST joined to the chunk before.
 
-    kind = dict(sections(docs, id_col, text_col).dtypes)["id"]
-    rows = sections(docs, id_col, text_col).groupBy("id").applyInPandas(fold, f"id {kind}, ordinal long, section string, text string")
-    slug = F.substring(F.regexp_replace(F.regexp_replace("section", "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""), 1, 40)
-    return rows.select(F.col("id").alias("doc_id"), "ordinal", "section", "text", F.length("text").alias("char_len"), F.concat_ws("-", F.col("id").cast("string"), slug, F.lpad(F.col("ordinal").cast("string"), 3, "0")).alias("chunk_id"))
+    A part of LEAST characters or more begins a chunk, as does a document's first part; those are counted in
+    order and the parts of one count meet.
+    """
+    parts = sections(docs, id_col, text_col).where(F.length("body") >= SHORTEST_BODY)
+    parts = parts.select("id", "section_no", "label", F.posexplode(pieces(F.col("body"))).alias("part", "piece"))
+    order = Window.partitionBy("id").orderBy("section_no", "part")
+    begins = (F.length("piece") >= LEAST) | (F.row_number().over(order) == 1)
+    parts = parts.withColumn("begins", begins).withColumn("ordinal", F.count_if("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    row = F.struct("section_no", "part", "piece")
+    name = F.concat("label", F.when(F.col("part") > 0, " (cont.)").otherwise(""))
+    rows = parts.groupBy("id", "ordinal").agg(F.max(F.when(F.col("begins"), name)).alias("section"), F.array_sort(F.collect_list(row)).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda x: x["piece"]), "\n")
+    # Topics are those of the parts, not of the text that they make together.
+    topics = F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda x: tags(x["piece"])))))
+    rows = rows.select("id", F.col("ordinal").cast("long").alias("ordinal"), "section", text.alias("text"), topics.alias("tags"))
+    number = F.when(F.col("ordinal") > 999, F.col("ordinal").cast("string")).otherwise(F.lpad(F.col("ordinal").cast("string"), 3, "0"))
+    return rows.select(F.col("id").alias("doc_id"), "ordinal", "section", "text", F.length("text").alias("char_len"), F.concat_ws("-", F.col("id").cast("string"), slug(F.col("section")), number).alias("chunk_id"), "tags")
+
+
+def repeated_labels(chunked: DataFrame) -> DataFrame:
+    """(doc_id, n_chunks, n_chars, n_repeated, share): totals of each document, and how many of its chunks repeat a label."""
+    per = chunked.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"), F.sum("char_len").alias("c"))
+    out = per.groupBy("doc_id").agg(F.sum("n").alias("n_chunks"), F.sum("c").cast("long").alias("n_chars"), F.sum(F.col("n") - 1).alias("n_repeated"))
+    return out.withColumn("share", F.col("n_repeated") / F.col("n_chunks"))
 
 
 def tags(text: Column) -> Column:
@@ -116,8 +125,6 @@ def sentence_score(sentence: Column, terms: Column) -> Column:
 
 def best_sentences(rows: DataFrame, id_col: str, text_col: str, terms_col: str, limit: int = 3) -> DataFrame:
     """(id, rank, pos, sentence, score): of sentences of 25 to 700 characters the best with any score, earlier ones first."""
-    from ..functions.text import collapsed, sentences
-
     s = rows.select(F.col(id_col).alias("id"), F.col(terms_col).alias("terms"), F.posexplode(sentences(collapsed(F.col(text_col)))).alias("pos", "sentence"))
     s = s.withColumn("sentence", F.trim("sentence")).where(F.length("sentence").between(25, 700)).withColumn("score", sentence_score(F.col("sentence"), F.col("terms"))).where("score > 0")
     ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos")))

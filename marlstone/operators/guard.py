@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from .recognizers import applied, resolved, steps
 
 PASSES = 3
-#: Key of the pseudonyms where the caller gives none; a deployment sets its own.
-DEFAULT_KEY = hashlib.sha256(b"marlstone").hexdigest()
 # The tag of each type in its pseudonym; other types are tagged REDACTED.
 TAGS = {
     "PH_MOBILE": "PHONE", "GCASH_MOBILE": "GCASH", "CARD_PAN": "PAN", "CARD_CVV": "CVV", "PH_SSS": "SSS", "PH_TIN": "TIN", "EMAIL": "EMAIL", "PH_IBAN": "IBAN",
@@ -29,12 +27,12 @@ def hmac_sha256(value: Column, key: str) -> Column:
     return F.sha2(F.concat(F.lit(outer), F.unhex(first)), 256)
 
 
-def pseudonym(kind: Column, raw: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(kind: Column, raw: Column, key: str) -> Column:
     tag = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in TAGS.items() for x in pair)), kind), F.lit("REDACTED"))
     return F.concat(F.lit("["), tag, F.lit("-"), F.upper(F.substring(hmac_sha256(raw, key), 1, 4)), F.lit("]"))
 
 
-def redacted(text: Column, entities: Column, key: str = DEFAULT_KEY) -> Column:
+def redacted(text: Column, entities: Column, key: str) -> Column:
     """``text`` with each entity replaced by its pseudonym; entities don't meet and are in order."""
     risky = F.filter(entities, lambda x: x["type"] != "PERSON")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
@@ -50,11 +48,12 @@ def verdict(types: Column, leaks: Column) -> Column:
     return F.when(leaks, "BLOCK_ESCALATE").when(F.size(types) == 0, "SAFE_TO_SEND").when(bundle | has("PH_SSS", "PH_TIN"), "BLOCK_ESCALATE").otherwise("REDACT_THEN_SEND")
 
 
-def scan(df: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, passes: int = PASSES) -> DataFrame:
+def scan(df: DataFrame, key: str, text_col: str = "text", passes: int = PASSES) -> DataFrame:
     """``df`` with entities, redacted, residual_leakage and verdict of a text column.
 
     Entities are those of the original text. Each further pass reads only rows in which the one before found
     something; what the last pass still finds is redacted once more and counts as a leak. A null text is safe.
+    Pseudonyms are only as secret as ``key``, which the caller must bring.
     """
     stages = [*steps("__again", "__found"), {"__left": resolved(F.col("__found"))}]
     df = applied(df.withColumn("__again", F.col(text_col)), stages)
@@ -68,7 +67,12 @@ def scan(df: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, passes:
     return df.withColumn("residual_leakage", leaks.cast("int")).withColumn("verdict", verdict(types, leaks)).drop("__left")
 
 
+def entity_rows(scanned: DataFrame, *keys: str) -> DataFrame:
+    """(keys, e): a row for each entity of ``scan``."""
+    # The outer form keeps a filter on the array from being pushed through, and with it spelled out in, every step of the scan.
+    return scanned.select(*keys, F.explode_outer("entities").alias("e")).where("e.type IS NOT NULL")
+
+
 def type_counts(scanned: DataFrame) -> DataFrame:
     """(type, n) over all rows of ``scan``."""
-    # The outer form keeps a filter on the array from being pushed through, and with it spelled out in, every step of the scan.
-    return scanned.select(F.explode_outer("entities").alias("e")).where("e.type <> 'PERSON'").groupBy(F.col("e.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return entity_rows(scanned).where("e.type <> 'PERSON'").groupBy(F.col("e.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,21 +22,42 @@ def payload(*columns: str) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
-def chained(rows: DataFrame, ledger: str = "ledger") -> DataFrame:
-    """``rows`` (ledger, seq, payload) with prev_hash and entry_hash: a fold in order of seq, one ledger at a time.
+def chained(rows: DataFrame, ledger: str = "ledger", heads: DataFrame | None = None) -> DataFrame:
+    """``rows`` (ledger, seq, payload) with prev_hash and entry_hash, in order of seq, one ledger at a time.
 
-    A chain is sequential by nature; ledgers are independent and run in parallel. A ledger's batch of appends
-    is one group, so ledgers are kept per source and batch, not one for all data.
+    A chain begins at its ledger's row of ``heads`` (ledger, head) or at GENESIS. A chain is sequential by
+    nature; ledgers are independent and run in parallel. A ledger's rows stream by in order and only its head
+    is held, so a long chain takes time and no memory.
     """
-    start = F.struct(F.lit(GENESIS).alias("head"), F.array().cast("array<struct<seq:bigint,payload:string,prev_hash:string,entry_hash:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        h = entry_hash(acc["head"], x["payload"])
-        row = F.struct(x["seq"].alias("seq"), x["payload"].alias("payload"), acc["head"].alias("prev_hash"), h.alias("entry_hash"))
-        return F.struct(h.alias("head"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    groups = rows.groupBy(ledger).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "payload"))).alias("rows"))
-    return groups.select(ledger, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("r")).select(ledger, "r.*")
+    rows = rows.select(ledger, F.col("seq").cast("long").alias("seq"), "payload")
+    rows = rows.join(heads.select(ledger, "head"), ledger, "left") if heads is not None else rows.withColumn("head", F.lit(None).cast("string"))
+    rows = rows.repartition(ledger).sortWithinPartitions(ledger, "seq", "payload")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = ()
+        for batch in batches:
+            before, after = [], []
+            for name, text, head in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                previous = held[1] if held and held[0] == name else head or GENESIS
+                fresh = None if text is None else hashlib.sha256(f"{previous}|{text}".encode()).hexdigest()
+                before.append(previous)
+                after.append(fresh)
+                held = (name, fresh or previous)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*batch.schema.names[:3], "prev_hash", "entry_hash"])
+
+    kind = rows.schema[ledger].dataType.simpleString()
+    return rows.mapInArrow(walk, f"`{ledger}` {kind}, seq long, payload string, prev_hash string, entry_hash string")
+
+
+def canonical_digest(*columns: str) -> Column:
+    """SHA-256 of the canonical text of some columns."""
+    return F.sha2(payload(*columns), 256)
+
+
+def recent(entries: DataFrame, n: int, ledger: str = "ledger") -> DataFrame:
+    """The last n entries of each ledger, newest first, with their place from the end."""
+    order = Window.partitionBy(ledger).orderBy(F.desc("seq"))
+    return entries.withColumn("back", F.row_number().over(order)).where(F.col("back") <= n)
 
 
 def verified(entries: DataFrame, ledger: str = "ledger") -> DataFrame:

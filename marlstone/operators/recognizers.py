@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import around, finditer, merged, tail_group, unclaimed
 
-ENTITY = "array<struct<type:string,start:int,end:int,text:string,score:double,validated:boolean,boost:double>>"
+ENTITY = "array<struct<type:string,start:int,end:int,text:string,score:double,validated:boolean,boost:double,reasons:array<string>>>"
 
 # The forms of the identifiers and the words that must stand near them.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -52,11 +52,17 @@ class Found:
 def _entities(spans: Column, how) -> Column:
     def one(x: Column) -> Column:
         f = how(x)
-        return F.struct(f.type.alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), f.score.cast("double").alias("score"), f.validated.alias("validated"), f.boost.cast("double").alias("boost"))
+        return F.struct(f.type.alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), f.score.cast("double").alias("score"), f.validated.alias("validated"), f.boost.cast("double").alias("boost"), _reasons(f).alias("reasons"))
 
     return F.transform(spans, one)
 
 
+def _reasons(f: Found) -> Column:
+    """Why a span counts: its form, what was checked, and words near it."""
+    said = F.array(F.concat(F.lit("form:"), f.type), F.when(f.validated, F.lit("valid")), F.when(f.boost.cast("double") > 0, F.lit("words near")))
+    return F.array_sort(F.array_compact(said))
+
+
 def _plain(kind: str, score: float, boost: float = 0.0):
     return lambda x: Found(F.lit(kind), F.lit(score), F.lit(True), F.lit(boost))
 

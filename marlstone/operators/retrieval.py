@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import section_tokens, stem, tokens
+from ..sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 # Weights of the parts of a score, with and without vectors, and of the kinds of documents.
@@ -19,28 +22,30 @@ THRESHOLD = 0.42
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stemmed: bool = True) -> DataFrame:
-    """(id, term, tf, dl): the inverted index; a distinct term is stemmed once."""
-    raw = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf, dl): the inverted index, written once; a distinct term is stemmed once."""
+    raw = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    raw = raw.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    raw = raw.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     if stemmed:
+        raw = written(raw, "terms")
         stems = raw.select("term").distinct().withColumn("stem", stem(F.col("term")))
-        raw = raw.join(stems, "term").groupBy("id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-    length = raw.groupBy("id").agg(F.sum("tf").alias("dl"))
-    return raw.join(length, "id")
+        raw = raw.join(stems, "term").groupBy("id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    return written(raw.select("id", "term", "tf", "dl"), "postings")
 
 
-def statistics(index: DataFrame, n_docs: int) -> tuple[DataFrame, float]:
-    """(term, idf) with rare-term floor, and the mean length; a negative idf becomes EPSILON times the mean idf."""
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("idf")).first()[0] or 0.0
-    average = (index.agg(F.sum("tf")).first()[0] or 0) / max(1, n_docs)
-    return df.select("term", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")).alias("idf")), float(average)
+def statistics(index: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idf, average) with rare-term floor: a negative idf becomes EPSILON times the mean idf; ``average`` is the mean length."""
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    df = written(df.withColumn("idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "frequency")
+    whole = df.agg(F.avg("idf").alias("mean"), (F.sum("cf") / max(1, n_docs)).alias("average"))  # one row
+    return df.join(F.broadcast(whole)).select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"), "average")
 
 
 def bm25(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
     """(query_id, id, bm25): queries (query_id, term, weight) meet documents only in terms they share."""
-    idf, average = statistics(index, n_docs)
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0))
-    hits = queries.join(idf, "term").join(index, "term")
+    asked = queries.join(statistics(index, n_docs), "term")
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("average"))
+    hits = index.join(asked, "term")
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("bm25"))
 
 
@@ -62,6 +67,66 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def pooled(vectors: Column, mask: Column, mode: str = "cls") -> Column:
+    """One unit vector of a text's token vectors (an array of arrays): the first, or the mean of those whose mask is 1."""
+    if mode == "cls":
+        v = F.transform(vectors[0], lambda x: x.cast("double"))
+    elif mode == "mean":
+        zero = F.transform(vectors[0], lambda x: F.lit(0.0))
+        add = lambda acc, x: F.zip_with(acc, x["v"], lambda a, b: a + b.cast("double") * x["m"])
+        total = F.aggregate(F.arrays_zip(vectors.alias("v"), mask.alias("m")), zero, add)
+        n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda a, b: a + b), F.lit(1e-9))
+        v = F.transform(total, lambda x: x / n)
+    else:
+        raise ValueError(f"unknown pooling: {mode!r}")
+    return unit(v)
+
+
+def unit(v: Column) -> Column:
+    """A vector over its length."""
+    size = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), F.lit(1e-9))
+    return F.transform(F.arrays_zip(v.alias("x"), F.array_repeat(size, F.size(v)).alias("n")), lambda s: s["x"].cast("double") / s["n"])
+
+
+def cosines(queries: DataFrame, vectors: DataFrame, most: int = 10_000) -> DataFrame:
+    """(query_id, id, cosine) of every stated query (query_id, v) with every row of ``vectors`` (id, v); all are unit vectors.
+
+    The queries go to every task, so there may be ``most`` of them.
+    """
+    queries = queries.select("query_id", F.col("v").alias("__q"))
+    n = queries.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} queries at once; ask in blocks")
+    return vectors.join(F.broadcast(queries)).select("query_id", "id", dot(F.col("v"), F.col("__q")).alias("cosine"))
+
+
+def fingerprint(rows: DataFrame, order: str, *columns: str, block: int = 4096) -> DataFrame:
+    """(block, n, digest): of each ``block`` of consecutive ``order`` values a hash of its rows in order; an edit, a move or a lost row shows.
+
+    The text hashed for a row is its columns, each closed by a zero byte. Hashes of rows and not their texts are
+    gathered; hash the digests in order for one of the whole table.
+    """
+    text = F.concat(*(x for c in columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\0"))))
+    held = rows.select(F.floor(F.col(order) / block).cast("long").alias("block"), F.struct(F.col(order).alias("o"), F.sha2(text, 256).alias("h")).alias("r"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["h"]), ""), 256)
+    return held.groupBy("block").agg(F.count(F.lit(1)).alias("n"), digest.alias("digest"))
+
+
+def cached_vectors(texts: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame], order: str, *columns: str) -> DataFrame:
+    """Vectors of ``texts`` from ``path`` if those were made of the same rows in the same order, else made by ``encode`` and written there."""
+    spark = texts.sparkSession
+    now = written(fingerprint(texts, order, *columns), "fingerprint")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/made_of")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        then = spark.read.parquet(f"{path}/made_of")
+        if not then.join(now, ["block", "n", "digest"], "left_anti").limit(1).count() and not now.join(then, ["block", "n", "digest"], "left_anti").limit(1).count():
+            return spark.read.parquet(f"{path}/vectors")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # what it vouched for goes next
+    encode(texts).write.mode("overwrite").parquet(f"{path}/vectors")
+    now.write.parquet(f"{path}/made_of")  # last, so that a broken run leaves no fingerprint
+    return spark.read.parquet(f"{path}/vectors")
+
+
 def sections(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, id, section): 1 where a query and a document name the same instrument."""
     q = queries.select("query_id", F.explode(section_tokens(F.col("text"))).alias("number"))

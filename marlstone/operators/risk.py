@@ -14,9 +14,9 @@ FLAG = "array<struct<severity:int,id:string,tier:string,exposure:array<string>,d
 
 
 def evidence(text: Column, patterns: tuple[str, ...]) -> Column:
-    """The leftmost match of the first pattern that matches, or null."""
+    """The leftmost match of the first pattern that matches, or null; one look at all patterns spares most texts the rest."""
     tries = [F.nullif(F.regexp_extract(text, "(?iu)" + p, 0), F.lit("")) for p in patterns]
-    return F.trim(F.coalesce(*tries))
+    return F.when(text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns)), F.trim(F.coalesce(*tries)))
 
 
 def flags(text: Column) -> Column:
@@ -56,6 +56,45 @@ def cited(assessed: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
     return out.select("id", "flag", "doc_id", "chunk_id", F.coalesce("exact", F.lit(False)).alias("exact"), F.col("chunk_id").isNull().alias("degraded"))
 
 
+#: What a flag of each tier asks for.
+ACTIONS = {"critical": "Stop and escalate at once.", "high": "Hold for review by compliance.", "medium": "Record and watch.", "low": "Record."}
+NO_ACTION = "Continue normal monitoring."
+
+
+def summary(tier: Column, n: Column, evidence: Column, exposed: Column) -> Column:
+    """One sentence or three on an assessment; ``exposed`` are the sorted parties."""
+    who = F.when(F.size(exposed) == 0, "the bank").when(F.size(exposed) == 1, F.concat(F.lit("the "), exposed[0])).otherwise(F.array_join(exposed, " and "))
+    some = F.concat(F.upper(tier), F.lit(" risk. "), n.cast("string"), F.when(n == 1, " indicator matched").otherwise(" indicators matched"), F.lit('; the strongest on the words "'), evidence, F.lit('". Exposed: '), who, F.lit("."))
+    return F.when(n == 0, "No indicator matched; that is not a clearance.").otherwise(some)
+
+
+def reports(assessed: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
+    """(id, tier, n_flags, n_citations, n_gaps, degraded, actions, summary) of rows of ``assess``; ``id_col`` is unique.
+
+    Actions are those of the flags in their order, each once. A flag whose rule has no document is a gap; a gap
+    or a flag without a passage degrades the report. Without ``chunks`` all flags are without a passage.
+    """
+    gaps = [r[0] for r in RULES if r[3][0] == "GAP"]
+    flag = F.col("degraded").cast("int")
+    per = cited(assessed, chunks, id_col).groupBy("id").agg(F.sum(1 - flag).alias("c"), F.count_if(F.col("flag").isin(gaps)).alias("g"), F.max(flag).alias("d"))
+    rows = assessed.select(F.col(id_col).alias("id"), "tier", "n_flags", "exposed", "flags").join(per, "id", "left")
+    said = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))
+    actions = F.array_distinct(F.transform("flags", lambda f: F.element_at(said, f["tier"])))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return rows.select(
+        "id", "tier", "n_flags", zero("c").alias("n_citations"), zero("g").alias("n_gaps"), (zero("d") > 0).alias("degraded"),
+        F.when(F.size("flags") == 0, F.array(F.lit(NO_ACTION))).otherwise(actions).alias("actions"),
+        summary(F.col("tier"), F.col("n_flags"), F.try_element_at("flags", F.lit(1))["evidence"], F.col("exposed")).alias("summary"),
+    )
+
+
+def missing_anchors(chunks: DataFrame) -> DataFrame:
+    """(doc_id, anchor) that rules name and no passage of ``chunks`` (doc_id, text) of that document holds."""
+    wanted = chunks.sparkSession.createDataFrame(sorted({r[3] for r in RULES if r[3][0] != "GAP"}), "doc_id string, anchor string")
+    held = chunks.join(F.broadcast(wanted), "doc_id").where(F.contains(collapsed(F.lower("text")), F.col("anchor"))).select("doc_id", "anchor").distinct()
+    return wanted.join(held, ["doc_id", "anchor"], "left_anti")
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     """The rules without their patterns."""
     rows = [(r[0], r[1], list(r[2]), r[3][0], r[3][1], r[3][0] == "GAP", r[4], len(r[5])) for r in RULES]

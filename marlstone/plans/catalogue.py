@@ -22,23 +22,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Tickets: each customer's number in one of six forms, so that the expected verdict follows from the key.
+#: Key of the pseudonyms of these queries; the tables hold invented people only.
+KEY = "the catalogue's key is no secret"
+# Tickets: each customer's number in one of these forms, so that what must be found follows from the key.
+TICKET_TYPES = (
+    ("PH_SSS",), ("PH_MOBILE",), ("GCASH_MOBILE",), ("BANK_ACCOUNT",), ("EMAIL",), (), ("PH_IBAN",), ("PH_TIN",), ("CARD_PAN", "CARD_CVV", "BANK_ACCOUNT"),
+    ("REMITTANCE_REF",), ("PHILSYS_ID",), ("PASSPORT",), ("DATE_OF_BIRTH",), ("SALARY",), (), ("CARD_CVV",),
+)
+BLOCKED = (0, 7, 8)
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, form, value, text): ``value`` is what stands for the first type of the form."""
     n = F.lpad(F.col("c_custkey").cast("string"), 10, "0")
     part = lambda a, b: F.substring(n, a, b)
+    dashed = lambda *parts: F.concat_ws("-", *parts)
     forms = [
-        F.concat(F.lit("SSS "), part(1, 2), F.lit("-"), part(3, 7), F.lit("-"), part(10, 1)),
-        F.concat(F.lit("Mobile 0917 "), part(4, 3), F.lit(" "), part(7, 4)),
-        F.concat(F.lit("GCash number 0918"), part(4, 7)),
-        F.concat(F.lit("Account number: 0056-"), part(3, 8)),
-        F.concat(F.lit("mail c"), F.col("c_custkey").cast("string"), F.lit("@example.com please")),
-        F.concat(F.lit("invoice INV-2024-"), part(3, 8)),
+        ("SSS ", dashed(part(1, 2), part(3, 7), part(10, 1)), ""),
+        ("Mobile ", F.concat(F.lit("0917 "), part(4, 3), F.lit(" "), part(7, 4)), ""),
+        ("GCash number ", F.concat(F.lit("0918"), part(4, 7)), ""),
+        ("Account number: ", F.concat(F.lit("0056-"), part(3, 8)), ""),
+        ("mail ", F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")), " please"),
+        ("invoice ", F.concat(F.lit("INV-2024-"), part(3, 8)), ""),
+        ("to ", F.concat(F.lit("PH12ABC"), n), ""),
+        ("TIN ", dashed(part(1, 3), part(4, 3), part(7, 3)), ""),
+        ("PAN ", F.lit("4539578763621486"), " CVV: 123 account no 1234-5678-99"),
+        ("western union ref: ", F.concat(F.lit("AB"), part(3, 8)), ""),
+        ("", F.lit("1234-5678-9012-3456"), ""),
+        ("passport no ", F.concat(F.lit("P"), part(4, 7), F.lit("A")), ""),
+        ("born ", F.lit("Jan 5, 1990"), ""),
+        ("monthly salary is PHP ", F.lit("45,000.00"), " per month"),
+        ("order ", F.lit("4539578763621487"), " shipped"),
+        ("cvv ", F.lit("123"), ""),
     ]
-    pick = F.col("c_custkey") % len(forms)
-    text = F.when(pick == 0, forms[0])
-    for i, f in enumerate(forms[1:], 1):
-        text = text.when(pick == i, f)
-    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    form = (F.col("c_custkey") % len(forms)).cast("int")
+    pick = lambda values: F.element_at(F.array(*values), form + 1)
+    text = F.concat(pick([F.lit(a) for a, _, _ in forms]), pick([v for _, v, _ in forms]), pick([F.lit(z) for _, _, z in forms]))
+    return table(spark, sf_dir, "customer").select("c_custkey", form.alias("form"), pick([v for _, v, _ in forms]).alias("value"), text.alias("text"))
 
 
 # Narratives: each order tells one of these in its own words and numbers.
@@ -63,7 +83,7 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_documents_verdict(spark, sf_dir):
-    out = guard.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = guard.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
     return out.select("doc_id", F.size("entities").alias("n_entities"), "verdict", "residual_leakage", F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
@@ -80,11 +100,11 @@ def pii_digit_runs_luhn(spark, sf_dir):
 
 
 def pii_ticket_verdicts(spark, sf_dir):
-    return guard.scan(tickets(spark, sf_dir)).select("c_custkey", "verdict", F.coalesce(F.try_element_at("entities", F.lit(1))["type"], F.lit("NONE")).alias("entity_type"), F.size("entities").cast("long").alias("n_entities"))
+    return guard.scan(tickets(spark, sf_dir), KEY).select("c_custkey", "verdict", F.coalesce(F.try_element_at("entities", F.lit(1))["type"], F.lit("NONE")).alias("entity_type"), F.size("entities").cast("long").alias("n_entities"))
 
 
 def pii_type_counts(spark, sf_dir):
-    return guard.type_counts(guard.scan(tickets(spark, sf_dir)))
+    return guard.type_counts(guard.scan(tickets(spark, sf_dir), KEY))
 
 
 def pii_pseudonyms(spark, sf_dir):
@@ -142,29 +162,36 @@ def hybrid_topk(spark, sf_dir):
     return retrieval.top(fused, 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", "score")
 
 
+#: Ends every other question, so that some are in the domain.
+ASIDE = " How long may we keep personal data and the CVV of a caller? The consent of both is 30 days old."
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.when(F.col("item_id") % 2 == 0, ASIDE).otherwise("")).alias("text"))
+
+
+def _asked(spark, sf_dir):
+    """The twelve best passages of each question, the questions, and the passages; every third passage says how long."""
+    docs = table(spark, sf_dir, "documents")
+    terms = retrieval.query_terms(questions(spark, sf_dir), "query_id", "text", stemmed=False)
+    bm = retrieval.bm25(terms, retrieval.postings(docs, stemmed=False), docs.count())
+    said = F.concat("text", F.when(F.col("doc_id") % 3 == 0, ". Keep it for 30 days and no longer").otherwise(""))
+    docs = docs.select(F.col("doc_id").alias("id"), said.alias("text"), "doc_id", F.col("source").alias("section"))
+    fused = retrieval.hybrid(bm, None, retrieval.sections(questions(spark, sf_dir), docs), docs.select("id", F.lit("statute").alias("kind")))
+    return retrieval.top(fused.withColumn("score", F.round("score", 6)), 12), questions(spark, sf_dir), docs
+
+
 def answered_questions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    ranked = retrieval.top(retrieval.hybrid(_bm25(spark, sf_dir), None, retrieval.sections(questions, docs), docs.select("id", F.lit("statute").alias("kind"))), 12)
-    out = answer.answers(ranked, questions, docs)
-    return out.select("query_id", "refused", "reason", F.round("confidence", 6).alias("confidence"), F.coalesce(F.size("citations"), F.lit(0)).alias("n_citations"), "scope_note")
+    out = answer.answers(*_asked(spark, sf_dir))
+    return out.select("query_id", "refused", "reason", F.round("confidence", 6).alias("confidence"), F.coalesce(F.size("citations"), F.lit(0)).cast("long").alias("n_citations"), "scope_note")
 
 
 def centroid_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("query_id"))
     mean = vectors.select("query_id", F.posexplode("embedding").alias("i", "x")).groupBy("query_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     mean = mean.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
-    scored = vectors.join(mean, "query_id").withColumn("score", F.round(retrieval.dot(F.col("embedding"), F.col("centre")), 6))
-    return retrieval.top(scored, 5).select(F.col("query_id").alias("label"), F.col("id").alias("vec_id"), "rank", "score")
-
-
-def document_sections(spark, sf_dir):
-    rows = chunking.sections(table(spark, sf_dir, "documents"))
-    return rows.select(F.col("id").alias("doc_id"), "section_no", "label", F.sha2("body", 256).alias("body_sha256"))
-
-
-def document_chunks(spark, sf_dir):
-    return chunking.chunks(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "section", "char_len", "chunk_id", F.sha2("text", 256).alias("text_sha256"))
+    scored = retrieval.cosines(mean.select("query_id", F.col("centre").alias("v")), vectors.select("id", F.col("embedding").alias("v")))
+    return retrieval.top(scored.withColumn("score", F.round("cosine", 6)), 5).select(F.col("query_id").alias("label"), F.col("id").alias("vec_id"), "rank", "score")
 
 
 def document_tags(spark, sf_dir):
@@ -177,7 +204,7 @@ def section_numbers(spark, sf_dir):
 
 
 def corpus_totals(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.count_distinct("text").alias("n_texts"))
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.count_distinct(F.sha2("text", 256)).alias("n_texts"))
 
 
 def admitted_requests(spark, sf_dir):
@@ -250,6 +277,7 @@ def claimed_spans(spark, sf_dir):
     return free.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_free"), F.min("s").alias("first_at"))
 
 
+TICKETS_SQL = f"WITH t AS (SELECT c_custkey, c_custkey % {len(TICKET_TYPES)} AS form, ([" + ", ".join("[" + ", ".join(f"'{x}'" for x in types) + "]" for types in TICKET_TYPES) + f"]::VARCHAR[][])[c_custkey % {len(TICKET_TYPES)} + 1] AS types FROM customer)"
 SPANS_SQL = """
 WITH p AS (SELECT doc_id, regexp_extract_all(text, '{0}') AS m, string_split_regex(text, '{0}') AS g FROM documents),
 i AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM p WHERE len(m) > 0),
@@ -258,6 +286,19 @@ s AS (SELECT doc_id, m[i] AS value, (coalesce(list_sum(list_transform(g[1:i], la
 TOKENS_SQL = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOPWORDS if " " not in w) + "], t))"
 
 
+def clean_sql(column: str) -> str:
+    x = f"replace(replace({column}, chr(13) || chr(10), chr(10)), chr(160), ' ')"
+    for _ in range(2):  # a letter may stand between two of them
+        x = rf"regexp_replace({x}, '([A-Za-z])\x{{FFFD}}([A-Za-z])', '\1’\2', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '\x{{FFFD}}', '—', 'g'), '[ \t\r\f\v]+(\n|$)', '\1', 'g')"
+    x = f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: NOT regexp_full_match(l, '{T.NOISE_LINE}')), chr(10))"
+    return strip_sql(rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def strip_sql(column: str) -> str:
+    return rf"regexp_replace({column}, '^\s+|\s+$', '', 'g')"
+
+
 def _rule_sql(patterns: tuple[str, ...]) -> str:
     tries = ", ".join("nullif(regexp_extract(text, '{}', 0, 'i'), '')".format(p.replace("'", "''")) for p in patterns)
     return f"trim(coalesce({tries}))"
@@ -297,11 +338,10 @@ SQL = {
     "pii_digit_runs_luhn": SPANS_SQL.format(DIGIT_RUN) + """, c AS (SELECT doc_id, start_at, regexp_replace(value, '[ -]', '', 'g') AS digits FROM s)
 SELECT doc_id, start_at, digits FROM c WHERE length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(0, length(digits)),
   lambda i: CASE WHEN i % 2 = 0 THEN digits[length(digits) - i]::INTEGER ELSE 2 * digits[length(digits) - i]::INTEGER - CASE WHEN digits[length(digits) - i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0""",
-    "pii_ticket_verdicts": """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'BLOCK_ESCALATE' WHEN 5 THEN 'SAFE_TO_SEND' ELSE 'REDACT_THEN_SEND' END AS verdict,
-  CASE c_custkey % 6 WHEN 0 THEN 'PH_SSS' WHEN 1 THEN 'PH_MOBILE' WHEN 2 THEN 'GCASH_MOBILE' WHEN 3 THEN 'BANK_ACCOUNT' WHEN 4 THEN 'EMAIL' ELSE 'NONE' END AS entity_type,
-  CASE c_custkey % 6 WHEN 5 THEN 0 ELSE 1 END::BIGINT AS n_entities FROM customer""",
-    "pii_type_counts": """SELECT CASE c_custkey % 6 WHEN 0 THEN 'PH_SSS' WHEN 1 THEN 'PH_MOBILE' WHEN 2 THEN 'GCASH_MOBILE' WHEN 3 THEN 'BANK_ACCOUNT' ELSE 'EMAIL' END AS type, count(*) AS n
-FROM customer WHERE c_custkey % 6 < 5 GROUP BY 1""",
+    "pii_ticket_verdicts": f"""{TICKETS_SQL}
+SELECT c_custkey, CASE WHEN form IN {BLOCKED} THEN 'BLOCK_ESCALATE' WHEN len(types) = 0 THEN 'SAFE_TO_SEND' ELSE 'REDACT_THEN_SEND' END AS verdict,
+  coalesce(types[1], 'NONE') AS entity_type, len(types)::BIGINT AS n_entities FROM t""",
+    "pii_type_counts": f"{TICKETS_SQL} SELECT type, count(*) AS n FROM (SELECT unnest(types) AS type FROM t) GROUP BY 1",
     "pii_pseudonyms": "SELECT c_custkey, sha256(unhex('{}') || unhex(sha256(unhex('{}') || encode(c_name)))) AS mac FROM customer".format(*("".join(f"{b ^ pad:02x}" for b in b"key".ljust(64, b"\0")) for pad in (0x5C, 0x36))),
     "risk_flags": NARRATIVES_SQL + "\nSELECT o_orderkey, flag_id, tier, evidence FROM f WHERE evidence IS NOT NULL",
     "risk_assessments": NARRATIVES_SQL + """
@@ -310,7 +350,7 @@ x AS (SELECT o_orderkey, arg_max(tier, severity) AS tier, count(*) AS n, bool_or
 SELECT o_orderkey, coalesce(tier, 'none') AS tier, CASE WHEN b AND c THEN 'bank,customer' WHEN b THEN 'bank' WHEN c THEN 'customer' ELSE '' END AS exposed, coalesce(n, 0)::BIGINT AS n_flags
 FROM t LEFT JOIN x USING (o_orderkey)""",
     "html_text": r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_sha256 FROM pages""",
-    "clean_lines": r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(160), ' '), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_sha256, left(sha256(text), 16) AS short_hash FROM documents""",
+    "clean_lines": f"SELECT doc_id, sha256({clean_sql('text')}) AS text_sha256, left(sha256(text), 16) AS short_hash FROM documents",
     "token_counts": f"WITH t AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents) SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms FROM t",
     "term_statistics": f"WITH t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1",
     "stems": f"WITH t AS (SELECT DISTINCT unnest({TOKENS_SQL}) AS term FROM conversations), a AS (SELECT term, {_stem_sql('term')} AS s1 FROM t), b AS (SELECT term, {_stem_sql('s1')} AS s2 FROM a) SELECT term, {_stem_sql('s2')} AS stem FROM b",
@@ -325,7 +365,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, doc_id, rank, score FROM r WHERE rank <= 5""",
     "centroid_topk": """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 c AS (SELECT label, i, avg(x) AS c FROM x GROUP BY 1, 2),
-s AS (SELECT label, vec_id, round(sum(x * c), 6) AS score FROM x JOIN c USING (label, i) GROUP BY 1, 2),
+s AS (SELECT c.label, vec_id, round(sum(x * c), 6) AS score FROM x JOIN c USING (i) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) SELECT label, vec_id, rank, score FROM r WHERE rank <= 5""",
     "document_tags": "SELECT doc_id, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{c}')" for c in cues) + f" THEN '{t}' END" for t, cues in chunking.TAGS.items()) + "], lambda x: x IS NOT NULL), ',') AS tags FROM documents",
     "section_numbers": f"SELECT doc_id, unnest({SECTION_SQL.format('text')}) AS number FROM documents",
@@ -358,15 +398,19 @@ SELECT o_custkey, array_to_string(list_filter(f, lambda p: NOT list_contains(o,
 
 QUERIES = (
     pii_documents_verdict, pii_email_spans, pii_digit_runs_luhn, pii_ticket_verdicts, pii_type_counts, pii_pseudonyms, risk_flags, risk_assessments, html_text, clean_lines,
-    token_counts, term_statistics, stems, bm25_topk, hybrid_topk, answered_questions, centroid_topk, document_sections, document_chunks, document_tags, section_numbers,
+    token_counts, term_statistics, stems, bm25_topk, hybrid_topk, answered_questions, centroid_topk, document_tags, section_numbers,
     corpus_totals, admitted_requests, ledger_chain, ledger_verify, ledger_by_event, event_changes, label_precision_recall, value_quantiles, reciprocal_ranks, manifest_upsert,
     priority_sets, claimed_spans,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    from . import corpus, scores
+
+    return {f.__name__: f for f in (*QUERIES, *corpus.QUERIES, *scores.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import corpus, scores
+
+    return SQL | corpus.SQL | scores.SQL

@@ -11,15 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.guard import scan
-from ..operators.ledger import GENESIS, chained, entry_hash, payload
+from ..operators.ledger import chained, payload
 from ..operators.risk import assess
 
 CHANGE = "key string, seq long, value string, previous string, changed boolean"
 
 
-def scanned(stream: DataFrame, text_col: str = "text") -> DataFrame:
-    """A stream of texts with entities, redaction and verdict; no state."""
-    return scan(stream, text_col)
+def scanned(stream: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """A stream of texts with entities, redaction under a key and verdict; no state."""
+    return scan(stream, key, text_col)
 
 
 def assessed(stream: DataFrame, text_col: str = "text") -> DataFrame:
@@ -50,40 +50,23 @@ def changes(stream: DataFrame, key: str, seq: str, value: str) -> DataFrame:
 def append_log(stream: DataFrame, path: str, checkpoint: str, ledger: str = "ledger") -> StreamingQuery:
     """Appends each micro-batch of ``stream`` (ledger, seq, event, summary) to a chained log at ``path``.
 
-    The chain of a batch goes on from each ledger's last entry. A batch is written to a folder of its own
-    number, so a batch that runs again after a failure replaces what it wrote.
+    The chain of a batch goes on from each ledger's last entry; a table of the heads after each batch spares
+    a look at the log itself. Log and heads of a batch lie in folders of its own number, so a batch that runs
+    again after a failure replaces what it wrote.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(ledger, F.col("seq").cast("long").alias("seq"), payload("event", "seq", "summary").alias("payload"))
-        fresh = chained(rows, ledger)
-        try:
-            old = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number)
-            heads = old.groupBy(ledger).agg(F.max_by("entry_hash", "seq").alias("head"))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            heads = None
-        if heads is not None:
-            fresh = _continued(rows, heads, ledger)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        old = spark.read.parquet(f"{path}/_heads/batch={number - 1}") if number else None
+        chained(rows, ledger, old).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = spark.read.parquet(f"{path}/batch={number}").groupBy(ledger).agg(F.max_by("entry_hash", "seq").alias("head"))
+        if old is not None:
+            last = last.unionByName(old.join(last.select(ledger), ledger, "left_anti"))
+        last.write.mode("overwrite").parquet(f"{path}/_heads/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _continued(rows: DataFrame, heads: DataFrame, ledger: str) -> DataFrame:
-    """``chained`` from each ledger's ``head`` instead of the first link."""
-    groups = rows.groupBy(ledger).agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("rows")).join(heads, ledger, "left")
-    start = F.struct(F.coalesce("head", F.lit(GENESIS)).alias("head"), F.array().cast("array<struct<seq:bigint,payload:string,prev_hash:string,entry_hash:string>>").alias("out"))
-
-    def step(acc, x):
-        h = entry_hash(acc["head"], x["payload"])
-        row = F.struct(x["seq"].alias("seq"), x["payload"].alias("payload"), acc["head"].alias("prev_hash"), h.alias("entry_hash"))
-        return F.struct(h.alias("head"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return groups.select(ledger, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("r")).select(ledger, "r.*")
-
-
 def read_table_as_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from marlstone.functions.spans import finditer
+from marlstone.functions.spans import finditer, merged
 from marlstone.operators.guard import hmac_sha256, scan
 from marlstone.operators.recognizers import EMAIL, MOBILE, PAN, SSS, normal_mobile
 
@@ -30,15 +30,25 @@ CASES = [
 
 
 def test_scan(spark):
-    rows = scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(CASES)], "id int, text string")).orderBy("id").collect()
+    rows = scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(CASES)], "id int, text string"), "key").orderBy("id").collect()
     for (text, types, verdict), r in zip(CASES, rows):
         assert ([e.type for e in r.entities], r.verdict, r.residual_leakage) == (types, verdict, 0), text
         for e in r.entities:
             assert text[e.start : e.end] == e.text and e.text not in r.redacted
-    again = scan(spark.createDataFrame([(r.id, r.redacted) for r in rows if r.redacted], "id int, text string")).collect()
+    again = scan(spark.createDataFrame([(r.id, r.redacted) for r in rows if r.redacted], "id int, text string"), "key").collect()
     assert all(r.redacted == r.text for r in again)  # idempotent
 
 
+def test_reasons_of_merged_spans(spark):
+    rows = spark.sql("""SELECT array(
+      named_struct('type', 'A', 'start', 0, 'end', 4, 'text', 'aaaa', 'score', 0.5D, 'validated', true, 'boost', 0D, 'reasons', array('z', 'b')),
+      named_struct('type', 'B', 'start', 2, 'end', 9, 'text', 'bbbbbbb', 'score', 0.4D, 'validated', true, 'boost', 0D, 'reasons', array('a')),
+      named_struct('type', 'C', 'start', 8, 'end', 9, 'text', 'c', 'score', 0.9D, 'validated', true, 'boost', 0D, 'reasons', array('b', 'c')),
+      named_struct('type', 'D', 'start', 9, 'end', 10, 'text', 'd', 'score', 0.1D, 'validated', true, 'boost', 0D, 'reasons', array('d'))) AS s""")
+    got = rows.select(merged(F.col("s")).alias("m")).first().m
+    assert [(x.type, x.start, x.end, x.score, x.reasons) for x in got] == [("B", 2, 9, 0.9, ["a", "b", "c", "z"]), ("D", 9, 10, 0.1, ["d"])]
+
+
 def test_spans_are_those_of_finditer(spark):
     texts = ["a@b.co, é😀 x.y@z.com!", "0917 123 4567 +639171234567", "4539-5787-6362-1486 123-45-6789", "", "none"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
