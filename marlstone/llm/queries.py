@@ -144,9 +144,9 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH r AS (
-  SELECT page_id, html, 'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' AS a, '>\r\nWARC-Target-URI: ' || coalesce(url, '') || '\r\nContent-Type: text/html\r\nContent-Length: ' AS b FROM pages),
+  SELECT page_id, html, 'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' AS a, '>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: ' || coalesce(url, '') || '\r\nContent-Type: text/html\r\nContent-Length: ' AS b FROM pages),
 t AS (
-  SELECT page_id, html, floor(coalesce(page_id, -1) / 4096)::BIGINT AS archive,
+  SELECT page_id, html, floor(page_id / 4096)::BIGINT AS archive,
     replace(replace(a || coalesce(page_id::VARCHAR, 'none') || b || strlen(coalesce(html, '')) || '\r\n\r\n', '\r', chr(13)), '\n', chr(10)) || coalesce(html, '') AS text
   FROM r)
 SELECT page_id, archive, (sum(strlen(text) + 4) OVER w - strlen(text) - 4)::BIGINT AS record_offset, (strlen(text) + 4)::BIGINT AS record_length,

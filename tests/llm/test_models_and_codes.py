@@ -171,3 +171,12 @@ def test_warc(spark, tmp_path):
     warc.write(pages.where("page_id < 300"), f"file://{tmp_path}/w")
     back = {(r.url, r.html) for r in warc.read(spark, f"file://{tmp_path}/w").collect()}
     assert back == {(u, h) for i, u, h in rows if i is not None and i < 300}
+    nested = spark.createDataFrame([(1, "http://a", "one\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc"), (2, "http://b", ""), (3, None, "\r\n\r\n"), (4, "http://d", "é" * 9)], "page_id long, url string, html string")
+    warc.write(nested, f"file://{tmp_path}/n")
+    assert {(r.url or None, r.html) for r in warc.read(spark, f"file://{tmp_path}/n").collect()} == {(r.url, r.html) for r in nested.collect()}
+    (tmp_path / "cut.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\nok\r\n\r\nWARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 99\r\n\r\ncut")
+    assert [r.html for r in warc.read(spark, f"file://{tmp_path}/cut.warc").collect()] == ["ok"]
+    unnamed = spark.createDataFrame([(None, f"u{i}", "x" * i) for i in range(400)], "page_id long, url string, html string")
+    hurt = unnamed.withColumn("html", F.when(F.col("url") == "u9", "y").otherwise(F.col("html")))
+    assert [r.record_length for r in warc.audit(unnamed, hurt).where("damaged").collect()] == [warc.audit(unnamed.where("url = 'u9'"), hurt).first().record_length]
+    assert warc.leaves(unnamed).select("archive").distinct().count() > 300
