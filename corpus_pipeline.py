@@ -24,13 +24,20 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labelled ones among them, doesn't reject."""
+    """Documents that the classifier, learned from the labelled ones among them, doesn't reject.
+
+    A null text is scored as an empty one; ids may be null or repeat, as rows are judged by their texts alone;
+    without labels nothing is rejected. An empty table gives an empty table.
+    """
     voter = quality.train(docs, table(spark, sf_dir, "labels"), quality.crc_mod("doc_id", 5) != 0)
     return quality.with_score(docs, voter, "__score").where(F.col("__score") >= QUALITY).drop("__score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id (a null one first); rows are told apart whatever their ids."""
+    """Of each group of near copies the document with the smallest id (a null one first); rows are told apart whatever their ids.
+
+    Texts that are null or without words are near copies of nothing and stay.
+    """
     docs, plain = keyed(docs, "doc_id", "__key")
     groups = saved(ngram_join.near_duplicates(docs, "__key").select(F.col("doc_id").alias("id"), F.col("component_id").alias("part")), "groups")
     if plain:
@@ -41,18 +48,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; null and empty texts stay, and with no items all documents."""
     docs, _ = keyed(docs, "doc_id", "__key")
     return without(docs, decontaminate.contaminated(docs.select(F.col("__key").alias("id"), "text"), table(spark, sf_dir, "benchmark")))
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and the words that disclose it generalised or removed."""
+    """All documents, with personal data and the words that disclose it generalised or removed.
+
+    A null text stays null; equal texts come out equal, whatever their ids; n_chars follows the text.
+    """
     return pii.rewritten(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): token ids as little-endian 32-bit numbers."""
+    """(doc_id, n_tokens, ids): token ids as little-endian 32-bit numbers; none for a null or empty text. Each row is encoded, whatever its id."""
     return bpe.encode(docs)
 
 
@@ -68,6 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage on ``documents``. Columns of the table must not begin with two underscores."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name.split()[0])
