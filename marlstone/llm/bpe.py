@@ -9,6 +9,7 @@ entries before it as they are.
 from __future__ import annotations
 
 import base64
+import ctypes
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 
 from .scratch import bounded
 
-#: Bytes of ids of pieces that a worker remembers; beyond that it forgets all before the next rows.
-REMEMBERED_BYTES = 16 << 20
+#: Bytes of pieces and their ids, with what Python adds to each, that a task remembers; beyond that it forgets all before the next rows.
+REMEMBERED_BYTES, OVERHEAD = 32 << 20, 200
 #: Pairs of tokens of which a worker remembers whether they fit.
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 300_000
 #: Rows whose pieces are looked up together, and bytes of new pieces whose tables grow together.
-ROWS, TABLE_BYTES = 250, 1 << 19
+ROWS, TABLE_BYTES = 250, 1 << 17
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -101,20 +102,19 @@ class Bpe:
         self._bytes = np.frombuffer(b"".join(self.tokens[i] for i in order), np.uint8)
 
     def _trie(self) -> None:
-        """All prefixes of tokens: the next node for a row and a byte, a node's row (-1: no token goes on) and its token (or -1)."""
+        """All prefixes of tokens as nodes: sorted steps (node << 8 | byte), the node that each leads to, and a node's token (or -1)."""
         nodes: dict[bytes, int] = {b"": 0}
         for t in self.ranks:
             for end in range(1, len(t) + 1):
                 nodes.setdefault(t[:end], len(nodes))
-        inner = {x[:-1] for x in nodes if x}
-        self._row, self._token = np.full(len(nodes), -1, np.int32), np.full(len(nodes), -1, np.int64)
-        for r, x in enumerate(inner):
-            self._row[nodes[x]] = r
-        self._next = np.full((len(inner), 256), -1, np.int32)
+        token = np.full(len(nodes), -1, np.int64)
+        steps = np.zeros((len(nodes) - 1, 2), np.int64)
         for x, node in nodes.items():
+            token[node] = self.ranks.get(x, -1)
             if x:
-                self._next[self._row[nodes[x[:-1]]], x[-1]] = node
-            self._token[node] = self.ranks.get(x, -1)
+                steps[node - 1] = nodes[x[:-1]] << 8 | x[-1], node
+        order = np.argsort(steps[:, 0])
+        self._step, self._next, self._token = steps[order, 0], steps[order, 1], token
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain BPE of a short byte string: the adjacent pair of lowest rank joins first."""
@@ -185,16 +185,16 @@ class Bpe:
     def _endings(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, starts, tokens): of each byte the tokens that end there within its piece, shortest first."""
         n = len(data)
-        live, node = np.arange(n), np.zeros(n, np.int32)
+        live, node = np.arange(n), np.zeros(n, np.int64)
         stop = np.repeat(at[1:], np.diff(at))
         ends, starts, tokens = [], [], []
         for length in range(1, self.longest + 1):
-            row = self._row[node]
-            go = (row >= 0) & (live + length <= stop[live])
-            live, row = live[go], row[go]
-            node = self._next[row, data[live + length - 1]]
-            go = node >= 0
+            go = live + length <= stop[live]
             live, node = live[go], node[go]
+            step = node << 8 | data[live + length - 1]
+            at_step = np.minimum(np.searchsorted(self._step, step), len(self._step) - 1)
+            go = self._step[at_step] == step
+            live, node = live[go], self._next[at_step[go]]
             if not len(live):
                 break
             token = self._token[node]
@@ -244,7 +244,7 @@ class Bpe:
         long = [i for i, x in enumerate(raw) if len(x) > 64]  # a round for each byte pays for many pieces only
         for i in long:
             self._known[pieces[i]] = self.piece(pieces[i])
-            self._held += len(raw[i]) + len(self._known[pieces[i]])
+            self._held += len(raw[i]) + len(self._known[pieces[i]]) + OVERHEAD
         short = [i for i, x in enumerate(raw) if len(x) <= 64] if long else range(len(raw))
         size = np.array([len(raw[i]) for i in short], np.int64)
         step = np.cumsum(size) // TABLE_BYTES
@@ -268,14 +268,24 @@ class Bpe:
             sizes = (4 * count).tolist()
             for i, s, n in zip(part, stops.tolist(), sizes):
                 self._known[pieces[i]] = blob[s : s + n]
-            self._held += len(blob) + at[-1]
+            self._held += len(blob) + at[-1] + OVERHEAD * len(part)
+
+    def forget(self, everything: bool = False) -> None:
+        """Frees what is remembered of pieces, or of pairs and tokens too, and gives the memory back to the system."""
+        self._known.clear()
+        self._held = 0
+        if everything:
+            self.known_fits.clear()
+            for spines in self._spines:
+                spines.clear()
+            if hasattr(ctypes.CDLL(None), "malloc_trim"):
+                ctypes.CDLL(None).malloc_trim(0)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers."""
         known = self._known
         if self._held > REMEMBERED_BYTES:
-            known.clear()
-            self._held = 0
+            self.forget()
         if len(self.known_fits) > REMEMBERED_PAIRS:
             self.known_fits.clear()
         pieces = list(map(self.pattern.findall, texts))
@@ -370,6 +380,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 if decoded:
                     cols.append(bpe.decode_all(ids))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"][: len(cols)])
+        bpe.forget(everything=True)  # a worker goes on to tasks of other kinds
 
     bounded(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
