@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram_join, pii, quality, substring_dedup, suffix_dedup, topk, toxicity, warc
+from . import bpe, decontaminate, ngram_join, periodic, pii, prefix_trie, quality, spotsigs, substring_dedup, suffix_dedup, topk, toxicity, warc
 from .tables import table
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -156,6 +156,71 @@ FROM t WINDOW w AS (PARTITION BY archive ORDER BY page_id, sha256(text) ROWS UNB
 """
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spotsigs.with_edited(spotsigs.with_next(table(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), spotsigs.fingerprint("signatures").alias("fingerprint"),
+        spotsigs.fingerprint("edited_signatures").alias("edited_fingerprint"), spotsigs.likeness("signatures", "edited_signatures").alias("near_edited"), spotsigs.likeness("signatures", "next_signatures").alias("near_next"),
+    )
+
+
+_WORDS11 = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPOTS11 = """CASE WHEN len({0}) = 0 THEN []::VARCHAR[] ELSE list_sort(list_distinct(coalesce(nullif(flatten(list_transform(range(1, len({1})), lambda k:
+    list_transform({0}[(CASE WHEN k > 1 THEN {1}[k - 1] ELSE 0 END) + 1:{1}[k] - 1], lambda a: left(md5(a || ':' || {0}[{1}[k]] || ':' || {0}[{1}[k + 1]]), 16)))), []::VARCHAR[]), [left(md5(array_to_string({0}, ' ')), 16)]))) END"""
+_LIKE11 = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next FROM d),
+e AS (SELECT doc_id, t, next, left(t, length(t) - length(t) // 4) || left(next, length(t) // 4) AS edited FROM o),
+w AS (SELECT doc_id, t, edited, {_WORDS11.format("t")} AS a, {_WORDS11.format("edited")} AS b, {_WORDS11.format("next")} AS c FROM e),
+stop AS (SELECT {list(spotsigs.ANCHORS)} AS s),
+p AS (SELECT *, {", ".join(f"list_filter(range(1, len({x}) + 1), lambda i: NOT list_contains(s, {x}[i])) AS {x}p" for x in "abc")} FROM w, stop),
+f AS (SELECT doc_id, t, edited, {", ".join(f"{_SPOTS11.format(x, x + 'p')} AS {x}s" for x in "abc")} FROM p)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string("as", ',') AS fingerprint, array_to_string(bs, ',') AS edited_fingerprint,
+  {_LIKE11.format('"as"', 'bs')} AS near_edited, {_LIKE11.format('"as"', 'cs')} AS near_next
+FROM f
+"""
+
+
+def edited_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth text or so, by its id's checksum, the words from a place on repeat a period; a null id edits nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    words = docs.where(F.col("text").isNotNull() & (h % 10 == 0)).select("doc_id", g.alias("g"), F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "").alias("w"))
+    words = words.select("doc_id", "g", "w", F.size("w").cast("long").alias("n"))
+    words = words.select("doc_id", "g", "w", "n", (F.col("g") % F.greatest("n", F.lit(1))).cast("int").alias("a"))
+    period = (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, period), (3 + F.col("g") % 8).cast("int")))
+    edited = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), (F.col("n") - F.col("a")).cast("int")))
+    rest = docs.where(F.col("text").isNull() | ~F.coalesce(h % 10 == 0, F.lit(False)))
+    return rest.select("doc_id", "text").unionByName(words.select("doc_id", F.when(F.col("n") > 0, F.array_join(edited, " ")).otherwise("").alias("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.collapse(edited_words(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    out = out.withColumn("best", best).withColumn("lines", F.array_join(F.transform("runs", line), ""))
+    milli = F.floor(1000 * F.col("best.length") / -F.col("best.period"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        milli.cast("long").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation begins with the first turns of the one whose id is the multiple of five at or before its own."""
+    own = prefix_trie.in_order(prefix_trie.turns(table(spark, sf_dir, "conversations")))
+    h, base = F.crc32(F.col("key").cast("string").cast("binary")) % 9, F.col("key") - F.col("key") % 5
+    ids = own.where("last").select("key")
+    heads = own.where("i < 8").select(F.col("key").alias("base"), "i", "digest", "n_bytes")
+    first = ids.where(base != F.col("key")).withColumn("h", h).join(heads, (base == F.col("base")) & (F.col("i") < F.col("h")))
+    rest = own.where((base == F.col("key")) | (F.col("i") >= h))
+    columns = ["key", "digest", "n_bytes", F.col("i").alias("number")]
+    rows = first.select(*columns, F.lit(0).alias("part")).unionByName(rest.select(*columns, F.lit(1).alias("part")))
+    return prefix_trie.trie(rows, [F.col("part"), F.col("number")], ids.select(F.col("key").alias("conv_id")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": op1_exact_topk,
@@ -168,6 +233,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_warc_fixity": op10_warc_fixity,
+        "op11_document_fingerprints": op11_document_fingerprints,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -177,5 +245,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_benchmark_decontamination": OP2_SQL,
         "op7_ngram_jaccard_join": OP7_SQL,
         "op10_warc_fixity": OP10_SQL,
+        "op11_document_fingerprints": OP11_SQL,
         "op8_substring_dedup": OP8_SQL,
     }
