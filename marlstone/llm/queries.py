@@ -166,7 +166,7 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS11 = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPOTS11 = """CASE WHEN len({0}) = 0 THEN []::VARCHAR[] ELSE list_sort(list_distinct(coalesce(nullif(flatten(list_transform(range(1, len({1})), lambda k:
-    list_transform({0}[(CASE WHEN k > 1 THEN {1}[k - 1] ELSE 0 END) + 1:{1}[k] - 1], lambda a: left(md5(a || ':' || {0}[{1}[k]] || ':' || {0}[{1}[k + 1]]), 16)))), []::VARCHAR[]), [left(md5(array_to_string({0}, ' ')), 16)]))) END"""
+    list_transform({0}[(CASE WHEN k > 6 AND {1}[k - 6] = {1}[k - 1] - 5 THEN {1}[k - 1] - 1 WHEN k > 1 THEN {1}[k - 1] ELSE 0 END) + 1:{1}[k] - 1], lambda z: left(md5(z || ':' || {0}[{1}[k]] || ':' || {0}[{1}[k + 1]]), 16)))), []::VARCHAR[]), [left(md5(array_to_string({0}, ' ')), 16)]))) END"""
 _LIKE11 = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
 OP11_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -1,8 +1,9 @@
 """Fingerprints by spot signatures: chains of content words that follow common words, compared as sets.
 
 Every occurrence of a common word (an anchor) with the next CHAIN words that are not common is a spot signature. Layout and
-boilerplate have few common words, so that the set of signatures follows a text's prose. A text in which no chain ends has
-one signature, all its words; a text without words has none. DataFrame functions only.
+boilerplate have few common words, so that the set of signatures follows a text's prose. Lists and codes have hardly any:
+where GAP words in a row are not common, the next such word is an anchor too. A text in which no chain ends has one
+signature, all its words; a text without words has none. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ ANCHORS = (
 ).split()
 #: Content words in a chain.
 CHAIN = 2
+#: Words without an anchor after which a word that isn't common becomes one.
+GAP = 5
 #: Hexadecimal digits of a signature's MD5 that stand for it.
 DIGITS = 16
 #: Near copies have at least this likeness.
@@ -46,8 +49,9 @@ def with_signatures(docs: DataFrame, text: Column, name: str) -> DataFrame:
     words, places = F.col(w), F.col(at)
 
     def of_gap(k: Column) -> Column:
-        """Signatures of the anchors between content words k - 1 and k."""
+        """Signatures of the anchors between content words k - 1 and k, and of content word k - 1 if no common word is near before it."""
         before = F.when(k > 1, F.element_at(places, k - 1)).otherwise(0)
+        before = before - F.when(k > GAP + 1, F.when(F.element_at(places, k - 1 - GAP) == before - GAP, 1).otherwise(0)).otherwise(0)
         chain = F.concat_ws(":", *(F.element_at(words, F.element_at(places, k + j)) for j in range(CHAIN)))
         return F.transform(F.slice(words, before + 1, F.element_at(places, k) - before - 1), lambda a: F.substring(F.md5(F.concat_ws(":", a, chain)), 1, DIGITS))
 
