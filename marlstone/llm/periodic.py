@@ -12,7 +12,8 @@ of L/2 or less (neighbours overlap in L - 1 words and so would share it, and the
 being its smallest period), and occurrences of a gram without such a period are more than L/2 apart, so that at most
 three begin within 2L places. Work is O(n log n) for a text of n words, whatever it repeats.
 
-Grams are compared by 64-bit hashes; a diagonal that they name is then walked in the words themselves.
+Grams are compared by 64-bit hashes; a diagonal that they name is then compared word by word, and where hashes met by
+chance all of it is walked anew.
 """
 
 from __future__ import annotations
@@ -68,29 +69,28 @@ def _dense(ids: np.ndarray, row: np.ndarray, q: int, least: int) -> tuple[np.nda
     return first[long], last[long] + q
 
 
-def _seeds(ids: np.ndarray, total: np.ndarray, power: np.ndarray, room: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _doubled(names: np.ndarray, size: int) -> np.ndarray:
+    """Names of the grams of 2 * size words from those of size words; sums of powers would not do, as strings are known that meet in them."""
+    out = names.copy()
+    out[: max(0, len(names) - size)] += bytehash.mix(names[size:] ^ _STEP)
+    return bytehash.mix(out)
+
+
+def _seeds(names: np.ndarray, room: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, lag) of L-grams and their nearest earlier occurrences at lags from L to 2L - 1; ``room``: words up to the text's end."""
     at = np.flatnonzero(room >= size)
-    down = (total[at + size] - total[at]) * power[::-1][at]  # sums are brought to one power, that of the last word
-    order = np.argsort(down, kind="stable")
-    at, down = at[order], down[order]
+    names = names[at]
+    order = np.argsort(names, kind="stable")
+    at, names = at[order], names[order]
     places, lags = [], []
     for back in range(1, NEAREST + 1):
         lag = at[back:] - at[:-back]
-        hit = np.flatnonzero((down[back:] == down[:-back]) & (lag >= size) & (lag < 2 * size))
+        hit = np.flatnonzero((names[back:] == names[:-back]) & (lag >= size) & (lag < 2 * size))
         places.append(at[back:][hit])
         lags.append(lag[hit])
     return np.concatenate(places), np.concatenate(lags)
 
 
-def _walked(ids: np.ndarray, lo: int, hi: int, q: int, place: int) -> tuple[int, int]:
-    """The stretch of matches of lag q around ``place`` in the text [lo, hi), word by word."""
-    same = ids[lo + q : hi] == ids[lo : hi - q]
-    p = place - q - lo
-    after, before = np.flatnonzero(~same[p:]), np.flatnonzero(~same[:p])
-    return (lo + q + int(before[-1]) + 1 if len(before) else lo + q), (place + int(after[0]) if len(after) else hi)
-
-
 def runs(ids: np.ndarray, at: np.ndarray, least: int = LEAST, times: int = TIMES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, period) of all runs of texts, whose words ``ids[at[j]:at[j + 1]]`` are; by start, then period.
 
@@ -106,12 +106,14 @@ def runs(ids: np.ndarray, at: np.ndarray, least: int = LEAST, times: int = TIMES
         if most >= max(least, times * q):
             s, e = _dense(ids, row, q, max(least - q, (times - 1) * q))
             found.append((s, e, np.full(len(s), q)))
-    size = DENSE
+    names, size = bytehash.mix(ids.astype(np.uint64) + np.uint64(1)), 1
+    while size < DENSE:
+        names, size = _doubled(names, size), 2 * size
     while most >= max(least, times * size):
         texts = np.flatnonzero(sizes >= max(least, times * size))
         for block in np.array_split(texts, max(1, int(sizes[texts].sum()) // (1 << 20))):
-            found.append(_scale(ids, at, sizes, block, size, least, times))
-        size *= 2
+            found.append(_scale(ids, names, at, sizes, block, size, least, times))
+        names, size = _doubled(names, size), 2 * size
     s, e, q = (np.concatenate(x).astype(np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     order = np.lexsort((q, e, s))
     s, e, q = s[order], e[order], q[order]
@@ -123,15 +125,16 @@ def runs(ids: np.ndarray, at: np.ndarray, least: int = LEAST, times: int = TIMES
     return s[order], e[order], q[order]
 
 
-def _scale(ids, at, sizes, texts, size, least, times):
+def _scale(ids, names, at, sizes, texts, size, least, times):
     """Diagonals with enough matches of lags from ``size`` to twice that, in some of the texts."""
     n = sizes[texts]
     starts = np.concatenate(([0], np.cumsum(n)))
-    words = ids[np.repeat(at[texts] - starts[:-1], n) + np.arange(starts[-1])]
+    where = np.repeat(at[texts] - starts[:-1], n) + np.arange(starts[-1])
+    words = ids[where]
     end = np.repeat(starts[1:], n)
     begin = np.repeat(starts[:-1], n)
     total, power = _prefix(words)
-    place, lag = _seeds(words, total, power, end - np.arange(starts[-1]), size)
+    place, lag = _seeds(names[where], end - np.arange(starts[-1]), size)
     inside = place - lag >= begin[place]
     place, lag = place[inside], lag[inside]
     order = np.lexsort((place, lag))
@@ -160,7 +163,7 @@ def _scale(ids, at, sizes, texts, size, least, times):
             parts = [(a, b)]
         out.update((x - p, y, p) for x, y in parts if y - x >= max(least - p, (times - 1) * p))
     s, e, q = np.array(sorted(out), np.int64).reshape(-1, 3).T
-    back = np.repeat(at[texts] - starts[:-1], n)[s] if len(s) else s
+    back = where[s] - s
     return s + back, e + back, q
 
 

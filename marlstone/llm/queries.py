@@ -221,6 +221,36 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(rows, [F.col("part"), F.col("number")], ids.select(F.col("key").alias("conv_id")))
 
 
+OP13_SQL = r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL),
+hs AS (
+  SELECT c, c - c % 5 AS base, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(s) + 1), lambda i: [ascii(s[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) % 2 = 1 THEN 3988292384 ELSE 0 END))) % 9 AS h FROM ids),
+turns AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+keyed AS (SELECT c, turn, strlen(t) AS b, sha256(strlen(r) || ':' || r || t) AS k FROM turns),
+own AS (SELECT c, b, k, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) - 1 AS i FROM keyed),
+rebuilt AS (
+  SELECT hs.c, 0 AS part, i, k, b FROM hs JOIN own ON own.c = hs.base AND i < h WHERE hs.base <> hs.c
+  UNION ALL SELECT hs.c, 1, i, k, b FROM hs JOIN own ON own.c = hs.c WHERE hs.base = hs.c OR i >= h),
+prefixes AS (
+  SELECT c, row_number() OVER w AS depth, string_agg(k, '') OVER w AS path, b FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, i ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT c, 0, '', 0 FROM ids),
+lasts AS (SELECT c, max(depth) AS n FROM prefixes GROUP BY c),
+nodes AS (
+  SELECT path, min(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, min(b) AS b, string_agg(CASE WHEN depth = n THEN c::VARCHAR END, ',' ORDER BY c) AS ends
+  FROM prefixes JOIN lasts USING (c) GROUP BY path),
+kids AS (SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT left(path, 64 * d) AS path, sum((n_convs - 1) * b) AS saved, count(*) FILTER (k IS NULL) AS leaves
+  FROM (SELECT nodes.path, n_convs, b, kids.n AS k, unnest(range(0, depth + 1)) AS d FROM nodes LEFT JOIN kids USING (path)) GROUP BY 1)
+SELECT v.conv_id, v.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+  below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM nodes v JOIN below USING (path) LEFT JOIN kids USING (path) LEFT JOIN nodes p ON v.depth > 0 AND p.path = left(v.path, 64 * (v.depth - 1))
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": op1_exact_topk,
@@ -246,5 +276,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_jaccard_join": OP7_SQL,
         "op10_warc_fixity": OP10_SQL,
         "op11_document_fingerprints": OP11_SQL,
+        "op13_prefix_trie": OP13_SQL,
         "op8_substring_dedup": OP8_SQL,
     }

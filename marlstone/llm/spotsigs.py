@@ -39,27 +39,32 @@ _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def with_signatures(docs: DataFrame, text: Column, name: str) -> DataFrame:
     """``docs`` with the sorted set ``name`` of the signatures of ``text``; a null text has none.
 
-    Three projections: words, places of content words, signatures. Each is used more than once by the next, so that
-    the optimizer doesn't move it into a lambda.
+    Projections one after the other: words, places of content words, signatures, their set. Each is used more than once
+    by the next, so that the optimizer doesn't move it into a lambda or a branch.
     """
-    w, at = f"__w_{name}", f"__at_{name}"
+    w, at, full = f"__w_{name}", f"__at_{name}", f"__full_{name}"
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     docs = docs.withColumn(w, F.filter(F.split(lower, _NOT_WORD), lambda x: x != ""))
     docs = docs.withColumn(at, F.array_compact(F.transform(w, lambda x, i: F.when(~x.isin(ANCHORS), i + 1))))
     words, places = F.col(w), F.col(at)
+    none = F.array().cast("array<string>")
 
     def of_gap(k: Column) -> Column:
-        """Signatures of the anchors between content words k - 1 and k, and of content word k - 1 if no common word is near before it."""
-        before = F.when(k > 1, F.element_at(places, k - 1)).otherwise(0)
+        """Signatures of the anchors between content words k - 1 and k, and of content word k - 1 if no common word is near before it.
+
+        Words are taken one by one: a slice inside a lambda would copy the whole text each time.
+        """
+        here, before = F.element_at(places, k), F.when(k > 1, F.element_at(places, k - 1)).otherwise(0)
         before = before - F.when(k > GAP + 1, F.when(F.element_at(places, k - 1 - GAP) == before - GAP, 1).otherwise(0)).otherwise(0)
-        chain = F.concat_ws(":", *(F.element_at(words, F.element_at(places, k + j)) for j in range(CHAIN)))
-        return F.transform(F.slice(words, before + 1, F.element_at(places, k) - before - 1), lambda a: F.substring(F.md5(F.concat_ws(":", a, chain)), 1, DIGITS))
+        chain = [F.element_at(words, F.element_at(places, k + j)) for j in range(CHAIN)]
+        of_anchor = lambda i: F.substring(F.md5(F.concat_ws(":", F.element_at(words, i), *chain)), 1, DIGITS)
+        return F.when(here - before > 1, F.transform(F.sequence(before + 1, here - 1), of_anchor)).otherwise(none)
 
-    full = F.when(F.size(places) >= CHAIN, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(places) - (CHAIN - 1), F.lit(1))), of_gap)))
+    gaps = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(places) - (CHAIN - 1), F.lit(1))), of_gap))
+    docs = docs.withColumn(full, F.when(F.size(places) >= CHAIN, F.array_distinct(gaps)).otherwise(none))
     whole = F.array(F.substring(F.md5(F.concat_ws(" ", words)), 1, DIGITS))
-    none = F.array().cast("array<string>")
-    found = F.when(F.coalesce(F.size(full) > 0, F.lit(False)), full).when(F.size(words) > 0, whole).otherwise(none)
-    return docs.withColumn(name, F.array_sort(F.array_distinct(found))).drop(w, at)
+    found = F.when(F.size(full) > 0, F.sort_array(full)).when(F.size(words) > 0, whole).otherwise(none)
+    return docs.withColumn(name, found).drop(w, at, full)
 
 
 def fingerprint(signatures: Column | str) -> Column:
@@ -128,8 +133,9 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     take no part. Sets meet where one of their rarest signatures is the same, in their own length class or the one
     below; lengths, then positions of the shared signature, rule pairs out before sets are compared.
     """
-    rows = with_signatures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull()), F.col("text"), "s").where(F.size("s") > 0)
-    rows = saved(rows.select("doc_id", F.sha2(fingerprint("s"), 256).alias("name"), "s"), "spots")
+    rows = with_signatures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull()), F.col("text"), "s")
+    # Written before it is filtered: a filter would be moved below the projections and work the signatures out in lambdas.
+    rows = saved(rows.select("doc_id", F.sha2(fingerprint("s"), 256).alias("name"), "s"), "spots").where(F.size("s") > 0)
     firsts = rows.groupBy("name").agg(F.min("doc_id").alias("set_id"))
     member = rows.select("doc_id", "name").join(firsts, "name").select("doc_id", "set_id")
     sets = saved(rows.join(firsts.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "s"), "sets")
