@@ -27,6 +27,8 @@ from .scratch import drop, saved
 NO_ID = -(1 << 63)
 #: Columns of a block of the product.
 COLUMNS = 8192
+#: Buckets for each of the session's shuffle partitions: a task holds one, all of whose columns it sorts at once.
+BUCKETS = 2
 #: Logarithm of the ratio of sizes within which documents have a leader in common.
 LIKE = 0.1
 
@@ -163,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs, plain = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "id")
     names, docs = docs.select("id", "doc_id"), docs.select("id", "text")
-    buckets = exchange.buckets(docs)
+    buckets = BUCKETS * exchange.buckets(docs)
     sizes = saved(set_sizes(docs, k), "sizes")
 
     def of_texts(batch):

@@ -60,7 +60,7 @@ FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN items x USING (doc_id)
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents"), quality.crc_mod("doc_id", 5)
     voter = quality.train(docs, table(spark, sf_dir, "labels"), part != 0)
-    return quality.score(docs, voter).select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return quality.score(docs, voter).select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents"), quality.crc_mod("doc_id", 3)
     net = toxicity.train(docs, table(spark, sf_dir, "labels"), part != 1)
-    return toxicity.score(docs, net).select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return toxicity.score(docs, net).select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
