@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,16 +91,80 @@ def unit(v: Column) -> Column:
     return F.transform(F.arrays_zip(v.alias("x"), F.array_repeat(size, F.size(v)).alias("n")), lambda s: s["x"].cast("double") / s["n"])
 
 
+#: Bytes of the matrix of asked vectors that goes to every task, at most.
+ASKED_BYTES = 256 << 20
+
+
+def _asked(queries: DataFrame, most: int) -> tuple[list, np.ndarray]:
+    """Ids and matrix of a stated set of query vectors (query_id, v)."""
+    rows = queries.where(F.col("v").isNotNull()).select("query_id", F.transform("v", lambda x: x.cast("double")).alias("v")).limit(most + 1).collect()
+    width = len(rows[0].v) if rows else 0
+    if len(rows) > most or len(rows) * width * 8 > ASKED_BYTES:
+        raise ValueError(f"more than {most} queries or {ASKED_BYTES} bytes of them at once; ask in blocks")
+    if any(len(r.v) != width for r in rows):
+        raise ValueError("query vectors must have one length")
+    return [r.query_id for r in rows], np.array([r.v for r in rows], np.float64).reshape(len(rows), width)
+
+
+def _blocks(batch: pa.RecordBatch, matrix: np.ndarray, room: int = 4 << 20) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, products) of blocks of a batch (id, v): a row of products for each vector of the queries' length, of ``room`` numbers at most."""
+    lists = batch.column(1)
+    fits = np.flatnonzero(pc.equal(pc.list_value_length(lists), matrix.shape[1]).fill_null(False).to_numpy(zero_copy_only=False))
+    step = max(1, room // max(1, len(matrix)))
+    for lo in range(0, len(fits), step):
+        take = pa.array(fits[lo : lo + step])
+        part = lists.take(take).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        yield batch.column(0).take(take), part.reshape(len(take), -1) @ matrix.T
+
+
 def cosines(queries: DataFrame, vectors: DataFrame, most: int = 10_000) -> DataFrame:
     """(query_id, id, cosine) of every stated query (query_id, v) with every row of ``vectors`` (id, v); all are unit vectors.
 
-    The queries go to every task, so there may be ``most`` of them.
+    The queries go to every task as one matrix, so there may be ``most`` of them; a block of vectors is one product.
+    Every pair is a row: ask ``nearest`` where the best of each query are enough. Vectors that are null or of another
+    length than the queries take no part.
+    """
+    names, matrix = _asked(queries, most)
+    kind, id_kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = pa.array(names)
+        for batch in batches:
+            for ids, scores in _blocks(batch, matrix, 1 << 20):
+                row, column = np.divmod(np.arange(scores.size), max(1, len(matrix)))
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(column)), ids.take(pa.array(row)), pa.array(scores.ravel())], names=["query_id", "id", "cosine"])
+
+    return vectors.select("id", "v").mapInArrow(product, f"query_id {kind}, id {id_kind}, cosine double")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, most: int = 10_000) -> DataFrame:
+    """(query_id, id, score, rank): of each stated query its k best rows of ``vectors`` (id long, v) by dot product, rounded; ties go to the smaller id.
+
+    A task multiplies blocks of vectors with all queries and keeps k rows for each, which are all that it passes on. As
+    for ``cosines`` the queries are bounded, and vectors that don't fit take no part.
     """
-    queries = queries.select("query_id", F.col("v").alias("__q"))
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} queries at once; ask in blocks")
-    return vectors.join(F.broadcast(queries)).select("query_id", "id", dot(F.col("v"), F.col("__q")).alias("cosine"))
+    names, matrix = _asked(queries, most)
+    kind = dict(queries.dtypes)["query_id"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(names)
+        best, ids = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
+        for batch in batches:
+            for some, scores in _blocks(batch, matrix):
+                rounded = np.round(scores.T, digits)
+                if len(some) > k:  # whatever ties with the k-th best stays for the order by id
+                    floor = np.partition(rounded, -k, axis=1)[:, -k]
+                    columns = np.flatnonzero((rounded >= np.maximum(floor, best[:, k - 1] if best.shape[1] >= k else -np.inf)[:, None]).any(axis=0))
+                    some, rounded = some.take(pa.array(columns)), rounded[:, columns]
+                best = np.concatenate([best, rounded], axis=1)
+                ids = np.concatenate([ids, np.broadcast_to(some.to_numpy(), (n, len(some)))], axis=1)
+                order = np.lexsort((ids, -best), axis=1)[:, :k]
+                best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
+        if ids.size:
+            yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(np.repeat(np.arange(n), ids.shape[1]))), pa.array(ids.ravel()), pa.array(best.ravel())], names=["query_id", "id", "score"])
+
+    found = vectors.select(F.col("id").cast("long").alias("id"), "v").where("id is not null").mapInArrow(search, f"query_id {kind}, id long, score double")
+    return top(found, k)
 
 
 def fingerprint(rows: DataFrame, order: str, *columns: str, block: int = 4096) -> DataFrame:
