@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.text import section_tokens, stem, tokens
@@ -126,9 +127,10 @@ def cosines(queries: DataFrame, vectors: DataFrame, most: int = 10_000) -> DataF
     """
     names, matrix = _asked(queries, most)
     kind, id_kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
+    arrow = to_arrow_type(queries.schema["query_id"].dataType)
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = pa.array(names)
+        asked = pa.array(names, arrow)
         for batch in batches:
             for ids, scores in _blocks(batch, matrix, 1 << 20):
                 row, column = np.divmod(np.arange(scores.size), max(1, len(matrix)))
@@ -144,7 +146,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, mos
     for ``cosines`` the queries are bounded, and vectors that don't fit take no part.
     """
     names, matrix = _asked(queries, most)
-    kind = dict(queries.dtypes)["query_id"]
+    kind, arrow = dict(queries.dtypes)["query_id"], to_arrow_type(queries.schema["query_id"].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(names)
@@ -161,7 +163,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, mos
                 order = np.lexsort((ids, -best), axis=1)[:, :k]
                 best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
         if ids.size:
-            yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(np.repeat(np.arange(n), ids.shape[1]))), pa.array(ids.ravel()), pa.array(best.ravel())], names=["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, arrow).take(pa.array(np.repeat(np.arange(n), ids.shape[1]))), pa.array(ids.ravel()), pa.array(best.ravel())], names=["query_id", "id", "score"])
 
     found = vectors.select(F.col("id").cast("long").alias("id"), "v").where("id is not null").mapInArrow(search, f"query_id {kind}, id long, score double")
     return top(found, k)
