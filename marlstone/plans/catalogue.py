@@ -103,6 +103,13 @@ def pii_ticket_verdicts(spark, sf_dir):
     return guard.scan(tickets(spark, sf_dir), KEY).select("c_custkey", "verdict", F.coalesce(F.try_element_at("entities", F.lit(1))["type"], F.lit("NONE")).alias("entity_type"), F.size("entities").cast("long").alias("n_entities"))
 
 
+def pii_ticket_redactions(spark, sf_dir):
+    """The redacted ticket, and where each replacement stands in it and in the original."""
+    out = guard.scan(tickets(spark, sf_dir), KEY, report=True)
+    place = lambda m: F.concat_ws(":", m["type"], m["start"], m["end"], m["replacement"], m["out_start"], m["out_end"], m["pass"])
+    return out.select("c_custkey", "redacted", F.array_join(F.transform("redaction_map", place), ";").alias("places"), "passes", "verified_clean", F.array_join("notes", " ").alias("note"))
+
+
 def pii_type_counts(spark, sf_dir):
     return guard.type_counts(guard.scan(tickets(spark, sf_dir), KEY))
 
@@ -286,6 +293,29 @@ def claimed_spans(spark, sf_dir):
 
 
 TICKETS_SQL = f"WITH t AS (SELECT c_custkey, c_custkey % {len(TICKET_TYPES)} AS form, ([" + ", ".join("[" + ", ".join(f"'{x}'" for x in types) + "]" for types in TICKET_TYPES) + f"]::VARCHAR[][])[c_custkey % {len(TICKET_TYPES)} + 1] AS types FROM customer)"
+# What a ticket's form says before, between and after the identifiers, each written from the key n as ten digits.
+TICKET_PARTS = (
+    ("SSS ", "n[1:2] || '-' || n[3:9] || '-' || n[10:10]", ""), ("Mobile ", "'0917 ' || n[4:6] || ' ' || n[7:10]", ""), ("GCash number ", "'0918' || n[4:10]", ""), ("Account number: ", "'0056-' || n[3:10]", ""),
+    ("mail ", "'c' || c_custkey || '@example.com'", " please"), ("invoice INV-2024-", "", ""), ("to ", "'PH12ABC' || n", ""), ("TIN ", "n[1:3] || '-' || n[4:6] || '-' || n[7:9]", ""),
+    ("PAN ", "'4539578763621486'", " CVV: ", "'123'", " account no ", "'1234-5678-99'", ""), ("western union ref: ", "'AB' || n[3:10]", ""), ("", "'1234-5678-9012-3456'", ""), ("passport no ", "'P' || n[4:10] || 'A'", ""),
+    ("born ", "'Jan 5, 1990'", ""), ("monthly salary is PHP ", "'45,000.00'", " per month"), ("order 4539578763621487 shipped", "", ""), ("cvv ", "'123'", ""),
+)
+_PADS = ["".join(f"{b ^ pad:02x}" for b in KEY.encode().ljust(64, b"\0")) for pad in (0x5C, 0x36)]
+_LIST = lambda rows: "[" + ", ".join("[" + ", ".join(r) + "]" for r in rows) + "]"
+REDACTED_SQL = (
+    "WITH k AS (SELECT c_custkey, c_custkey % 16 + 1 AS f, lpad(c_custkey::VARCHAR, 10, '0') AS n FROM customer),\n"
+    f"v AS (SELECT c_custkey, f, n, {_LIST([[f'$${x}$$' for x in p[::2]] for p in TICKET_PARTS])}[f] AS said, "
+    + _LIST([[x or "''" for x in p[1::2]] for p in TICKET_PARTS]) + f"[f] AS v, {[list(t) or [''] for t in TICKET_TYPES]}[f] AS types FROM k),\n"
+    + "w AS (SELECT *, CASE WHEN f = 6 THEN [n[3:10]] ELSE v END AS values FROM v),\n"
+    + f"m AS (SELECT *, list_transform(range(1, len(types) + 1), lambda i: CASE WHEN types[i] = '' THEN values[i] ELSE '[' || coalesce(map({list(guard.TAGS)}, {list(guard.TAGS.values())})[types[i]], 'REDACTED') || '-' "
+    + f"|| upper(left(sha256(unhex('{_PADS[0]}') || unhex(sha256(unhex('{_PADS[1]}') || encode(values[i])))), 4)) || ']' END) AS tokens FROM w),\n"
+    + "a AS (SELECT *, list_transform(range(1, len(types) + 1), lambda i: list_sum(list_transform(said[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(values[1:i - 1], lambda x: length(x))), 0)::BIGINT) AS s,\n"
+    + "  list_transform(range(1, len(types) + 1), lambda i: list_sum(list_transform(said[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(tokens[1:i - 1], lambda x: length(x))), 0)::BIGINT) AS o FROM m)\n"
+    + "SELECT c_custkey, said[1] || array_to_string(list_transform(range(1, len(types) + 1), lambda i: tokens[i] || said[i + 1]), '') AS redacted,\n"
+    + "  CASE WHEN types[1] = '' THEN '' ELSE array_to_string(list_transform(range(1, len(types) + 1), lambda i: types[i] || ':' || s[i] || ':' || s[i] + length(values[i]) || ':' || tokens[i] || ':' || o[i] || ':' || o[i] + length(tokens[i]) || ':1'), ';') END AS places,\n"
+    + "  1 AS passes, true AS verified_clean, CASE WHEN types[1] = '' THEN 'No regulated identifier was found.' WHEN f = 9 THEN 'A card number stands with its CVV and an account or national number: all that a payment needs.'\n"
+    + "  WHEN types[1] IN ('PH_SSS', 'PH_TIN') THEN 'A national number (SSS or TIN) is present.' ELSE '1 identifier replaced, and the text read again: ' || types[1] || '.' END AS note FROM a"
+)
 SPANS_SQL = """
 WITH p AS (SELECT doc_id, regexp_extract_all(text, '{0}') AS m, string_split_regex(text, '{0}') AS g FROM documents),
 i AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM p WHERE len(m) > 0),
@@ -349,6 +379,7 @@ SELECT doc_id, start_at, digits FROM c WHERE length(digits) BETWEEN 13 AND 19 AN
     "pii_ticket_verdicts": f"""{TICKETS_SQL}
 SELECT c_custkey, CASE WHEN form IN {BLOCKED} THEN 'BLOCK_ESCALATE' WHEN len(types) = 0 THEN 'SAFE_TO_SEND' ELSE 'REDACT_THEN_SEND' END AS verdict,
   coalesce(types[1], 'NONE') AS entity_type, len(types)::BIGINT AS n_entities FROM t""",
+    "pii_ticket_redactions": REDACTED_SQL,
     "pii_type_counts": f"{TICKETS_SQL} SELECT type, count(*) AS n FROM (SELECT unnest(types) AS type FROM t) GROUP BY 1",
     "pii_pseudonyms": "SELECT c_custkey, sha256(unhex('{}') || unhex(sha256(unhex('{}') || encode(c_name)))) AS mac FROM customer".format(*("".join(f"{b ^ pad:02x}" for b in b"key".ljust(64, b"\0")) for pad in (0x5C, 0x36))),
     "risk_flags": NARRATIVES_SQL + "\nSELECT o_orderkey, flag_id, tier, evidence FROM f WHERE evidence IS NOT NULL",
@@ -405,7 +436,7 @@ SELECT o_custkey, array_to_string(list_filter(f, lambda p: NOT list_contains(o,
 }
 
 QUERIES = (
-    pii_documents_verdict, pii_email_spans, pii_digit_runs_luhn, pii_ticket_verdicts, pii_type_counts, pii_pseudonyms, risk_flags, risk_assessments, html_text, clean_lines,
+    pii_documents_verdict, pii_email_spans, pii_digit_runs_luhn, pii_ticket_verdicts, pii_ticket_redactions, pii_type_counts, pii_pseudonyms, risk_flags, risk_assessments, html_text, clean_lines,
     token_counts, term_statistics, stems, bm25_topk, bm25_pruned_topk, hybrid_topk, answered_questions, centroid_topk, document_tags, section_numbers,
     corpus_totals, admitted_requests, ledger_chain, ledger_verify, ledger_by_event, event_changes, label_precision_recall, value_quantiles, reciprocal_ranks, manifest_upsert,
     priority_sets, claimed_spans,

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from marlstone.functions.spans import finditer, merged
-from marlstone.operators.guard import hmac_sha256, scan
+from marlstone.operators.guard import REDACTION, hmac_sha256, redacted, redactions, scan
 from marlstone.operators.recognizers import EMAIL, MOBILE, PAN, SSS, normal_mobile
 
 CASES = [
@@ -67,3 +67,34 @@ def test_mobile_forms(spark):
     forms = {"0917 123 4567": "+639171234567", "+63 917 123 4567": "+639171234567", "9171234567": "+639171234567", "12345": None}
     rows = spark.createDataFrame([(k,) for k in forms], "t string").select("t", normal_mobile(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in rows} == forms
+
+
+def test_redaction_map_leads_back_to_the_original(spark):
+    """Places of both texts, over several passes; a later pass may take in an earlier replacement."""
+    rows = scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(CASES)], "id int, text string"), "key", report=True).orderBy("id").collect()
+    for (text, types, judged), r in zip(CASES, rows):
+        assert [m.type for m in r.redaction_map] == types and (r.passes, r.verified_clean, r.verdict) == (1, True, judged)
+        out, at = "", 0
+        for m in r.redaction_map:
+            assert r.redacted[m.out_start : m.out_end] == m.replacement and m.length == m.end - m.start and m["pass"] == 1
+            out, at = out + text[at : m.start] + m.replacement, m.end
+        assert text is None or out + text[at:] == r.redacted
+        assert len(r.notes) == 1 and r.notes[0].endswith((".",))
+
+
+def test_redaction_map_over_passes(spark):
+    """A made-up second and third find: beside an earlier replacement, and reaching over it."""
+    entity = "array<struct<type:string,start:int,end:int,text:string,score:double>>"
+    text = "aa 123 bb 456 cc"
+    row = spark.createDataFrame([(text, [("EMAIL", 3, 6, "123", 0.5), ("SALARY", 10, 13, "456", 0.25)])], f"text string, e {entity}")
+    one = row.withColumn("m", redactions(F.array().cast(REDACTION), F.col("e"), "key", 1)).withColumn("r", redacted(F.col("text"), F.col("e"), "key")).first()
+    assert [one.r[m.out_start : m.out_end] for m in one.m] == [m.replacement for m in one.m] and [text[m.start : m.end] for m in one.m] == ["123", "456"]
+    bb, cc = one.r.index("bb"), one.r.index("cc")
+    over = (one.m[1].out_start - 1, len(one.r))  # from before the second replacement to the text's end
+    more = [("PASSPORT", bb, bb + 1, "b", 0.1), ("PH_SSS", *over, one.r[slice(*over)], 0.1)]
+    two = spark.createDataFrame([(one.r, one.m, more)], f"text string, m {REDACTION}, e {entity}")
+    two = two.withColumn("m", redactions(F.col("m"), F.col("e"), "key", 2)).withColumn("r", redacted(F.col("text"), F.col("e"), "key")).first()
+    places = {(m.type, m["pass"]): (text[m.start : m.end], two.r[m.out_start : m.out_end]) for m in two.m}
+    token = lambda t, p: next(m.replacement for m in two.m if (m.type, m["pass"]) == (t, p))
+    assert places["EMAIL", 1] == ("123", token("EMAIL", 1)) and places["PASSPORT", 2] == ("b", token("PASSPORT", 2))
+    assert places["PH_SSS", 2] == (" 456 cc", token("PH_SSS", 2)) and places["SALARY", 1] == ("456", token("PH_SSS", 2)) and cc > bb
