@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import collapsed
+from ..functions.text import collapsed, excerpt
+from ..sources.scratch import written
+from . import impact, retrieval
 from .rules import RULES
 
 SEVERITY = {"critical": 5, "high": 4, "medium": 3, "low": 2, "none": 1}
@@ -56,6 +58,35 @@ def cited(assessed: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
     return out.select("id", "flag", "doc_id", "chunk_id", F.coalesce("exact", F.lit(False)).alias("exact"), F.col("chunk_id").isNull().alias("degraded"))
 
 
+#: Hits of an anchor's search that a citation may be taken from, characters of a quote, and those around an anchor that lies beyond.
+HITS, QUOTE, PAD = 20, 600, 300
+
+
+def citations(assessed: DataFrame, chunks: DataFrame, id_col: str, hits: int = HITS) -> DataFrame:
+    """(id, flag, doc_id, anchor, chunk_id, exact, degraded, score, quote, excerpt): each flag's passage, found by a search for its anchor.
+
+    Of the ``hits`` best passages of all ``chunks`` (number long and unique, chunk_id, doc_id, text) for the anchor's words,
+    those of the flag's document count: the best that holds the anchor, else the best as an approximate one. If none of
+    them is of that document, nothing is quoted and the flag is degraded. The quote is the passage's first QUOTE
+    characters, or, where the anchor lies beyond them, as many around it; the excerpt is cut closer. All anchors of the
+    catalogue are asked at once; they are few, and so are the passages found, which go to every row.
+    """
+    spark = assessed.sparkSession
+    rows = assessed.select(F.col(id_col).alias("id"), F.explode("flags").alias("f")).select("id", F.col("f.id").alias("flag"), F.col("f.doc_id").alias("doc_id"), F.col("f.anchor").alias("anchor"))
+    named = sorted({r[3] for r in RULES if r[3][0] != "GAP"})
+    wanted = spark.createDataFrame([(i, *x) for i, x in enumerate(named)], "query_id long, doc_id string, anchor string")
+    found = impact.best(impact.index(chunks, "number", "text"), retrieval.query_terms(wanted, "query_id", "anchor", stemmed=False), hits)
+    held = chunks.select("number", "chunk_id", "doc_id", collapsed(F.col("text")).alias("text"))
+    held = held.join(F.broadcast(found.select("query_id", F.col("id").alias("number"), "rank", F.round("score", 4).alias("score"))), "number").join(F.broadcast(wanted), ["query_id", "doc_id"])
+    held = held.withColumn("exact", F.contains(F.lower("text"), collapsed(F.lower("anchor"))))
+    best = held.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "rank"))).where("n = 1")
+    beyond = F.col("exact") & ~F.contains(F.lower(F.substring("text", 1, QUOTE)), collapsed(F.lower("anchor")))
+    best = best.withColumn("text", F.when(beyond, excerpt(F.col("text"), F.col("anchor"), PAD)).otherwise(F.col("text")))
+    best = written(best.select("doc_id", "anchor", "chunk_id", "exact", "score", F.substring("text", 1, QUOTE).alias("quote"), excerpt(F.col("text"), F.col("anchor")).alias("excerpt")), "cited")
+    out = rows.join(F.broadcast(best), ["doc_id", "anchor"], "left")
+    return out.select("id", "flag", "doc_id", "anchor", "chunk_id", F.coalesce("exact", F.lit(False)).alias("exact"), F.col("chunk_id").isNull().alias("degraded"), "score", "quote", "excerpt")
+
+
 #: What a flag of each tier asks for.
 ACTIONS = {"critical": "Stop and escalate at once.", "high": "Hold for review by compliance.", "medium": "Record and watch.", "low": "Record."}
 NO_ACTION = "Continue normal monitoring."

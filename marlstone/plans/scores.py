@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import guard, metrics, risk
 from ..operators.rules import RULES
 from ..sources.scratch import written
-from .catalogue import KEY, NARRATIVES, NARRATIVES_SQL, TICKET_TYPES, TICKETS_SQL, narratives, table, tickets
+from .catalogue import KEY, NARRATIVES, NARRATIVES_SQL, TICKET_TYPES, TICKETS_SQL, TOKENS_SQL, narratives, table, tickets
 
 # What each narrative was written to trip: typologies, tier, exposed parties.
 EXPECTED = (
@@ -85,6 +85,13 @@ def risk_citations(spark, sf_dir):
     return out.select(F.col("id").alias("o_orderkey"), F.col("flag").alias("flag_id"), "doc_id", "chunk_id", "exact", "degraded")
 
 
+def risk_searched_citations(spark, sf_dir):
+    """Citations from the twenty best passages for each anchor, with what is quoted."""
+    chunks = _chunks(spark, sf_dir).withColumnRenamed("rank", "number")
+    out = risk.citations(risk.assess(narratives(spark, sf_dir)), chunks, "o_orderkey")
+    return out.select(F.col("id").alias("o_orderkey"), F.col("flag").alias("flag_id"), "doc_id", "chunk_id", "exact", "degraded", "score", F.sha2("quote", 256).alias("quote_sha256"), F.sha2("excerpt", 256).alias("excerpt_sha256"))
+
+
 def risk_reports(spark, sf_dir):
     out = risk.reports(risk.assess(narratives(spark, sf_dir)), _chunks(spark, sf_dir), "o_orderkey")
     return out.select(F.col("id").alias("o_orderkey"), "tier", "n_flags", "n_citations", "n_gaps", "degraded", F.array_join("actions", " ").alias("actions"), "summary")
@@ -94,7 +101,7 @@ def missing_anchors(spark, sf_dir):
     return risk.missing_anchors(_chunks(spark, sf_dir))
 
 
-QUERIES = (span_scores, span_macro_f1, clean_negatives, span_reasons, scenario_scores, risk_citations, risk_reports, missing_anchors)
+QUERIES = (span_scores, span_macro_f1, clean_negatives, span_reasons, scenario_scores, risk_citations, risk_searched_citations, risk_reports, missing_anchors)
 
 SCORED = f"""{TICKETS_SQL},
 e AS (SELECT types[1] AS type, (c_custkey % 7 <> 0)::INTEGER AS tp, 0 AS fp, (c_custkey % 7 = 0)::INTEGER AS fn FROM t WHERE len(types) > 0
@@ -123,7 +130,40 @@ b AS (SELECT * FROM (SELECT law, anchor, chunk_id, contains(trim(regexp_replace(
 u(flag_id, law, anchor) AS (VALUES {", ".join(f"('{r[0]}', '{r[3][0]}', '{r[3][1]}')" for r in RULES)}),
 c AS (SELECT o_orderkey, flag_id, u.law AS doc_id, chunk_id, coalesce(exact, false) AS exact, chunk_id IS NULL AS degraded FROM f JOIN u USING (flag_id) LEFT JOIN b ON b.law = u.law AND b.anchor = u.anchor WHERE evidence IS NOT NULL)
 """
+
+
+def _window_sql(name: str, source: str, pad: int) -> str:
+    """CTEs up to ``name`` with the text around the anchor ``needle`` of ``source`` as ``cut``."""
+    a, b, c, d = (f"{name}_{x}" for x in "abcd")
+    return f"""{a} AS (SELECT *, strpos(lower(text), needle) - 1 AS p, length(text) AS len, greatest(strpos(lower(text), needle) - 1 - {pad}, 0) AS s0, least(length(text), strpos(lower(text), needle) - 1 + length(needle) + {pad}) AS e0 FROM {source}),
+{b} AS (SELECT *, CASE WHEN s0 > 0 AND strpos(substr(text, s0 + 1), ' ') > 0 AND s0 + strpos(substr(text, s0 + 1), ' ') <= e0 THEN s0 + strpos(substr(text, s0 + 1), ' ') ELSE s0 END AS s FROM {a}),
+{c} AS (SELECT *, substr(text, s + 1, e0 - s) AS body FROM {b}),
+{d} AS (SELECT *, CASE WHEN e0 < len AND strpos(reverse(body), ' ') > 0 AND length(body) - strpos(reverse(body), ' ') > 0 THEN s + length(body) - strpos(reverse(body), ' ') ELSE e0 END AS z FROM {c}),
+{name} AS (SELECT * EXCLUDE (p, len, s0, e0, s, body, z), CASE WHEN p < 0 THEN left(text, {2 * pad}) ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || regexp_replace(substr(text, s + 1, z - s), '^\\s+|\\s+$', '', 'g') || CASE WHEN z < len THEN '...' ELSE '' END END AS cut FROM {d})"""
+
+
+SEARCHED = CITED + f""",
+wanted AS (SELECT row_number() OVER (ORDER BY law, anchor) AS item_id, law, anchor FROM w),
+hits AS (
+  WITH d AS (SELECT rank AS doc_id, unnest({TOKENS_SQL}) AS term FROM k),
+  p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM k),
+  a AS (SELECT sum(tf) / (SELECT n FROM n) AS a FROM p), i0 AS (SELECT term, ln((SELECT n FROM n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p GROUP BY 1),
+  i AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0),
+  q AS (SELECT item_id, term, count(*) AS x FROM (SELECT item_id, unnest({TOKENS_SQL.replace("text", "anchor")}) AS term FROM wanted) GROUP BY 1, 2),
+  s AS (SELECT item_id, doc_id, sum(x * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT a FROM a)))) AS bm25 FROM q JOIN i USING (term) JOIN p USING (term) JOIN l USING (doc_id) GROUP BY 1, 2)
+  SELECT * FROM (SELECT item_id, doc_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 6) DESC, doc_id) AS place FROM s) WHERE place <= 20),
+held AS (
+  SELECT wanted.law, wanted.anchor, place, hits.score, chunk_id, trim(regexp_replace(k.text, '\\s+', ' ', 'g')) AS text, trim(regexp_replace(lower(wanted.anchor), '\\s+', ' ', 'g')) AS needle
+  FROM hits JOIN wanted USING (item_id) JOIN k ON k.rank = hits.doc_id AND k.law = wanted.law),
+best AS (SELECT * EXCLUDE (n) FROM (SELECT *, contains(lower(text), needle) AS exact, row_number() OVER (PARTITION BY law, anchor ORDER BY contains(lower(text), needle) DESC, place) AS n FROM held) WHERE n = 1),
+{_window_sql("wide", "best", 300)},
+shown AS (SELECT * EXCLUDE (text, cut), CASE WHEN exact AND NOT contains(lower(left(text, 600)), needle) THEN cut ELSE text END AS text FROM wide),
+{_window_sql("narrow", "shown", 260)}
+SELECT o_orderkey, flag_id, u.law AS doc_id, chunk_id, coalesce(exact, false) AS exact, chunk_id IS NULL AS degraded, round(score, 4) AS score, sha256(left(text, 600)) AS quote_sha256, sha256(cut) AS excerpt_sha256
+FROM (SELECT o_orderkey, flag_id FROM f WHERE evidence IS NOT NULL) JOIN u USING (flag_id) LEFT JOIN narrow ON narrow.law = u.law AND narrow.anchor = u.anchor
+"""
 SQL = {
+    "risk_searched_citations": SEARCHED,
     "span_scores": SCORED + "SELECT type, support, tp, fp, fn, round(a, 6) AS precision, round(b, 6) AS recall, round(f, 6) AS f1 FROM s",
     "span_macro_f1": SCORED + "SELECT round(coalesce(avg(f), 0), 6) AS macro_f1, count(*) AS n_types FROM s WHERE support > 0",
     "clean_negatives": f"{TICKETS_SQL} SELECT form::INTEGER AS form, count(*) AS n, 0::BIGINT AS violations, 0::BIGINT AS leaks FROM t WHERE len(types) = 0 GROUP BY 1",
