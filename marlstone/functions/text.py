@@ -28,6 +28,11 @@ def html_text(c: Column) -> Column:
     return collapsed(F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"(?s)<[^>]+>", " "))
 
 
+def html_lines(c: Column) -> Column:
+    """Text of a page with a line end for each tag, so that headers keep lines of their own; scripts and styles go."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?is)<script.*?</script>|<style.*?</style>", " "), r"(?s)<[^>]+>", "\n")
+
+
 # Lines that hold a page number, a copyright sign or a table row alone.
 NOISE_LINE = r"(?is)\s*(?:page\s+\d+|-\s*\d+\s*-|©|\|.*\|)\s*"
 

@@ -36,11 +36,11 @@ KEYWORD = r"\b(section|notify|notification|consent|register|penal)\w*\b"
 
 def header_label(line: Column) -> Column:
     """The label of a line that is a header, else null."""
-    s = F.trim(line)
+    s = stripped(line)
     title = None
     for p in HEADERS:
         title = F.when(s.rlike(p), F.regexp_extract(s, p, 1)) if title is None else title.when(s.rlike(p), F.regexp_extract(s, p, 1))
-    first = F.lower(F.split(F.trim(title), r"[\s(,;:]", 2)[0])
+    first = F.lower(F.split(stripped(title), r"[\s(,;:]", 2)[0])
     named_once = F.regexp_count(s, F.lit(r"(?i)\bsections?\b")) <= 1
     fine = (s != "") & (F.length(s) <= 200) & ~s.rlike(BOILERPLATE) & named_once & title.isNotNull() & ~first.isin(*VERBS)
     return F.when(fine, F.substring(s, 1, LABEL))

@@ -131,6 +131,12 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.html_text(F.col("html")), 256).alias("text_sha256"))
 
 
+def page_lines(spark, sf_dir):
+    """Pages with a line for each tag, cleaned of empty ones."""
+    lines = F.filter(F.split(T.html_lines(F.col("html")), "\n"), lambda x: F.trim(x) != "")
+    return table(spark, sf_dir, "pages").select("page_id", F.size(lines).cast("long").alias("n_lines"), F.sha2(F.array_join(lines, "\n"), 256).alias("lines_sha256"))
+
+
 def clean_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.clean_lines(F.col("text")), 256).alias("text_sha256"), T.short_hash(F.col("text")).alias("short_hash"))
 
@@ -389,6 +395,8 @@ x AS (SELECT o_orderkey, arg_max(tier, severity) AS tier, count(*) AS n, bool_or
 SELECT o_orderkey, coalesce(tier, 'none') AS tier, CASE WHEN b AND c THEN 'bank,customer' WHEN b THEN 'bank' WHEN c THEN 'customer' ELSE '' END AS exposed, coalesce(n, 0)::BIGINT AS n_flags
 FROM t LEFT JOIN x USING (o_orderkey)""",
     "html_text": r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_sha256 FROM pages""",
+    "page_lines": r"""WITH l AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', chr(10), 'g'), chr(10)), lambda x: trim(x) <> '') AS l FROM pages)
+SELECT page_id, len(l)::BIGINT AS n_lines, sha256(array_to_string(l, chr(10))) AS lines_sha256 FROM l""",
     "clean_lines": f"SELECT doc_id, sha256({clean_sql('text')}) AS text_sha256, left(sha256(text), 16) AS short_hash FROM documents",
     "token_counts": f"WITH t AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents) SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms FROM t",
     "term_statistics": f"WITH t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1",
@@ -436,7 +444,7 @@ SELECT o_custkey, array_to_string(list_filter(f, lambda p: NOT list_contains(o,
 }
 
 QUERIES = (
-    pii_documents_verdict, pii_email_spans, pii_digit_runs_luhn, pii_ticket_verdicts, pii_ticket_redactions, pii_type_counts, pii_pseudonyms, risk_flags, risk_assessments, html_text, clean_lines,
+    pii_documents_verdict, pii_email_spans, pii_digit_runs_luhn, pii_ticket_verdicts, pii_ticket_redactions, pii_type_counts, pii_pseudonyms, risk_flags, risk_assessments, html_text, page_lines, clean_lines,
     token_counts, term_statistics, stems, bm25_topk, bm25_pruned_topk, hybrid_topk, answered_questions, centroid_topk, document_tags, section_numbers,
     corpus_totals, admitted_requests, ledger_chain, ledger_verify, ledger_by_event, event_changes, label_precision_recall, value_quantiles, reciprocal_ranks, manifest_upsert,
     priority_sets, claimed_spans,

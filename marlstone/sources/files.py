@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import html_text
+from ..functions.text import html_lines
 
 CHUNK = "chunk_id string, text string, doc_id string, doc_title string, issuer string, section string, effective_date string, url string, doc_type string, authority_tier int, sha256 string, char_len int, ordinal int, tags array<string>"
 LEDGER = "seq bigint, ts string, event string, summary string, prev_hash string, entry_hash string"
@@ -30,16 +30,16 @@ def read_log(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text, sha256, n_bytes) of raw files: markup becomes text, PDF pages need another reader.
+    """(path, kind, text, sha256, n_bytes) of raw files: each tag of markup becomes a line end, PDF pages need another reader.
 
-    Bytes that aren't UTF-8 become replacement characters; a PDF has a null text. The scan
+    Tags go from every text, whatever its kind, as a page may lack the head that shows what it is. Bytes that aren't UTF-8 become replacement characters; a PDF has a null text. The scan
     leaves empty files out.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     head = F.make_valid_utf8(F.substring("content", 1, 5).cast("string"))
     text = F.make_valid_utf8(F.col("content").cast("string"))
     kind = F.when(head == "%PDF-", "pdf").when(F.lower(F.substring(text, 1, 2000)).rlike(r"<(!doctype|html)"), "html").otherwise("text")
-    return raw.select("path", kind.alias("kind"), F.when(kind == "html", html_text(text)).when(kind == "text", text).alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+    return raw.select("path", kind.alias("kind"), F.when(kind != "pdf", html_lines(text)).alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
 
 
 def admitted(rows: DataFrame, text_col: str = "text", most: int = MOST_CHARS, blank: bool = True) -> tuple[DataFrame, DataFrame]:
