@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import guard, metrics, risk
+from ..operators import ensemble, guard, metrics, risk
 from ..operators.rules import RULES
 from ..sources.scratch import written
-from .catalogue import KEY, NARRATIVES, NARRATIVES_SQL, TICKET_TYPES, TICKETS_SQL, TOKENS_SQL, narratives, table, tickets
+from .catalogue import KEY, NARRATIVES, NARRATIVES_SQL, REDACTED_SQL, TICKET_TYPES, TICKETS_SQL, TOKENS_SQL, narratives, table, tickets
 
 # What each narrative was written to trip: typologies, tier, exposed parties.
 EXPECTED = (
@@ -60,6 +60,17 @@ def span_reasons(spark, sf_dir):
     return rows.select("c_custkey", F.col("e.type").alias("type"), F.array_join("e.reasons", ",").alias("reasons"), "e.score")
 
 
+def ensemble_spans(spark, sf_dir):
+    """Recognised spans of the tickets with those of an outside model: the first words of each, and some behind its end."""
+    rows = guard.scan(tickets(spark, sf_dir), KEY).select(F.col("c_custkey").alias("id"), "entities", "text")
+    span = lambda n, start, end, kind, score, valid, boost: F.struct(F.lit(n).alias("n"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("type"), F.lit(score).alias("score"), F.lit(valid).alias("validated"), F.lit(boost).cast("double").alias("boost"))
+    size = F.length("text")
+    more = F.array(span(0, F.lit(0), F.lit(3), "PERSON", 0.9, False, None), span(1, F.lit(2), F.lit(8), "ADDRESS", 1.0, True, 1.0), span(2, size + 5, F.when(F.col("c_custkey") % 5 == 0, size + 9).otherwise(size), "PERSON", 0.5, False, 0.0))
+    outside = tickets(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.explode(more).alias("x")).select("id", "x.*")
+    out = ensemble.together(rows, outside)
+    return out.select(F.col("id").alias("c_custkey"), "start", "end", "type", F.round("score", 6).alias("score"), F.size(F.filter("reasons", lambda x: x == "outside agrees")).alias("n_agree"), "stage")
+
+
 def scenario_scores(spark, sf_dir):
     pick = (F.col("o_orderkey") % len(NARRATIVES) + 1).cast("int")
     of = lambda values: F.element_at(F.array(*values), pick)
@@ -101,7 +112,7 @@ def missing_anchors(spark, sf_dir):
     return risk.missing_anchors(_chunks(spark, sf_dir))
 
 
-QUERIES = (span_scores, span_macro_f1, clean_negatives, span_reasons, scenario_scores, risk_citations, risk_searched_citations, risk_reports, missing_anchors)
+QUERIES = (span_scores, span_macro_f1, clean_negatives, span_reasons, ensemble_spans, scenario_scores, risk_citations, risk_searched_citations, risk_reports, missing_anchors)
 
 SCORED = f"""{TICKETS_SQL},
 e AS (SELECT types[1] AS type, (c_custkey % 7 <> 0)::INTEGER AS tp, 0 AS fp, (c_custkey % 7 = 0)::INTEGER AS fn FROM t WHERE len(types) > 0
@@ -162,7 +173,18 @@ shown AS (SELECT * EXCLUDE (text, cut), CASE WHEN exact AND NOT contains(lower(l
 SELECT o_orderkey, flag_id, u.law AS doc_id, chunk_id, coalesce(exact, false) AS exact, chunk_id IS NULL AS degraded, round(score, 4) AS score, sha256(left(text, 600)) AS quote_sha256, sha256(cut) AS excerpt_sha256
 FROM (SELECT o_orderkey, flag_id FROM f WHERE evidence IS NOT NULL) JOIN u USING (flag_id) LEFT JOIN narrow ON narrow.law = u.law AND narrow.anchor = u.anchor
 """
+# Up to the places of the identifiers, then every one of them against the outside spans [0, 3), [2, 8) and one behind the end.
+ENSEMBLE = REDACTED_SQL.rpartition("SELECT c_custkey, said[1]")[0].rstrip() + f""",
+y(type, score, near) AS (VALUES {", ".join(f"('{k}', {s}::DOUBLE, {n})" for k, (s, n) in CONFIDENCE.items())}),
+i AS (SELECT c_custkey, s[j] AS s, s[j] + length(values[j]) AS e, types[j] AS type FROM (SELECT *, unnest(range(1, len(types) + 1)) AS j FROM a) WHERE types[1] <> ''),
+r AS (SELECT i.*, round_even(0.45 + 0.35 * score + 0.01 * near, 3) AS score, s < 3 AS a, s < 8 AND e > 2 AS b FROM i JOIN y USING (type)),
+z AS (SELECT c_custkey, said[1] || array_to_string(list_transform(range(1, len(types) + 1), lambda q: values[q] || said[q + 1]), '') AS text FROM a)
+SELECT c_custkey, s::INTEGER AS start, e::INTEGER AS "end", type, round(CASE WHEN b AND 0.99 > score THEN greatest(score, 0.9 * 0.99) ELSE score END, 6) AS score, a::INTEGER + b::INTEGER AS n_agree, 'recognised' AS stage FROM r
+UNION ALL SELECT c_custkey, 0, 3, 'PERSON', 0.891, 1, 'outside' FROM a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.c_custkey = a.c_custkey AND r.a)
+UNION ALL SELECT c_custkey, length(text)::INTEGER + 5, length(text)::INTEGER + 9, 'PERSON', 0.445, 0, 'outside' FROM z WHERE c_custkey % 5 = 0
+"""
 SQL = {
+    "ensemble_spans": ENSEMBLE,
     "risk_searched_citations": SEARCHED,
     "span_scores": SCORED + "SELECT type, support, tp, fp, fn, round(a, 6) AS precision, round(b, 6) AS recall, round(f, 6) AS f1 FROM s",
     "span_macro_f1": SCORED + "SELECT round(coalesce(avg(f), 0), 6) AS macro_f1, count(*) AS n_types FROM s WHERE support > 0",
