@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytehash import tidy
 from .scratch import bounded
 
 #: Bytes of pieces and their ids, with what Python adds to each, that a task remembers; beyond that it forgets all before the next rows.
@@ -384,7 +385,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     bounded(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(coded, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(coded), schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -395,4 +396,4 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pa
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), bpe.decode_all([x or b"" for x in batch.column(1).to_pylist()])], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", F.col(ids_col).alias("ids")).mapInArrow(plain, "doc_id long, decoded binary")
+    return encoded.select("doc_id", F.col(ids_col).alias("ids")).mapInArrow(tidy(plain), "doc_id long, decoded binary")

@@ -7,7 +7,8 @@ range from two lookups, so tokens and windows of a batch are hashed by a few num
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,21 @@ pa.set_memory_pool(pa.system_memory_pool())
 if hasattr(ctypes.CDLL(None), "mallopt"):
     ctypes.CDLL(None).mallopt(-3, 1 << 18)
 
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on a task's batches. At its end all that was freed goes back to the system: the worker stays, idle, while later stages run."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 _tables: dict[str, np.ndarray] = {}
 
 

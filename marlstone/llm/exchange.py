@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .bytehash import mix
+from .bytehash import mix, tidy
 
 KEY_BYTES = 7
 MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
@@ -106,7 +106,7 @@ def packed(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], Iterator[tupl
         if size:
             yield dealt(*joined(held), n)
 
-    return df.mapInArrow(pack, SCHEMA)
+    return df.mapInArrow(tidy(pack), SCHEMA)
 
 
 def send(df: DataFrame, fingerprints: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], n: int) -> DataFrame:
@@ -172,4 +172,4 @@ def per_id(answers: DataFrame, names: list[str], sizes: list[int], n: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(ids[first[lo:hi]]), *(pa.array([c[s:e].tobytes() for s, e in part], pa.binary()) for c in columns)], names=["id", *names])
             lo = hi
 
-    return answers.select("place", "ids", *names).repartitionById(n, "place").mapInArrow(meet, ", ".join(["id long", *(f"{c} binary" for c in names)]))
+    return answers.select("place", "ids", *names).repartitionById(n, "place").mapInArrow(tidy(meet), ", ".join(["id long", *(f"{c} binary" for c in names)]))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .bytehash import chunks, lower_ascii, mix, prefix, range_hash, windows, words
+from .bytehash import chunks, lower_ascii, mix, prefix, range_hash, tidy, windows, words
 from .components import components
 from .keys import keyed
 from .scratch import drop, saved
@@ -68,7 +68,7 @@ def set_sizes(docs: DataFrame, k: int) -> DataFrame:
                 n += np.bincount(rows, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["id", "n"])
 
-    return docs.mapInArrow(sizes, "id long, n long")
+    return docs.mapInArrow(tidy(sizes), "id long, n long")
 
 
 def _able(sent: DataFrame, sizes: DataFrame, percent: int, n: int) -> DataFrame:
@@ -96,9 +96,9 @@ def _able(sent: DataFrame, sizes: DataFrame, percent: int, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), batch.column(4)], names=["id", "n", "columns", "shared"])
 
     names = ["columns", "frequency"]
-    rows = exchange.per_id(sent.mapInArrow(shared, exchange.reply_schema(names)), names, [8, 4], n)
+    rows = exchange.per_id(sent.mapInArrow(tidy(shared), exchange.reply_schema(names)), names, [8, 4], n)
     rows = rows.withColumn("shared", (F.octet_length("frequency") / 4).cast("long")).join(sizes, "id").where(100 * F.col("shared") >= percent * F.col("n"))
-    return rows.select("id", "n", "columns", "frequency", "shared").mapInArrow(ordered, "id long, n long, columns binary, shared long")
+    return rows.select("id", "n", "columns", "frequency", "shared").mapInArrow(tidy(ordered), "id long, n long, columns binary, shared long")
 
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, need: np.ndarray, width: int = COLUMNS) -> np.ndarray:
@@ -150,7 +150,7 @@ def links(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("columns").alias("ca"))
     right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("columns").alias("cb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(product, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(tidy(product), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Two rows whose first common column is at pos can't have more in common than what follows it in either.
     fits = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent))
     side = lambda df, x: df.select("column", *(F.col(c).alias(c + x) for c in df.columns if c != "column"))
-    postings = classes.mapInArrow(opening, "column long, id long, n long, pos long").withColumn("size", F.floor(F.log("n") / LIKE))
+    postings = classes.mapInArrow(tidy(opening), "column long, id long, n long, pos long").withColumn("size", F.floor(F.log("n") / LIKE))
     lead = postings.groupBy("column", "size").agg(F.min(F.struct("id", "n", "pos")).alias("lead"))
     often = saved(postings.groupBy("column").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("column"), "columns")
     lead = lead.join(often, "column", "left_semi").select("column", "size", F.col("lead.id").alias("ida"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("posa"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .bytehash import chunks, lower_ascii, mix, prefix, range_hash, words
+from .bytehash import chunks, lower_ascii, mix, prefix, range_hash, tidy, words
 from .scratch import saved
 
 NO_ID = -(1 << 63)
@@ -138,7 +138,7 @@ def company(docs: DataFrame) -> DataFrame:
                 pairs = pair_keys(names, keys)
                 yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(names), pa.array(terms, pa.string()), pa.array(keys.astype(np.int64), mask=none), pa.array(pairs.astype(np.int64), mask=none)], names=["mark", "entity", "term", "key", "pair"])
 
-    return docs.mapInArrow(around, "mark long, entity string, term string, key long, pair long")
+    return docs.mapInArrow(tidy(around), "mark long, entity string, term string, key long, pair long")
 
 
 def document_frequency(docs: DataFrame, wanted: DataFrame, n: int | None = None) -> DataFrame:
@@ -174,7 +174,7 @@ def document_frequency(docs: DataFrame, wanted: DataFrame, n: int | None = None)
 
     rows = exchange.packed(docs, counted, n).unionByName(exchange.packed(wanted.select("key"), asked, n))
     low = (F.col("key").bitwiseAND(int(exchange.MASK))).alias("low")
-    found = rows.repartitionById(n, "bucket").mapInArrow(answer, "bucket int, low long, documents double")
+    found = rows.repartitionById(n, "bucket").mapInArrow(tidy(answer), "bucket int, low long, documents double")
     # A key and its low bits agree one to one within a bucket; terms of two buckets with equal low bits are one in 2**56.
     return wanted.select("key", low).join(found.select("low", "documents"), "low").select("key", "documents")
 
@@ -249,7 +249,7 @@ def asked_pairs(docs: DataFrame) -> DataFrame:
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(pairs).astype(np.int64))], names=["id", "pair"])
 
-    return docs.mapInArrow(every, "id long, pair long")
+    return docs.mapInArrow(tidy(every), "id long, pair long")
 
 
 def _terms(docs: DataFrame, generalise: float) -> tuple[DataFrame, bool]:
@@ -294,7 +294,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     terms = terms.withColumnRenamed("id", "mark")
     rows = docs.join(F.broadcast(terms) if few else terms, "mark", "left").select("id", "text", "terms", "shares")
-    out = rows.mapInArrow(judged, ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base string", "spans string"] + ["text string"] * with_text))
+    out = rows.mapInArrow(tidy(judged), ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base string", "spans string"] + ["text string"] * with_text))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
@@ -319,5 +319,5 @@ def rewritten(docs: DataFrame, generalise: float = GENERALISE, remove: float = R
             cols[at] = pa.array(out, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-2])
 
-    out = rows.mapInArrow(judged, docs.schema)
+    out = rows.mapInArrow(tidy(judged), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .bytehash import tidy
 from .features import SHAPES, TERMS, quality_features
 from .scratch import bounded
 
@@ -87,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, label, learn, sample)), "doc_id").select("label", "text", "doc_id")
-    rows = picked.select("label", "text").mapInArrow(featured, "label int, x binary").limit(2 * sample).collect()  # bounded by the sample
+    rows = picked.select("label", "text").mapInArrow(tidy(featured), "label int, x binary").limit(2 * sample).collect()  # bounded by the sample
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), "<f4").reshape(len(rows), TERMS + SHAPES)
     order = np.lexsort((np.arange(len(rows)), *(x[:, TERMS:].T))) if len(rows) else np.zeros(0, int)
     return fit(x[order], np.array([r["label"] for r in rows], np.float32)[order])
@@ -107,7 +108,7 @@ def score(docs: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str =
             s = [held.value.score(quality_features(batch.column(1).slice(lo, BLOCK))) for lo in range(0, batch.num_rows, BLOCK)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(s) if s else np.zeros(0))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(scored), "doc_id long, score double")
 
 
 def with_score(docs: DataFrame, voter: Voter, name: str) -> DataFrame:
@@ -120,4 +121,4 @@ def with_score(docs: DataFrame, voter: Voter, name: str) -> DataFrame:
         for batch in (b.slice(lo, BLOCK) for b in batches for lo in range(0, b.num_rows, BLOCK)):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(quality_features(batch.column(at))))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(tidy(scored), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
