@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import decontaminate, pii, suffix_dedup
+from marlstone.llm import decontaminate, pii, queries, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +50,11 @@ def test_terms_of_shared_ids(spark):
     rows = [(None, "ask zarquon at ann@one.example"), (None, "zarquon alone")] + [(i, f"plain words {i}") for i in range(50)]
     got = {r.text for r in pii.rewritten(spark.createDataFrame(rows, "doc_id long, text string")).where(F.col("doc_id").isNull()).collect()}
     assert "zarquon alone" in got and not any("ann@" in t for t in got)
+
+
+def test_rows_without_an_id_are_not_held_out(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    tables = {"documents": docs.unionByName(spark.createDataFrame([(None, "no id here"), (None, None)], "doc_id long, text string")), "labels": spark.read.parquet(f"{SF}/labels.parquet")}
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: tables[name])
+    rows = queries.op3_quality_classifier(spark, SF).where("doc_id is null").collect()
+    assert len(rows) == 2 and all(r.held_out is False and 0 <= r.score <= 1 for r in rows)
