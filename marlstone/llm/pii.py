@@ -113,7 +113,10 @@ def pair_keys(names: list[str], terms: np.ndarray) -> np.ndarray:
 
 
 def company(docs: DataFrame) -> DataFrame:
-    """(mark, entity, term, key, pair) of the terms around each identifier, for it and its group; term and keys are null in one row of each, which counts the identifier."""
+    """(mark, entity, term, key, pair) of the terms around each identifier, for it and its group; term and keys are null in one row of each, which counts the identifier.
+
+    Terms of one or two characters are left out: they disclose nobody.
+    """
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -40,7 +40,8 @@ def with_signatures(docs: DataFrame, text: Column, name: str) -> DataFrame:
     """``docs`` with the sorted set ``name`` of the signatures of ``text``; a null text has none.
 
     Projections one after the other: words, places of content words, signatures, their set. Each is used more than once
-    by the next, so that the optimizer doesn't move it into a lambda or a branch.
+    by the next, so that the optimizer doesn't move it into a lambda or a branch. Write the result before filtering by
+    ``name``: a filter is moved below the projections with all of them spelled out in it.
     """
     w, at, full = f"__w_{name}", f"__at_{name}", f"__full_{name}"
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
