@@ -52,8 +52,8 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
-    """Ids in the order given; runs of one id cost next to nothing."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(ids, prepend=0).astype("<i8").tobytes())
+    """Ids in the order given, of several columns one after the other; runs of one id cost next to nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(ids.T.ravel(), prepend=0).astype("<i8").tobytes())
 
 
 def unpack_ids(blob: bytes) -> np.ndarray:

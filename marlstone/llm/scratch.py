@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.log import Files
 
 #: Bytes of one Arrow batch at most, but for a single longer row.
 BATCH_BYTES = 8 << 20
@@ -56,6 +57,17 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
 
 
+def create(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Writes a whole small file if no file is there; whether it did."""
+    where, name = path.rsplit("/", 1)
+    return Files(spark, where).create(name, data)
+
+
+def read(spark: SparkSession, path: str) -> bytes:
+    where, name = path.rsplit("/", 1)
+    return Files(spark, where).read(name)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes what ``saved`` wrote for ``df``; call it once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)

@@ -10,6 +10,7 @@ it, the second verifies a match.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from itertools import compress
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .bytehash import chunks, prefix, range_hash, windows, words
-from .scratch import bounded, folder, listed, remove
+from .keys import keyed
+from .scratch import bounded, create, folder, listed, read, remove
 
 NO_ID = -(1 << 63)
+#: How often ``add`` begins anew because another writer was faster.
+ATTEMPTS = 10
 CHECK = np.uint64((1 << 24) - 1)
 #: kind 0: keys that documents must drop, packed for the place ``bucket``; kind 1: a bucket of a run.
 ROWS = "kind int, bucket int, keys binary, ids binary"
@@ -59,20 +63,26 @@ class FingerprintIndex:
     """The runs of all batches so far; ``add`` answers for a batch and takes it in.
 
     With a ``path`` that holds an index, that index is opened, with its own k and number of buckets. Each state
-    is a manifest of its own, written after its runs, so a broken ``add`` leaves the state before it.
+    is a manifest of its own, one small file that is created after its runs and only if no other writer has its
+    number, so a broken ``add`` leaves the state before it, and of two writers the slower one begins anew on what
+    the faster one left. ``sweep`` deletes what no manifest names.
     """
 
     def __init__(self, spark: SparkSession, k: int = 13, fan_in: int = 2, n: int | None = None, path: str | None = None):
         self.spark, self.fan_in, self.k = spark, fan_in, k
         self.n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.private = path is None
         self.path = path or f"{folder(spark)}/index-{uuid.uuid4().hex}"
         self.state, self.runs = 0, []  # (level, name of a run)
-        states = [int(x.rsplit("-", 1)[1]) for x in listed(spark, self.path) if x.startswith("manifest-") and "_SUCCESS" in listed(spark, f"{self.path}/{x}")]
+        self._open()
+
+    def _open(self) -> None:
+        """Takes the last state of the folder, if it has one."""
+        states = [int(x.split("-")[1].split(".")[0]) for x in listed(self.spark, self.path) if x.startswith("manifest-") and x.endswith(".json")]
         if states:
             self.state = max(states)
-            rows = spark.read.parquet(f"{self.path}/manifest-{self.state}").orderBy("at").collect()  # a row for each run
-            self.k, self.n = rows[0]["k"], rows[0]["n"]
-            self.runs = [(r["level"], r["run"]) for r in rows if r["run"]]
+            held = json.loads(read(self.spark, f"{self.path}/manifest-{self.state}.json"))
+            self.k, self.n, self.runs = held["k"], held["n"], [(level, name) for level, name in held["runs"]]
 
     def run(self, name: str) -> DataFrame:
         return self.spark.read.schema("bucket int, keys binary, ids binary").parquet(f"{self.path}/{name}/kind=1").select(F.lit(1).alias("kind"), "bucket", "keys", "ids")
@@ -84,13 +94,30 @@ class FingerprintIndex:
         rows.write.partitionBy("kind").parquet(f"{self.path}/{name}")
         return name
 
-    def _manifest(self) -> None:
-        """Writes the state, and forgets the one before and the runs that only it named."""
-        rows = [(i, level, name, self.k, self.n) for i, (level, name) in enumerate(self.runs)] or [(0, 0, None, self.k, self.n)]
-        self.spark.createDataFrame(rows, "at int, level int, run string, k int, n int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest-{self.state + 1}")
-        self.state += 1
-        if f"manifest-{self.state - 1}" in listed(self.spark, self.path):
-            remove(self.spark, f"{self.path}/manifest-{self.state - 1}")
+    def _manifest(self, runs: list[tuple[int, str]]) -> bool:
+        """Whether the state with these runs is the next one; not if another writer's is.
+
+        The manifest before stays: a writer that still builds on it must find its number taken.
+        """
+        held = json.dumps({"k": self.k, "n": self.n, "runs": runs}).encode()
+        if not create(self.spark, f"{self.path}/manifest-{self.state + 1}.json", held):
+            return False
+        self.state, self.runs = self.state + 1, runs
+        return True
+
+    def sweep(self) -> list[str]:
+        """Deletes the runs that no state names, such as those of a broken ``add``, with their answers; names them.
+
+        For a time when nobody adds and no answer is read any more.
+        """
+        self._open()
+        named = {name for _, name in self.runs}
+        gone = [x for x in listed(self.spark, self.path) if x.startswith("run-") and x not in named]
+        for name in gone:
+            remove(self.spark, f"{self.path}/{name}")
+        for name in named:
+            remove(self.spark, f"{self.path}/{name}/kind=0")
+        return gone
 
     def drop(self) -> None:
         """Deletes the index; answers that were given stay."""
@@ -101,12 +128,39 @@ class FingerprintIndex:
         """(place, keys, ids): of the documents of ``docs`` (id, text) the windows that a smaller id has too, packed.
 
         A batch may hold any ids: those of the index and of the batch both count, but answers for earlier
-        batches aren't taken back. With ``last`` no run is written and the index stays as it was.
+        batches aren't taken back. With a column ``row``, a key that no two rows share, answers are by it instead of by
+        id, so that each row of a repeated id gets its own. With ``last`` no run is written and the index stays as it was.
         """
-        k, n = self.k, self.n
+        for _ in range(ATTEMPTS):
+            name, runs = self._answered(docs, last)
+            if last:
+                break
+            runs, merged = self._compact(runs)
+            known = {x for _, x in self.runs}
+            if self._manifest(runs):
+                if self.private:  # elsewhere another writer may still read them; ``sweep`` deletes them
+                    for old in merged:
+                        remove(self.spark, f"{self.path}/{old}/kind=1")
+                break
+            for own in {name, *merged, *(x for _, x in runs)} - known:
+                remove(self.spark, f"{self.path}/{own}")
+            self._open()
+        else:
+            raise RuntimeError(f"{ATTEMPTS} other writers were faster")
+        if "kind=0" not in listed(self.spark, f"{self.path}/{name}"):
+            return self.spark.createDataFrame([], "place int, keys binary, ids binary")
+        answers = self.spark.read.schema("bucket int, keys binary, ids binary").parquet(f"{self.path}/{name}/kind=0")
+        return answers.select(F.col("bucket").alias("place"), "keys", "ids")
+
+    def _answered(self, docs: DataFrame, last: bool) -> tuple[str, list[tuple[int, str]]]:
+        """The folder with the answers for ``docs`` and the runs with the one it leaves."""
+        k, n, rowed = self.k, self.n, "row" in docs.columns
+        docs = docs.select("id", "text", *(["row"] if rowed else []))
 
         def fingerprints(batch):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if rowed:
+                ids = np.stack([ids, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
             for lo, _, data, at in chunks(batch.column(1)):
                 keys, first, row = window_keys(data, at, k)
                 yield keys, ids[row[first] + lo]
@@ -121,10 +175,12 @@ class FingerprintIndex:
                     else:
                         held = fresh.setdefault(b, ([], []))
                         held[0].append(exchange.unpack_keys(keys.as_buffer()))
-                        held[1].append(exchange.unpack_ids(ids.as_buffer()))
+                        sent = exchange.unpack_ids(ids.as_buffer())
+                        held[1].append(sent.reshape(2, -1) if rowed else sent)
             while fresh:
                 b, (keys, ids) = fresh.popitem()
-                keys, ids = np.concatenate(keys), np.concatenate(ids)
+                keys, ids = np.concatenate(keys), np.concatenate(ids, axis=-1)
+                ids, askers = ids if rowed else (ids, ids)
                 order, group, distinct, least = _least(keys, ids)
                 known = least.copy()
                 for run_keys, run_ids in past.pop(b, []):  # both sides are sorted
@@ -132,7 +188,7 @@ class FingerprintIndex:
                     if len(run_keys):
                         known = np.where(run_keys[at] == distinct, np.minimum(known, run_ids[at]), known)
                 later = ids[order] > known[group]
-                packed = exchange.replies(ids[order][later], [keys[order][later]], n)
+                packed = exchange.replies(askers[order][later], [keys[order][later]], n)
                 yield _rows(0, [r[0] for r in packed], [r[2][0] for r in packed], [r[1] for r in packed])
                 if not last:
                     yield _rows(1, [b], [exchange.pack_keys(distinct)], [_plain(least)])
@@ -141,22 +197,13 @@ class FingerprintIndex:
         for _, name in self.runs:
             rows = rows.unionByName(self.run(name))
         name = self._write(rows.repartitionById(n, "bucket").mapInArrow(answer, ROWS))
-        if not last:
-            self.runs.append((0, name))
-            fresh = self._compact()
-            self._manifest()
-            for old in fresh:
-                remove(self.spark, f"{self.path}/{old}/kind=1")
-        if "kind=0" not in listed(self.spark, f"{self.path}/{name}"):
-            return self.spark.createDataFrame([], "place int, keys binary, ids binary")
-        answers = self.spark.read.schema("bucket int, keys binary, ids binary").parquet(f"{self.path}/{name}/kind=0")
-        return answers.select(F.col("bucket").alias("place"), "keys", "ids")
+        return name, self.runs if last else [*self.runs, (0, name)]
 
-    def _compact(self) -> list[str]:
-        """Merges runs of one level, once ``fan_in`` of them are there, into one of the next; names those that are merged."""
+    def _compact(self, runs: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], list[str]]:
+        """``runs`` with those of one level merged, once ``fan_in`` of them are there, into one of the next, and those that are merged."""
         merged_away: list[str] = []
-        self.runs = [r for r in self.runs if "kind=1" in listed(self.spark, f"{self.path}/{r[1]}")]  # a batch without windows leaves none
-        while self.runs and len(same := [r for r in self.runs if r[0] == self.runs[-1][0]]) >= self.fan_in:
+        runs = [r for r in runs if "kind=1" in listed(self.spark, f"{self.path}/{r[1]}")]  # a batch without windows leaves none
+        while runs and len(same := [r for r in runs if r[0] == runs[-1][0]]) >= self.fan_in:
             level, n = same[0][0], self.n
 
             def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +223,8 @@ class FingerprintIndex:
                 both = both.unionByName(self.run(name))
             merged = self._write(both.repartitionById(n, "bucket").mapInArrow(merge, ROWS))
             merged_away += [name for _, name in same]
-            self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, merged)]
-        return merged_away
+            runs = [r for r in runs if r[0] != level] + [(level + 1, merged)]
+        return runs, merged_away
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, history: tuple[float, ...] = (0.0625, 0.125)) -> DataFrame:
@@ -187,10 +234,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     words also start somewhere in a row with a smaller id; ``kept`` joins what is left by one space. The rows
     go through the index in batches of rising ids that end at the quantiles ``history`` of the ids and at the
     last; where they end changes no result. A null text has no words; a null id is smaller than all others;
-    rows of one id don't remove each other's words; texts of fewer than k words stay whole. Other columns
+    rows of one id don't remove each other's words, and each gets its own answer; texts of fewer than k words stay whole. Other columns
     are ignored. An empty table gives an empty table.
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    docs, single = keyed(docs, "id", "row")
+    if single:
+        docs = docs.drop("row")
+    row = "id" if single else "row"
     spark = docs.sparkSession
     ends = docs.select(F.percentile_approx("id", list(history), 1000).alias("q")).first()["q"] or []
     ends = sorted({*ends})
@@ -210,7 +261,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     def small(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(x.as_buffer()) if x.is_valid else squeeze.compress(b"") for x in batch.column(1)], pa.binary())], names=["id", "z"])
+            z = pa.array([squeeze.compress(x.as_buffer()) if x.is_valid else squeeze.compress(b"") for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], names=["id", "doc_id", "z"])
 
     def cut(batches):
         wide = zstandard.ZstdDecompressor()
@@ -233,6 +285,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
                 kept.append(b" ".join(tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    out = docs.mapInArrow(small, "id long, z binary").join(found.hint("shuffle_hash"), "id", "left")
-    out = out.select("id", "z", "keys").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    out = docs.select(F.col(row), F.col("id").alias("doc_id"), "text").mapInArrow(small, "id long, doc_id long, z binary").join(found.hint("shuffle_hash"), "id", "left")
+    out = out.select("doc_id", "z", "keys").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

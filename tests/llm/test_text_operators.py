@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -160,6 +161,46 @@ def test_substring_index_is_opened_again(spark, tmp_path):
     assert max(levels) >= 2 and any(answered(whole.add(spark.createDataFrame([(10**6 + i, t) for i, t in rows], "id long, text string"))))
 
 
+def test_substring_dedup_of_shared_ids(spark):
+    """Rows of one id each lose what a smaller id has, not what another row of the id has, in any batches."""
+    g = random.Random(5)
+    first = [f"w{g.randint(0, 10**6)}" for _ in range(60)]
+    rows = [(1, " ".join(first)), (None, " ".join(first[40:])), (None, "lone " + " ".join(first[38:]))]
+    rows += [(7, " ".join(first[i : i + 20] + [f"own{i}"] * 3 + ["same"] * 14)) for i in range(0, 40, 2)]
+    rows += [(9, rows[5][1]), (9, rows[6][1] + " end"), (8, "")]
+    words = [(-1 if i is None else i, t.split()) for i, t in rows]
+    at: dict[tuple, int] = {}
+    for i, w in words:
+        for k in range(len(w) - 12):
+            at[tuple(w[k : k + 13])] = min(i, at.get(tuple(w[k : k + 13]), i))
+    want = []
+    for i, w in words:
+        gone = {p for k in range(len(w) - 12) if at[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        want.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    for history in ((), (0.3, 0.6)):
+        got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), history=history).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(want)
+
+
+def test_two_writers_of_a_substring_index(spark, tmp_path):
+    """The slower of two writers begins anew on the state of the faster one; no batch is lost, and leftovers go."""
+    path = f"file://{tmp_path}/index"
+    words = [f"w{i}" for i in range(90)]
+    docs = [spark.createDataFrame([(i, " ".join(words[20 * i : 20 * i + 30]))], "id long, text string") for i in range(4)]
+    one, two = (substring_dedup.FingerprintIndex(spark, n=3, path=path) for _ in range(2))
+    one.add(docs[0])
+    with ThreadPoolExecutor(2) as pool:
+        assert len(list(pool.map(lambda x: x[0].add(x[1]).count(), [(one, docs[1]), (two, docs[2])]))) == 2
+    again = substring_dedup.FingerprintIndex(spark, path=path)
+    assert again.state == 3 and again.n == 3
+    copies = spark.createDataFrame([(10, " ".join(words[:70]))], "id long, text string")
+    hits = again.add(copies, last=True).collect()
+    assert sum(len(bytes(r["keys"])) // 8 for r in hits) == 3 * 18
+    spark.range(3).withColumn("kind", F.lit(1)).write.partitionBy("kind").parquet(f"{path}/run-broken")
+    assert "run-broken" in again.sweep() and again.sweep() == []
+    assert sum(len(bytes(r["keys"])) // 8 for r in again.add(copies, last=True).collect()) == 3 * 18
+
+
 @pytest.mark.parametrize("width", [1, 7, 64, 8192])
 def test_blocked_product(width):
     g = np.random.default_rng(width)
