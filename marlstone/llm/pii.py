@@ -29,6 +29,8 @@ COMPANY = 6
 #: The weight of a document; n copies of a text have an n-th of it each.
 ONE = 1 << 32
 GENERALISE, REMOVE = 0.6, 0.9
+#: Words of fewer characters are never terms; README has the figures with and without them.
+SHORTEST = 3
 #: A table of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -107,21 +109,16 @@ def groups(name: str) -> tuple[str, str]:
     return name, f"{kind}/" + (value[:6] if kind == "card" else value[:-7])
 
 
-def pair_keys(names: list[str], terms: np.ndarray) -> np.ndarray:
-    """A key for each identifier (or group) and hash of a term."""
-    return mix(_term_keys(names) * np.uint64(31) + terms)
+def company(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """(mark, entity, who, term, key) of the terms around each identifier, for it and its group; term and key are null in one row of each, which counts the identifier.
 
-
-def company(docs: DataFrame) -> DataFrame:
-    """(mark, entity, term, key, pair) of the terms around each identifier, for it and its group; term and keys are null in one row of each, which counts the identifier.
-
-    Terms of one or two characters are left out: they disclose nobody.
+    ``who`` and ``key`` are hashes of the identifier and of the term. Terms have ``shortest`` characters or more.
     """
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: set[tuple] = set()
-            for mark, text in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 if not spans:
@@ -130,18 +127,18 @@ def company(docs: DataFrame) -> DataFrame:
                 for span in spans:
                     s, _, e = span
                     before, after = bisect_right(found, s, key=lambda x: x[1]), bisect_left(found, e, key=lambda x: x[0])
-                    near = [t for t in {x[2] for x in found[max(0, before - COMPANY) : before] + found[after : after + COMPANY]} if len(t) > 2]
+                    near = {x[2] for x in found[max(0, before - COMPANY) : before] + found[after : after + COMPANY] if len(x[2]) >= shortest}
                     for name in groups(identity(text, span)):
                         rows.add((mark, name, None))
                         rows.update((mark, name, t) for t in near)
             if rows:
                 marks, names, terms = (list(x) for x in zip(*rows))
                 none = np.array([t is None for t in terms])
-                keys = _term_keys([t or "" for t in terms])
-                pairs = pair_keys(names, keys)
-                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(names), pa.array(terms, pa.string()), pa.array(keys.astype(np.int64), mask=none), pa.array(pairs.astype(np.int64), mask=none)], names=["mark", "entity", "term", "key", "pair"])
+                keys, who = _term_keys([t or "" for t in terms]), _term_keys(names)
+                columns = [pa.array(marks, pa.int64()), pa.array(names), pa.array(who.astype(np.int64)), pa.array(terms, pa.string()), pa.array(keys.astype(np.int64), mask=none)]
+                yield pa.RecordBatch.from_arrays(columns, names=["mark", "entity", "who", "term", "key"])
 
-    return docs.mapInArrow(tidy(around), "mark long, entity string, term string, key long, pair long")
+    return docs.mapInArrow(tidy(around), "mark long, entity string, who long, term string, key long")
 
 
 def document_frequency(docs: DataFrame, wanted: DataFrame, n: int | None = None) -> DataFrame:
@@ -183,16 +180,16 @@ def document_frequency(docs: DataFrame, wanted: DataFrame, n: int | None = None)
 
 
 def disclosures(docs: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
-    """(pair, term, share): terms that give an identifier or its group away, over the whole corpus.
+    """(who, key, term, share): terms that give an identifier or its group away, over the whole corpus.
 
     All counts are of different texts: copies of a text weigh as one.
     """
     copies = saved(docs.groupBy("mark").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
     total = docs.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
-    counts = near.distinct().groupBy("entity", "term", "key", "pair").agg(F.count(F.lit(1)).alias("n"))
+    counts = near.distinct().groupBy("entity", "who", "term", "key").agg(F.count(F.lit(1)).alias("n"))
     counts = saved(counts, "pairs")
-    single = counts.where("pair is null").select("entity", F.col("n").alias("n_e"))
-    pairs = counts.where("pair is not null").withColumnRenamed("n", "n_et")
+    single = counts.where("term is null").select("entity", F.col("n").alias("n_e"))
+    pairs = counts.where("term is not null").withColumnRenamed("n", "n_et")
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     weighed = docs.join(F.broadcast(copies) if few else copies, "mark", "left")
     weighed = weighed.select(F.coalesce(F.round(F.lit(float(ONE)) / F.col("copies")).cast("long"), F.lit(ONE)).alias("weight"), "text")
@@ -200,7 +197,7 @@ def disclosures(docs: DataFrame, near: DataFrame, threshold: float) -> DataFrame
     rows = pairs.join(single, "entity").join(frequency, "key")
     n_t = F.greatest("documents", "n_et")
     pmi, information = F.log2(F.lit(float(total)) * F.col("n_et") / (n_t * F.col("n_e"))), F.log2(F.lit(float(total)) / F.col("n_e"))
-    return rows.where(information > 0).select("pair", "term", (pmi / information).alias("share")).where(F.col("share") >= threshold)
+    return rows.where(information > 0).select("who", "key", "term", (pmi / information).alias("share")).where(F.col("share") >= threshold)
 
 
 def shape(term: str) -> str:
@@ -213,8 +210,16 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 def term_spans(text: str, base: list[tuple[int, int, int]], share: dict[str, float]) -> list[tuple[int, int, float]]:
     """(start, end, share) of each disclosing word outside the identifiers."""
-    found = [(m.start(), m.end(), share[m.group()]) for m in TERM.finditer(text.translate(UPPER)) if m.group() in share]
-    return [x for x in found if not any(s < x[1] and x[0] < e for s, _, e in base)]
+    starts, ends, last = [s for s, _, _ in base], [], 0  # ends: the farthest of those that begin so far
+    for _, _, e in base:
+        ends.append(last := max(last, e))
+    out = []
+    for m in TERM.finditer(text.translate(UPPER)):
+        if m.group() in share:
+            before = bisect_left(starts, m.end())
+            if not before or ends[before - 1] <= m.start():
+                out.append((m.start(), m.end(), share[m.group()]))
+    return out
 
 
 def rewrite(text: str, base: list[tuple[int, int, int]], extra: list[tuple[int, int, float]], remove: float) -> str:
@@ -228,56 +233,61 @@ def rewrite(text: str, base: list[tuple[int, int, int]], extra: list[tuple[int,
     return "".join(parts) + text[at:]
 
 
-def asked_pairs(docs: DataFrame) -> DataFrame:
-    """(id, pair) of each document (id, mark, text) with identifiers: every term that it has, with every identifier and group."""
+def inside(docs: DataFrame) -> DataFrame:
+    """(mark, names, keys) of each text (mark, text) with identifiers: hashes of these and their groups, and of its words, once each."""
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids: list[np.ndarray] = []
-            pairs: list[np.ndarray] = []
-            size = 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(2)):
+            out: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                names = sorted({g for span in base_spans(text) for g in groups(identity(text, span))})
-                if not names:
-                    continue
-                terms = _term_keys(list(set(TERM.findall(text.translate(UPPER)))))
-                for name in names:
-                    pairs.append(pair_keys([name], terms))
-                    ids.append(np.full(len(terms), i, np.int64))
-                    size += len(terms)
-                    if size > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(pairs).astype(np.int64))], names=["id", "pair"])
-                        ids, pairs, size = [], [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(pairs).astype(np.int64))], names=["id", "pair"])
+                names = {g for span in base_spans(text) for g in groups(identity(text, span))}
+                if names:
+                    out.append((mark, *(_term_keys(list(x)).astype(np.int64) for x in (names, set(TERM.findall(text.translate(UPPER)))))))
+            if out:
+                marks, *lists = zip(*out)
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in lists]
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), *lists], names=["mark", "names", "keys"])
+
+    found = docs.select("mark", "text").mapInArrow(tidy(every), "mark long, names array<long>, keys array<long>")
+    return found.groupBy("mark").agg(F.first("names").alias("names"), F.first("keys").alias("keys"))
 
-    return docs.mapInArrow(tidy(every), "id long, pair long")
 
+def disclosed(held: DataFrame, given: DataFrame) -> DataFrame:
+    """(mark, term, share) of the terms of ``given`` that stand in a text of ``held`` together with what they disclose.
 
-def _terms(docs: DataFrame, generalise: float) -> tuple[DataFrame, bool]:
+    A text's words meet ``given`` first and its identifiers then, so a text of n words and m identifiers makes
+    n + m rows and those of its disclosing words, never n times m. A word reaches the threshold only for
+    identifiers that a fixed part of its texts have, so common words have few.
+    """
+    few = given.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = held.select("mark", F.explode("keys").alias("key")).join(F.broadcast(given) if few else given, "key")
+    named = held.select("mark", F.explode("names").alias("who"))
+    return met.join(named, ["mark", "who"]).groupBy("mark", "term").agg(F.max("share").alias("share"))
+
+
+def _terms(docs: DataFrame, generalise: float, shortest: int) -> tuple[DataFrame, bool]:
     """(id, terms, shares) of the texts (mark, text) with disclosing words, by mark, and whether they are few enough to broadcast."""
-    docs = docs.select(F.col("mark").alias("id"), "mark", "text")
-    near = saved(company(docs), "company")
+    docs = docs.select("mark", "text")
+    near = saved(company(docs, shortest), "company")
     given = saved(disclosures(docs, near, generalise), "disclosures")
-    few = given.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    terms = asked_pairs(docs).join(F.broadcast(given) if few else given, "pair").groupBy("id", "term").agg(F.max("share").alias("share"))
-    terms = saved(terms.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("x")).select("id", F.col("x.term").alias("terms"), F.col("x.share").alias("shares")), "terms")
+    terms = disclosed(saved(inside(docs), "inside"), given).groupBy(F.col("mark").alias("id"))
+    terms = saved(terms.agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("x")).select("id", F.col("x.term").alias("terms"), F.col("x.share").alias("shares")), "terms")
     return terms, terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, generalise: float = GENERALISE, remove: float = REMOVE, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans[, text]) of every row.
 
     ``base`` lists the identifiers as kind:start:end by start, then kind; ``spans`` those and, as kind term, the
-    words that disclose an identifier of the same document. In ``text`` identifiers become [KIND], disclosing
+    words that disclose an identifier of the same document. A text is known by a 64-bit hash. In ``text`` identifiers become [KIND], disclosing
     words their shape, or nothing if their share reaches ``remove``. A null text is empty; a null id is a
     document like others; rows that repeat an id are each judged by their own text; copies of a text count once, so they give no evidence. Other columns are
     ignored. An empty table gives an empty table.
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("mark", F.xxhash64("text"))
-    terms, few = _terms(docs, generalise)
+    terms, few = _terms(docs, generalise, shortest)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"] + ["text"] * with_text
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,10 +311,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
-def rewritten(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def rewritten(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` (doc_id, text, n_chars and any others) with sanitised texts and their lengths; a null text stays null."""
     key = F.xxhash64("text")
-    terms, few = _terms(docs.select(key.alias("mark"), "text"), generalise)
+    terms, few = _terms(docs.select(key.alias("mark"), "text"), generalise, shortest)
     terms = terms.select(F.col("id").alias("__id"), F.col("terms").alias("__terms"), F.col("shares").alias("__shares"))
     rows = docs.join(F.broadcast(terms) if few else terms, key == F.col("__id"), "left").drop("__id")
     at = docs.columns.index("text")
