@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocabulary import CREDENTIAL_CUES, DOMAIN_TERMS, EXPANSIONS, FRONT_LINE_CUES, SOLICITATION_CUES
-from ..operators import answer, chunking, ledger, retrieval
+from ..operators import answer, canonical, chunking, ledger, retrieval
 from ..sources import files
+from ..sources.scratch import place
+from ..sources.snapshots import Snapshots
 from .catalogue import ASIDE, SECTION_SQL, TOKENS_SQL, _asked, _bm25, _stem_sql, clean_sql, questions, strip_sql, table
 
 
@@ -121,7 +123,31 @@ def event_digests(spark, sf_dir):
     return rows.select("event_id", ledger.canonical_digest("event_id", "utc", "event_type").alias("digest"), "utc", "number")
 
 
+def order_digests(spark, sf_dir):
+    """Each order with its lines as one nested value: digests of it, and of its part without floating numbers."""
+    line = F.struct("l_linenumber", F.col("l_shipdate").alias("ship"), F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"), (F.col("l_discount") * 1e-9).alias("discount"), (F.col("l_extendedprice") * 1e14).alias("large"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    lines = lines.withColumn("whole", F.transform("lines", lambda x: F.struct(x["ship"].alias("ship"), x["flag"].alias("flag"), x["l_linenumber"].alias("n\"o"))))
+    lines = lines.withColumn("lines", F.transform("lines", lambda x: x.dropFields("l_linenumber")))
+    note = F.map_from_arrays(F.array(F.lit("z"), F.col("o_orderstatus")), F.array(F.lit(None).cast("string"), F.concat(F.lit('say "é\t"\\ '), F.col("o_orderpriority"))))
+    rows = table(spark, sf_dir, "orders").join(lines, "o_orderkey")
+    rows = rows.select("o_orderkey", F.struct("o_orderkey", "lines", "o_totalprice", "o_orderdate").alias("all"), F.struct("o_orderkey", "whole", note.alias("note")).alias("part"))
+    kinds = rows.schema
+    return rows.select("o_orderkey", *(canonical.digest(F.col(c), kinds[c].dataType).alias(f"{c}_sha256") for c in ("all", "part")))
+
+
+def snapshot_changes(spark, sf_dir):
+    """Customers in two versions, the second without some, with others and with new balances: what a reader of both sees."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    held = Snapshots(spark, place(spark, "customers"))
+    old = held.write(rows.where("c_custkey % 5 <> 0"))
+    moved = F.when(F.col("c_custkey") % 7 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    new = held.write(rows.where("c_custkey % 3 <> 0").withColumn("c_acctbal", moved), allow_fewer=True)
+    return held.changes(old, new, "c_custkey")
+
+
 QUERIES = (
+    order_digests, snapshot_changes,
     document_sections, document_chunks, cited_answers, bm25_expanded_topk, hybrid_vectors_topk, pooled_vectors, corpus_fingerprints, chunk_totals, gated_documents, adopted_copies, risk_requests, excerpts,
     best_quotes, recent_entries, event_digests,
 )
@@ -272,6 +298,13 @@ g AS (SELECT *, CASE WHEN e0 < n AND strpos(reverse(body), ' ') > 0 AND length(b
 SELECT doc_id, sha256(CASE WHEN p < 0 THEN left(text, 80) ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || regexp_replace(substr(text, s + 1, z - s), '^\\s+|\\s+$', '', 'g') || CASE WHEN z < n THEN '...' ELSE '' END END) AS excerpt_sha256 FROM g""",
     "best_quotes": f"""WITH x AS (SELECT doc_id, text, list_distinct(list_filter({TOKENS_SQL.replace('lower(text)', 'lower(left(text, 60))')}, lambda t: length(t) >= 3)) AS terms FROM documents), {best_sql('bs', 'x', 'doc_id')}
 SELECT doc_id, rank, pos::INTEGER AS pos, score, sha256(sentence) AS sentence_sha256 FROM bs WHERE rank <= 2""",
+    "order_digests": r"""WITH l AS (SELECT l_orderkey, string_agg('{"discount":' || (l_discount * 1e-9::DOUBLE)::VARCHAR || ',"flag":"' || l_returnflag || '","large":' || (l_extendedprice * 1e14::DOUBLE)::VARCHAR || ',"price":' || l_extendedprice::VARCHAR || ',"ship":"' || strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') || '"}', ',' ORDER BY l_linenumber, l_shipdate, l_returnflag, l_extendedprice, l_discount) AS x,
+string_agg('{"flag":"' || l_returnflag || '","n\"o":' || l_linenumber || ',"ship":"' || strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') || '"}', ',' ORDER BY l_linenumber, l_shipdate, l_returnflag, l_extendedprice, l_discount) AS y FROM lineitem GROUP BY 1)
+SELECT o_orderkey, sha256('{"lines":[' || x || '],"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","o_orderkey":' || o_orderkey || ',"o_totalprice":' || o_totalprice::VARCHAR || '}') AS all_sha256,
+sha256('{"note":{"' || o_orderstatus || '":"say \"é\t\"\\ ' || o_orderpriority || '","z":null},"o_orderkey":' || o_orderkey || ',"whole":[' || y || ']}') AS part_sha256 FROM orders JOIN l ON l_orderkey = o_orderkey""",
+    "snapshot_changes": """WITH o AS (SELECT * FROM customer WHERE c_custkey % 5 <> 0), n AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0)
+SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.c_custkey = n.c_custkey
+WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR n.c_custkey % 7 = 0""",
     "recent_entries": "SELECT user_id, event_id AS seq, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)::INTEGER AS back FROM events QUALIFY back <= 5",
     "event_digests": """WITH x AS (SELECT event_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS utc, user_id FROM events)
 SELECT event_id, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","utc":"' || utc || '"}') AS digest, utc, user_id::DOUBLE AS number FROM x""",

@@ -80,6 +80,10 @@ class Files:
                 return False
             raise
 
+    def delete(self, name: str) -> None:
+        """Deletes a file or a folder; none is deleted already."""
+        self.fs.delete(self._at(name), True)
+
     @staticmethod
     def _write(stream, data: bytes) -> None:
         try:
