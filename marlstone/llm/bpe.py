@@ -9,7 +9,6 @@ entries before it as they are.
 from __future__ import annotations
 
 import base64
-import ctypes
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,10 +21,10 @@ from pyspark.sql import functions as F
 from .bytehash import tidy
 from .scratch import bounded
 
-#: Bytes of pieces and their ids, with what Python adds to each, that a task remembers; beyond that it forgets all before the next rows.
+#: Bytes of pieces and their ids, with what Python adds to each, that a task remembers: beyond half of it a new half begins, and the one before the last goes.
 REMEMBERED_BYTES, OVERHEAD = 32 << 20, 200
-#: Pairs of tokens of which a worker remembers whether they fit.
-REMEMBERED_PAIRS = 300_000
+#: Pairs of tokens of which a long piece's table remembers whether they fit, and the logarithm of the slots in which a worker remembers it for all others.
+REMEMBERED_PAIRS, SLOT_BITS = 300_000, 20
 #: Rows whose pieces are looked up together, and bytes of new pieces whose tables grow together.
 ROWS, TABLE_BYTES = 250, 1 << 17
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -62,7 +61,9 @@ class Prefixes:
                     break
                 pair = last[start - 1] << 32 | token
                 fit = known.get(pair)
-                if fits(pair) if fit is None else fit:
+                if fit is None:
+                    fit = known[pair] = fits(pair)
+                if fit:
                     break
             else:
                 raise ValueError("a byte has no token of its own")
@@ -92,8 +93,14 @@ class Bpe:
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
         self.known_fits: dict[int, bool] = {}
+        # Multiplied by an odd number, modulo 2**bits, a pair gives its slot and, with the bits below, what tells it from others there.
+        # A slot holds these of the last pair that was tried, and in the lowest bit whether it fits.
+        self._bits = max(max(self.ranks.values()).bit_length(), SLOT_BITS // 2 + 1)
+        below = 2 * self._bits - SLOT_BITS
+        self._slots = np.full(1 << SLOT_BITS, -1, next(t for t, most in ((np.int16, 14), (np.int32, 30), (np.int64, 62)) if below <= most))
         self._spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
         self._held = 0
         self._trie()
         order = sorted(self.tokens)
@@ -160,21 +167,17 @@ class Bpe:
         """
         left, right, ranks = self._spine(pair >> 32, 1), self._spine(pair & 0xFFFFFFFF, 0), self.ranks
         i = j = 0
-        fit = True
         while True:
             (x, until_x), (y, until_y) = left[i], right[j]
             rank = ranks.get(x + y)
             if rank is not None and rank < until_x and rank <= until_y:
-                fit = False
-                break
+                return False
             if until_x == until_y == 1 << 40:
-                break
+                return True
             if until_x <= until_y:
                 i += 1
             else:
                 j += 1
-        self.known_fits[pair] = fit
-        return fit
 
     def piece(self, text: str) -> bytes:
         """Ids of one match of the pattern, as little-endian 32-bit numbers."""
@@ -208,11 +211,20 @@ class Bpe:
         return np.searchsorted(end[order], np.arange(n + 1)), np.concatenate(starts)[order], np.concatenate(tokens)[order]
 
     def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """``fits`` of many pairs."""
-        known, pairs = self.known_fits, (left << 32 | right).tolist()
-        for p in {*pairs}.difference(known):
-            self.fits(p)
-        return np.array(list(map(known.__getitem__, pairs)), bool)
+        """``fits`` of many pairs; a pair stays in its slot, from task to task, until another one takes it."""
+        wide = 2 * self._bits
+        pairs = left << self._bits | right
+        places = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << wide) - 1)).astype(np.int64)
+        slots, marks = places >> wide - SLOT_BITS, places & (1 << wide - SLOT_BITS) - 1
+        held = self._slots[slots]
+        new = np.flatnonzero(held >> 1 != marks)
+        if len(new):
+            _, first, back = np.unique(pairs[new], return_index=True, return_inverse=True)
+            at = new[first]
+            fresh = marks[at] << 1 | np.fromiter(map(self.fits, (left[at] << 32 | right[at]).tolist()), np.int64, len(at))
+            self._slots[slots[at]] = fresh
+            held[new] = fresh[back]
+        return (held & 1).astype(bool)
 
     def last_tokens(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The tables of ``Prefixes`` of many pieces at once, one after the other: all grow by a byte in each round."""
@@ -272,25 +284,27 @@ class Bpe:
             self._held += len(blob) + at[-1] + OVERHEAD * len(part)
 
     def forget(self, everything: bool = False) -> None:
-        """Frees what is remembered of pieces, or of pairs and tokens too, and gives the memory back to the system."""
-        self._known.clear()
-        self._held = 0
+        """Frees the pieces that weren't met since it was last called; with ``everything`` all, and what is known of tokens but the slots of pairs."""
+        self._before, self._known, self._held = {} if everything else self._known, {}, 0
         if everything:
             self.known_fits.clear()
             for spines in self._spines:
                 spines.clear()
-            if hasattr(ctypes.CDLL(None), "malloc_trim"):
-                ctypes.CDLL(None).malloc_trim(0)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers."""
-        known = self._known
-        if self._held > REMEMBERED_BYTES:
+        if self._held > REMEMBERED_BYTES // 2:
             self.forget()
         if len(self.known_fits) > REMEMBERED_PAIRS:
             self.known_fits.clear()
+        known, before = self._known, self._before
         pieces = list(map(self.pattern.findall, texts))
         fresh = set(chain.from_iterable(pieces)).difference(known)
+        again = fresh.intersection(before) if before else ()
+        for p in again:
+            known[p] = ids = before[p]
+            self._held += len(p) + len(ids) + OVERHEAD
+        fresh.difference_update(again)
         if fresh:
             self._learn(list(fresh))
         return [b"".join(map(known.__getitem__, p)) for p in pieces]
@@ -352,6 +366,8 @@ class Editable:
 
 
 _models: dict[tuple[str, str], Bpe] = {}
+#: The slots of models that were left.
+_slots: dict[tuple[str, str], np.ndarray] = {}
 
 
 def model(path: str | None = None, pattern: str | None = None) -> Bpe:
@@ -359,9 +375,15 @@ def model(path: str | None = None, pattern: str | None = None) -> Bpe:
     key = (path or default_path(), pattern or default_pattern())
     if key not in _models:
         _models[key] = Bpe(*key)
+        _models[key]._slots = _slots.setdefault(key, _models[key]._slots)
     return _models[key]
 
 
+def leave(path: str | None = None, pattern: str | None = None) -> None:
+    """Frees the model of a worker, which goes on to tasks of other kinds, but for the slots of pairs: 2 MB with the public vocabulary, whatever was encoded."""
+    _models.pop((path or default_path(), pattern or default_pattern()), None)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids binary[, decoded binary]) of every row; ids are little-endian 32-bit numbers.
 
@@ -381,7 +403,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 if decoded:
                     cols.append(bpe.decode_all(ids))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"][: len(cols)])
-        bpe.forget(everything=True)  # a worker goes on to tasks of other kinds
+        del bpe
+        leave(path, pattern)  # ``tidy`` gives the memory back
 
     bounded(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
