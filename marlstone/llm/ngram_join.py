@@ -29,6 +29,8 @@ NO_ID = -(1 << 63)
 COLUMNS = 8192
 #: Buckets for each of the session's shuffle partitions: a task holds one, all of whose columns it sorts at once.
 BUCKETS = 2
+#: Shingles of the documents whose answers meet in one task, but for a single larger document.
+PLACE = 2_000_000
 #: Logarithm of the ratio of sizes within which documents have a leader in common.
 LIKE = 0.1
 
@@ -71,8 +73,17 @@ def set_sizes(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(tidy(sizes), "id long, n long")
 
 
+def _places(sizes: DataFrame, n: int) -> int:
+    """How many tasks the answers of n buckets meet in: as many as the shingles of ``sizes`` need, not more than n.
+
+    A bucket packs a row for each of them, so with n places for n buckets rows would grow with the square of the session's partitions.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return min(n, max(sizes.sparkSession.sparkContext.defaultParallelism, -(-total // PLACE)))
+
+
 def _able(sent: DataFrame, sizes: DataFrame, percent: int, n: int) -> DataFrame:
-    """(id, n, columns, shared) of the rows whose shared columns could reach the overlap that ``sizes`` demand.
+    """(id, n, columns, shared) of the rows whose shared columns could reach the overlap that ``sizes`` demand; answers meet in n places.
 
     ``columns`` are those that others have too, in rising order of (frequency, column).
     """
@@ -167,6 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names, docs = docs.select("id", "doc_id"), docs.select("id", "text")
     buckets = BUCKETS * exchange.buckets(docs)
     sizes = saved(set_sizes(docs, k), "sizes")
+    places = _places(sizes, buckets)
 
     def of_texts(batch):
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -178,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             c = mix(np.frombuffer(blob.as_buffer(), "<u8"))
             yield c, np.full(len(c), i)
 
-    rows = saved(_able(exchange.send(docs, of_texts, buckets), sizes, percent, buckets), "candidates")
+    rows = saved(_able(exchange.send(docs, of_texts, buckets), sizes, percent, places), "candidates")
     # Documents with the same size and the same shared columns overlap alike with all others: one row of each class goes on.
     # The classes are written before they are joined: then both sides of the join are dealt anew, and a class of very many rows is split.
     mark = saved(rows.select("id", "n", "shared", F.sha2("columns", 256).alias("mark")), "marks")
@@ -188,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(reps)
     classes = rows.join(member.where("id = rep").select("id"), "id", "left_semi")
     # Once more among the classes alone: columns that only copies or lost candidates shared go.
-    classes = saved(_able(exchange.send(classes.select("id", "columns"), of_classes, buckets), classes.select("id", "n"), percent, buckets), "classes")
+    classes = saved(_able(exchange.send(classes.select("id", "columns"), of_classes, buckets), classes.select("id", "n"), percent, places), "classes")
     drop(rows)
 
     def opening(batches):
