@@ -27,10 +27,11 @@ if hasattr(ctypes.CDLL(None), "mallopt"):
 
 
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``work`` on a task's batches. At its end all that was freed goes back to the system: the worker stays, idle, while later stages run."""
+    """``work`` on a task's batches. At its end all that was freed goes back to the system, with the tables of powers: the worker stays, idle, while later stages run."""
 
     def run(batches: Iterator) -> Iterator:
         yield from work(batches)
+        _tables.clear()
         gc.collect()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
