@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, decontaminate, ngram_join, pii, quality
 from marlstone.llm.keys import keyed
-from marlstone.llm.scratch import saved
+from marlstone.llm.scratch import saved, settle
 from marlstone.llm.tables import table
 
 #: Ids of at most so many rows that go are broadcast; more are shuffled.
@@ -66,12 +69,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs)
 
 
+def settled(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` on executors that don't hold memory which the stages before it no longer need."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", keep_quality),
-    ("n-gram Jaccard join", drop_near_copies),
-    ("benchmark decontamination", drop_contaminated),
-    ("PII", hide_private),
-    ("byte-level BPE", encode),
+    ("quality classifier", settled(keep_quality)),
+    ("n-gram Jaccard join", settled(drop_near_copies)),
+    ("benchmark decontamination", settled(drop_contaminated)),
+    ("PII", settled(hide_private)),
+    ("byte-level BPE", settled(encode)),
 ]
 
 ORACLE_SQL = None

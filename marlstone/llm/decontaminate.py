@@ -39,7 +39,7 @@ def small(df: DataFrame) -> DataFrame:
 
 def vocabulary(terms: DataFrame) -> DataFrame:
     """(term, term_id): a number for each of ``terms`` (term), and COUNT for the mark that closes a document."""
-    marked = terms.sparkSession.createDataFrame([(MARK, COUNT)], "term string, term_id long")
+    marked = terms.sparkSession.range(1).select(F.lit(MARK).alias("term"), F.lit(COUNT).cast("long").alias("term_id"))  # createDataFrame would start Python workers
     return saved(terms.distinct().withColumn("term_id", F.monotonically_increasing_id()), "terms").unionByName(marked)
 
 

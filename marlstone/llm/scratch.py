@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.log import Files
 
@@ -31,6 +32,16 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def settle(spark: SparkSession) -> None:
+    """Executors collect their garbage and give the heap beyond it back to the system, as workers do at the end of a task.
+
+    A heap that one job made large otherwise stays so while later jobs' Python workers need memory beside it. Two
+    tasks for each core reach every executor, if none of them is busy with other jobs; one that is keeps its heap.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
     """``df`` written once, in folders by the columns ``by``, and read again: a lost executor costs no more than a read."""
     bounded(df.sparkSession)
