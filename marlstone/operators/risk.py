@@ -63,6 +63,23 @@ def assess(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("tier", tier).withColumn("exposed", exposed).withColumn("n_flags", F.size("flags").cast("long"))
 
 
+def _wanted(spark: SparkSession) -> DataFrame:
+    """(doc_id, anchor) that rules name."""
+    return spark.createDataFrame(sorted({r[3] for r in RULES if r[3][0] != "GAP"}), "doc_id string, anchor string")
+
+
+def _anchored(chunks: DataFrame) -> DataFrame:
+    """Every row of ``chunks`` with each anchor of its document, and whether it holds it; white space collapses once for a text."""
+    low = chunks.withColumn("text", collapsed(F.lower("text")))
+    return low.join(F.broadcast(_wanted(chunks.sparkSession)), "doc_id").withColumn("exact", F.contains("text", F.col("anchor"))).drop("text")
+
+
+def _passages(chunks: DataFrame) -> DataFrame:
+    """(doc_id, anchor, chunk_id, exact): the passage for each anchor that rules name, as ``cited`` has it."""
+    first = Window.partitionBy("doc_id", "anchor").orderBy(F.desc("exact"), "rank", "chunk_id")
+    return _anchored(chunks).withColumn("n", F.row_number().over(first)).where("n = 1").select("doc_id", "anchor", "chunk_id", "exact")
+
+
 def cited(assessed: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
     """(id, flag, doc_id, chunk_id, exact, degraded): the passage that each flag's rule can be read in.
 
@@ -72,10 +89,7 @@ def cited(assessed: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
     once for each rule and not for each row.
     """
     rows = assessed.select(F.col(id_col).alias("id"), F.explode("flags").alias("f")).select("id", F.col("f.id").alias("flag"), F.col("f.doc_id").alias("doc_id"), F.col("f.anchor").alias("anchor"))
-    wanted = assessed.sparkSession.createDataFrame(sorted({r[3] for r in RULES if r[3][0] != "GAP"}), "doc_id string, anchor string")
-    held = chunks.join(F.broadcast(wanted), "doc_id").withColumn("exact", F.contains(collapsed(F.lower("text")), F.col("anchor")))
-    best = held.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "anchor").orderBy(F.desc("exact"), "rank", "chunk_id"))).where("n = 1")
-    out = rows.join(F.broadcast(best.select("doc_id", "anchor", "chunk_id", "exact")), ["doc_id", "anchor"], "left")
+    out = rows.join(F.broadcast(_passages(chunks)), ["doc_id", "anchor"], "left")
     return out.select("id", "flag", "doc_id", "chunk_id", F.coalesce("exact", F.lit(False)).alias("exact"), F.col("chunk_id").isNull().alias("degraded"))
 
 
@@ -121,20 +135,20 @@ def summary(tier: Column, n: Column, evidence: Column, exposed: Column) -> Colum
 
 
 def reports(assessed: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
-    """(id, tier, n_flags, n_citations, n_gaps, degraded, actions, summary) of rows of ``assess``; ``id_col`` is unique.
+    """(id, tier, n_flags, n_citations, n_gaps, degraded, actions, summary) of rows of ``assess``.
 
     Actions are those of the flags in their order, each once. A flag whose rule has no document is a gap; a gap
     or a flag without a passage degrades the report. Without ``chunks`` all flags are without a passage.
     """
     gaps = [r[0] for r in RULES if r[3][0] == "GAP"]
-    flag = F.col("degraded").cast("int")
-    per = cited(assessed, chunks, id_col).groupBy("id").agg(F.sum(1 - flag).alias("c"), F.count_if(F.col("flag").isin(gaps)).alias("g"), F.max(flag).alias("d"))
-    rows = assessed.select(F.col(id_col).alias("id"), "tier", "n_flags", "exposed", "flags").join(per, "id", "left")
+    found = _passages(chunks).agg(F.collect_set(F.struct("doc_id", "anchor")).alias("__found"))  # one row, of as many anchors as rules name
+    rows = assessed.join(F.broadcast(found))
+    held = F.filter("flags", lambda f: F.array_contains("__found", F.struct(f["doc_id"], f["anchor"])))
+    number = lambda c: F.size(c).cast("long")
     said = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))
     actions = F.array_distinct(F.transform("flags", lambda f: F.element_at(said, f["tier"])))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select(
-        "id", "tier", "n_flags", zero("c").alias("n_citations"), zero("g").alias("n_gaps"), (zero("d") > 0).alias("degraded"),
+        F.col(id_col).alias("id"), "tier", "n_flags", number(held).alias("n_citations"), number(F.filter("flags", lambda f: f["id"].isin(gaps))).alias("n_gaps"), (F.size(held) < F.size("flags")).alias("degraded"),
         F.when(F.size("flags") == 0, F.array(F.lit(NO_ACTION))).otherwise(actions).alias("actions"),
         summary(F.col("tier"), F.col("n_flags"), F.try_element_at("flags", F.lit(1))["evidence"], F.col("exposed")).alias("summary"),
     )
@@ -142,9 +156,8 @@ def reports(assessed: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
 
 def missing_anchors(chunks: DataFrame) -> DataFrame:
     """(doc_id, anchor) that rules name and no passage of ``chunks`` (doc_id, text) of that document holds."""
-    wanted = chunks.sparkSession.createDataFrame(sorted({r[3] for r in RULES if r[3][0] != "GAP"}), "doc_id string, anchor string")
-    held = chunks.join(F.broadcast(wanted), "doc_id").where(F.contains(collapsed(F.lower("text")), F.col("anchor"))).select("doc_id", "anchor").distinct()
-    return wanted.join(held, ["doc_id", "anchor"], "left_anti")
+    held = _anchored(chunks.select("doc_id", "text")).where("exact").select("doc_id", "anchor").distinct()
+    return _wanted(chunks.sparkSession).join(held, ["doc_id", "anchor"], "left_anti")
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
