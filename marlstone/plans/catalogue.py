@@ -162,8 +162,27 @@ def _bm25(spark, sf_dir):
     return retrieval.bm25(terms, retrieval.postings(docs, stemmed=False), docs.count())
 
 
+def _asked_terms(spark, sf_dir):
+    return retrieval.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed=False)
+
+
+def _passages(spark, sf_dir):
+    """The documents with the numbers that they name, and as kinds by their language."""
+    kind = F.when(F.col("lang") == "en", "statute").when(F.col("lang") == "fr", "sop")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", kind.alias("kind"), T.section_tokens(F.col("text")).alias("numbers"))
+
+
+def _numbers(asked):
+    """(query_id, number) of texts (query_id, text)."""
+    return asked.select("query_id", F.explode(T.section_tokens(F.col("text"))).alias("number"))
+
+
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def bm25_topk(spark, sf_dir):
-    best = retrieval.top(_bm25(spark, sf_dir).withColumn("score", F.round("bm25", 6)), 5)
+    best = retrieval.best(_asked_terms(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 5)
     return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", "score")
 
 
