@@ -40,10 +40,9 @@ def cited_answers(spark, sf_dir):
 
 def bm25_expanded_topk(spark, sf_dir):
     """Stemmed passages asked by stemmed questions with the terms that their cues add."""
-    docs = table(spark, sf_dir, "documents")
     terms = questions(spark, sf_dir).select("query_id", F.explode(answer.expanded(F.col("text"))).alias("term"))
     terms = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    best = retrieval.top(retrieval.bm25(terms, retrieval.postings(docs), docs.count()).withColumn("score", F.round("bm25", 6)), 5)
+    best = retrieval.best(terms, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 5, stemmed=True)
     return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", "score")
 
 
