@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import citation_label, collapsed, stem, tokens
 from ..functions.vocabulary import CREDENTIAL_CUES, DOMAIN_TERMS, EXPANSIONS, FRONT_LINE_CUES, SOLICITATION_CUES
+from ..sources.scratch import written
 from .chunking import best_sentences
 from .retrieval import THRESHOLD
 
@@ -54,7 +55,8 @@ def citations(ranked: DataFrame, questions: DataFrame, passages: DataFrame, most
     doc, section = (F.col(c).cast("string") if c in passages.columns else F.lit(None).cast("string") for c in ("doc_id", "section"))
     texts = passages.select("id", "text", doc.alias("__doc"), section.alias("__section"))
     terms = questions.select("query_id", F.array_distinct(F.filter(expanded(F.col("text")), lambda t: F.length(t) >= 3)).alias("terms"), wants_time(F.col("text")).alias("timed"))
-    hits = ranked.join(terms, "query_id").join(texts, "id").withColumn("key", F.struct("query_id", "id"))
+    texts = texts.join(ranked.select("id").distinct(), "id", "left_semi")  # the ids are few and go to the texts
+    hits = written(ranked.join(terms, "query_id").join(texts, "id").withColumn("key", F.struct("query_id", "id")), "hits")
     quotes = best_sentences(hits, "key", "text", "terms", 1).select("id.query_id", "id.id", "sentence")
     late = F.col("timed") & ~F.col("text").rlike(DURATION)
     label = citation_label(F.coalesce("__doc", F.col("id").cast("string")), F.coalesce("__section", F.lit("")))

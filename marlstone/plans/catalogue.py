@@ -212,13 +212,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _asked(spark, sf_dir):
     """The twelve best passages of each question, the questions, and the passages; every third passage says how long."""
-    docs = table(spark, sf_dir, "documents")
     terms = retrieval.query_terms(questions(spark, sf_dir), "query_id", "text", stemmed=False)
-    bm = retrieval.bm25(terms, retrieval.postings(docs, stemmed=False), docs.count())
     said = F.concat("text", F.when(F.col("doc_id") % 3 == 0, ". Keep it for 30 days and no longer").otherwise(""))
-    docs = docs.select(F.col("doc_id").alias("id"), said.alias("text"), "doc_id", F.col("source").alias("section"))
-    fused = retrieval.hybrid(bm, None, retrieval.sections(questions(spark, sf_dir), docs), docs.select("id", F.lit("statute").alias("kind")))
-    return retrieval.top(fused.withColumn("score", F.round("score", 6)), 12), questions(spark, sf_dir), docs
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", said.alias("said"), "doc_id", F.col("source").alias("section"))
+    searched = docs.select("id", "text", F.lit("statute").alias("kind"), T.section_tokens(F.col("said")).alias("numbers"))
+    ranked = retrieval.best(terms, searched, 12, numbers=_numbers(questions(spark, sf_dir)))
+    return ranked, questions(spark, sf_dir), docs.select("id", F.col("said").alias("text"), "doc_id", "section")
 
 
 def answered_questions(spark, sf_dir):
