@@ -195,11 +195,8 @@ def bm25_pruned_topk(spark, sf_dir):
 
 
 def hybrid_topk(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    kinds = docs.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "statute").when(F.col("lang") == "fr", "sop").alias("kind"))
-    section = retrieval.sections(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), docs.select(F.col("doc_id").alias("id"), "text"))
-    fused = retrieval.hybrid(_bm25(spark, sf_dir), None, section, kinds).withColumn("score", F.round("score", 6))
-    return retrieval.top(fused, 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", "score")
+    best = retrieval.best(_asked_terms(spark, sf_dir), _passages(spark, sf_dir), 5, numbers=_numbers(_items(spark, sf_dir)))
+    return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", "score")
 
 
 #: Ends every other question, so that some are in the domain.
