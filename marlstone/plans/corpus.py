@@ -10,7 +10,7 @@ from ..operators import answer, canonical, chunking, ledger, retrieval
 from ..sources import files
 from ..sources.scratch import place
 from ..sources.snapshots import Snapshots
-from .catalogue import ASIDE, SECTION_SQL, TOKENS_SQL, _asked, _bm25, _stem_sql, clean_sql, questions, strip_sql, table
+from .catalogue import ASIDE, SECTION_SQL, TOKENS_SQL, _asked, _asked_terms, _items, _numbers, _passages, _stem_sql, clean_sql, questions, strip_sql, table
 
 
 #: What makes a text of paragraphs one with headers, page numbers and a clause that heads nothing.
@@ -48,14 +48,11 @@ def bm25_expanded_topk(spark, sf_dir):
 
 def hybrid_vectors_topk(spark, sf_dir):
     """Terms, instruments and vectors in one score: a question's vector is the one with its number, a document's likewise."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), retrieval.unit(F.col("embedding")).alias("v"))
-    asked = items.select(F.col("item_id").alias("query_id")).join(vectors, F.col("query_id") == F.col("id")).select("query_id", "v")
-    cosine = retrieval.cosines(asked, vectors.join(docs.select(F.col("doc_id").alias("id")), "id"))
-    section = retrieval.sections(items.select(F.col("item_id").alias("query_id"), "text"), docs.select(F.col("doc_id").alias("id"), "text"))
-    kinds = docs.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "statute").when(F.col("lang") == "fr", "sop").alias("kind"))
-    fused = retrieval.hybrid(_bm25(spark, sf_dir), cosine, section, kinds).withColumn("score", F.round("score", 6))
-    return retrieval.top(fused, 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", "score")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    items = _items(spark, sf_dir)
+    asked = vectors.join(items.select("query_id"), F.col("query_id") == F.col("id")).select("query_id", "v")
+    best = retrieval.best(_asked_terms(spark, sf_dir), _passages(spark, sf_dir), 5, numbers=_numbers(items), vectors=vectors, asked=asked)
+    return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", "score")
 
 
 def pooled_vectors(spark, sf_dir):
