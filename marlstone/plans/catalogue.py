@@ -156,12 +156,6 @@ def stems(spark, sf_dir):
     return rows.select("term", T.stem(F.col("term")).alias("stem"))
 
 
-def _bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    terms = retrieval.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed=False)
-    return retrieval.bm25(terms, retrieval.postings(docs, stemmed=False), docs.count())
-
-
 def _asked_terms(spark, sf_dir):
     return retrieval.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed=False)
 
@@ -285,7 +279,7 @@ def value_quantiles(spark, sf_dir):
 
 
 def reciprocal_ranks(spark, sf_dir):
-    best = retrieval.top(_bm25(spark, sf_dir).withColumn("score", F.round("bm25", 6)), 20)
+    best = retrieval.best(_asked_terms(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 20)
     hits = best.join(table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id")), "id")
     out = metrics.reciprocal_rank(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")), hits)
     return out.select("n", *(F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "mrr")))
